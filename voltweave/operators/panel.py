@@ -45,13 +45,15 @@ def common_calendar(panels: list[DataFrame]) -> DataFrame:
 def on_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """Reindex each series to the calendar: absent days become NULL, other days are dropped.
 
-    The calendar is a bounded dimension, so each series carries it as one array and unfolds it.
+    Every series unfolds the calendar's span of days (two scalars) and keeps the listed ones, so
+    the grid is built per series and no pairwise join is needed.
     """
     keys = [c for c in panel.columns if c not in ("date", "value")]
-    days = calendar.agg(F.sort_array(F.collect_set("date")).alias("_days"))
+    first, last = calendar.agg(F.min("date"), F.max("date")).first()
+    days = F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 DAY"))
     grid = (
-        panel.select(*keys).distinct().join(F.broadcast(days), F.lit(True))
-        .select(*keys, F.explode("_days").alias("date"))
+        panel.select(*keys).distinct().withColumn("date", F.explode(days))
+        .join(calendar.select("date").distinct(), "date", "left_semi")
     )
     return grid.join(panel, [*keys, "date"], "left")
 
