@@ -12,16 +12,15 @@ from voltweave.operators.draws import Layout, cell_average, pooled
 
 def edge_table(
     draws: DataFrame, g: str, layout: Layout, n_keep: int, n_chains: int,
-    admissible=None, alpha: float = 0.10, max_lag: int = 100,
+    admissible: str = "true", alpha: float = 0.10, max_lag: int = 100,
 ) -> DataFrame:
     """One row per cell with edge probability, ESS, lower bound and both selections.
 
-    ``admissible`` is a condition on (i, j); other cells get probability 0 and no ESS.
+    ``admissible`` is a SQL condition on (i, j); other cells get probability 0 and no ESS.
     """
-    ok = admissible if admissible is not None else F.lit(True)
     pips = cell_average(draws, g, layout)
     ess = ess_initial_positive(pooled(draws, n_keep), g, n_keep * n_chains, max_lag)
-    table = pips.join(ess, "cell").withColumn("admissible", ok)
+    table = pips.join(ess, "cell").withColumn("admissible", F.expr(admissible))
     table = table.withColumns({
         "edge_prob": F.when(F.col("admissible"), F.col("mean")).otherwise(0.0),
         "n_eff": F.when(F.col("admissible"), F.col("n_eff")),

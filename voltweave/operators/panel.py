@@ -129,6 +129,12 @@ def lag_design(panel: DataFrame, keys: list[str], lags: list[int], value: str =
     )
 
 
+def first_difference(panel: DataFrame, keys: list[str], value: str = "value") -> DataFrame:
+    """Day-to-day change per series; the first day has none."""
+    w = Window.partitionBy(*keys).orderBy("date")
+    return panel.withColumn("eta", F.col(value) - F.lag(value).over(w)).where("eta IS NOT NULL")
+
+
 def ar1_residual_variance(panel: DataFrame, keys: list[str], max_lag: int, value: str = "value") -> DataFrame:
     """Residual variance of an AR(1) fit per series (population moments, rows after max_lag)."""
     w = Window.partitionBy(*keys).orderBy("date")
