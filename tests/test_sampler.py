@@ -1,0 +1,182 @@
+"""Sampler steps against closed forms, restart, and recovery of a simulated model."""
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from voltweave.operators import bayes, sampler
+from voltweave.operators.kernels import acyclic
+from voltweave.runtime import scratch_path
+
+DIMS = bayes.Dims(ny=3, nz=2, lags=(1, 3))
+
+
+def simulate(t_full=160, seed=4):
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(t_full, 2))
+    y = np.zeros((t_full, 3))
+    for t in range(1, t_full):
+        e = rng.normal(size=3) * 0.5
+        y[t, 0] = 0.6 * y[t - 1, 0] + e[0]
+        y[t, 1] = 0.7 * x[t - 1, 1] + e[1]
+        y[t, 2] = -0.6 * y[t - 1, 0] + e[2]
+    return (y - y.mean(0)) / y.std(0), x
+
+
+def frames(spark, y, x):
+    import datetime
+
+    day = lambda t: datetime.date(2025, 1, 1) + datetime.timedelta(days=int(t))
+    make = lambda m: spark.createDataFrame(
+        [(day(t), k, float(m[t, k])) for t in range(len(m)) for k in range(m.shape[1])],
+        "date date, idx int, value double")
+    return bayes.day_vectors(make(y)), bayes.day_vectors(make(x))
+
+
+def numpy_design(y, x, lags):
+    m = max(lags)
+    parts = [y[m:]]
+    for k in lags:
+        parts += [y[m - k : len(y) - k], x[m - k : len(x) - k]]
+    return np.hstack(parts)
+
+
+def test_design_and_gram(spark):
+    y, x = simulate(40)
+    design = bayes.design_rows(*frames(spark, y, x), DIMS)
+    want = numpy_design(y, x, DIMS.lags)
+    got = np.array([r.d for r in design.orderBy("t").collect()])
+    assert np.allclose(got, want)
+    g = bayes.gram(design.withColumn("k", F.lit("a")), ["k"]).first().gram
+    assert np.allclose(np.reshape(g, (DIMS.width, -1)), want.T @ want)
+    weighted = design.withColumn("k", F.lit("a")).withColumn("w", F.col("t") + 1.0)
+    g = bayes.gram(weighted, ["k"], "d", "w").first().gram
+    assert np.allclose(np.reshape(g, (DIMS.width, -1)), (want.T * (np.arange(len(want)) + 1)) @ want)
+
+
+def test_minnesota_variances_follow_value_and_ordinal():
+    om = bayes.minnesota_variances(bayes.Dims(2, 1, (1, 7)), 0.001, 2.0, 0.5)
+    assert np.allclose(om, [0.001, 0.001, 0.0005, 0.001 / 49, 0.001 / 49, 0.0005 / 4])
+
+
+def test_block_score_is_the_wishart_marginal():
+    """Adding a response is a ratio of block marginals; compare with the direct one-variable formula."""
+    from math import lgamma
+
+    rng = np.random.default_rng(0)
+    data = rng.normal(size=(30, 2))
+    sc = bayes.BlockScore(alpha=7.0, c0=2.0, t_obs=30)
+    post = data.T @ data + 2.0 * np.eye(2)
+    one = -15 * np.log(np.pi) + lgamma(18.5) - lgamma(3.5) + 3.5 * np.log(2.0) - 18.5 * np.log(post[0, 0])
+    assert np.isclose(sc.log_marginal(post, [0]), one)
+    assert np.isclose(sc.local(post, 0, [1]), sc.log_marginal(post, [0, 1]) - sc.log_marginal(post, [1]))
+    assert sc.local(post, 0, []) == sc.log_marginal(post, [0])
+
+
+def test_scale_constant_falls_back_to_one():
+    assert bayes.BlockScore.temporal(bayes.Dims(28, 53, (1, 7)), 358).c0 == 1.0
+
+
+def test_inverse_wishart_mean():
+    rng = np.random.default_rng(1)
+    s = np.array([[2.0, 0.6], [0.6, 1.0]])
+    draws = [sampler.inverse_wishart(rng, 12, s) for _ in range(20000)]
+    assert np.allclose(np.mean(draws, axis=0), s / (12 - 3), atol=0.01)
+    assert all(np.linalg.eigvalsh(d)[0] > 0 for d in draws[:100])
+
+
+def test_draw_row_moments():
+    rng = np.random.default_rng(2)
+    w = rng.normal(size=(50, 3))
+    y = w @ [1.0, -1.0, 0.0] + rng.normal(size=50)
+    cross, omega, s2 = w.T @ w, np.array([0.5, 1.0, 2.0]), 1.3
+    draws = np.array([sampler.draw_row(rng, cross, np.arange(3), w.T @ y, omega, s2) for _ in range(20000)])
+    cov = np.linalg.inv(cross / s2 + np.diag(1 / omega))
+    assert np.allclose(draws.mean(0), cov @ (w.T @ y) / s2, atol=0.01)
+    assert np.allclose(np.cov(draws.T), cov, atol=0.003)
+
+
+def test_graph_moves_keep_the_mask_and_acyclicity():
+    rng = np.random.default_rng(3)
+    data = rng.normal(size=(60, 4))
+    data[:, 1] += data[:, 0]
+    data[:, 2] += data[:, 1]
+    mask = 1 - np.eye(4, dtype=int)
+    mask[3] = 0
+    sc = bayes.BlockScore.contemporaneous(4, 60)
+    post = data.T @ data + sc.c0 * np.eye(4)
+    g, linked = np.zeros((4, 4)), 0
+    for _ in range(400):
+        g = sampler.toggle_contemporaneous(rng, g, mask, post, sc, 0.5)
+        assert acyclic(g[None])[0] and not (g * (1 - mask)).any()
+        linked += g[0, 1] + g[1, 0]
+    assert linked > 300
+
+
+def test_temporal_moves_visit_edges_by_their_score():
+    """With two regressors the long-run frequencies equal the normalised scores."""
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(25, 2))
+    y = (0.3 * x[:, 0] + rng.normal(size=25))[:, None]
+    full = np.hstack([y, x])
+    sc = bayes.BlockScore.of(8.0, 3, 25)
+    post = full.T @ full + sc.c0 * np.eye(3)
+    sets = [(0, 0), (1, 0), (0, 1), (1, 1)]
+    logp = np.array([sc.local(post, 0, 1 + np.flatnonzero(s)) for s in sets])
+    want = np.exp(logp - logp.max())
+    want /= want.sum()
+    g, seen = np.zeros((1, 2)), dict.fromkeys(sets, 0)
+    for _ in range(20000):
+        g = sampler.toggle_temporal(rng, g, post, sc, 0.5)
+        seen[tuple(int(v) for v in g[0])] += 1
+    assert np.allclose([seen[s] / 20000 for s in sets], want, atol=0.03)
+
+
+def test_path_moves_target_one_day_exactly():
+    """With a single day the target is known up to a constant: compare the mean."""
+    rng = np.random.default_rng(6)
+    h, q, total = np.zeros(1), np.array([4.0]), []
+    for _ in range(30000):
+        h, _ = sampler.draw_path(rng, h, q, 2, 0.1, 10.0, 1.5)
+        total.append(h[0])
+    grid = np.linspace(-15, 15, 20001)
+    p = np.exp(-grid - 2.0 * np.exp(-grid) - grid**2 / 20)
+    assert abs(np.mean(total) - (grid * p).sum() / p.sum()) < 0.06
+
+
+@pytest.fixture(scope="module")
+def model(spark):
+    y, x = simulate()
+    design = bayes.design_rows(*frames(spark, y, x), DIMS)
+    scale = spark.createDataFrame([(k, 0.5) for k in range(3)], "idx int, sigma2 double")
+    mask = (1 - np.eye(3, dtype=int)).tolist()
+    cfg = dict(sampler.MODEL) | {"pi_shrink": 1.0}
+    return design, scale, sampler.Settings(DIMS, mask, n_chains=12, model=cfg)
+
+
+def test_restart_continues_the_same_chain(spark, model):
+    design, scale, s = model
+    s = sampler.Settings(s.dims, s.mask, n_chains=2, model=s.model)
+    whole, halves = scratch_path(spark, "whole"), scratch_path(spark, "halves")
+    a = sampler.run_chains(design, scale, s, 3, 1, whole).orderBy("chain", "draw").collect()
+    sampler.run_chains(design, scale, s, 2, 1, halves)
+    b = sampler.run_chains(design, scale, s, 3, 1, halves).orderBy("chain", "draw").collect()
+    assert [(r.chain, r.draw) for r in a] == [(c, d) for c in range(2) for d in range(2)]
+    for ra, rb in zip(a, b):
+        assert np.allclose(ra.h, rb.h) and np.allclose(ra.phi, rb.phi) and ra.sigma_h2 == pytest.approx(rb.sigma_h2)
+
+
+def test_recovers_the_simulated_edges(spark, model):
+    design, scale, s = model
+    draws = sampler.run_chains(design, scale, s, 16, 8, scratch_path(spark, "recover")).collect()
+    assert len(draws) == 12 * 8
+    phi = np.mean([np.reshape(r.g_phi, (2, 3, 3)) for r in draws], axis=0)
+    gamma = np.mean([np.reshape(r.g_gamma, (2, 3, 2)) for r in draws], axis=0)
+    assert phi[0, 0, 0] > 0.5 and phi[0, 2, 0] > 0.5 and gamma[0, 1, 1] > 0.5
+    coef = np.mean([np.reshape(r.gamma, (2, 3, 2)) for r in draws if np.reshape(r.g_gamma, (2, 3, 2))[0, 1, 1]], axis=0)
+    assert coef[0, 1, 1] > 0.4
+    for r in draws:
+        sig = np.reshape(r.sigma_u, (3, 3))
+        assert np.allclose(sig, sig.T) and np.linalg.eigvalsh(sig)[0] > 0
+        assert acyclic(np.reshape(r.g0, (1, 3, 3)))[0]
+        assert not np.any((np.array(r.phi) != 0) & (np.array(r.g_phi) == 0))

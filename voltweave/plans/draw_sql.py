@@ -99,7 +99,7 @@ def geweke(source: str, value: str) -> str:
         f"""
 part AS (SELECT chain, cell, 'a' AS part, draw AS at, {value} AS v FROM {source} CROSS JOIN nk
          WHERE draw < greatest(floor(n_keep * 0.1), 2)
-         UNION ALL SELECT chain, cell, 'b', draw - (n_keep - greatest(floor(n_keep * 0.5), 2)), {value}
+         UNION ALL SELECT chain, cell, 'b', (draw - (n_keep - greatest(floor(n_keep * 0.5), 2)))::BIGINT, {value}
          FROM {source} CROSS JOIN nk WHERE draw >= n_keep - greatest(floor(n_keep * 0.5), 2)),"""
         + own_acf("part", ["chain", "cell", "part"], "at", "v", "w") + ","
         + geyer("w_rho", ["chain", "cell", "part"], "wt") + """,
