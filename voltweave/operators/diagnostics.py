@@ -34,16 +34,12 @@ def rhat(draws: DataFrame, x: str) -> DataFrame:
     return between_within(draws, x).select("cell", F.when(enough, value).alias("rhat"))
 
 
-def _whole(pooled: DataFrame) -> DataFrame:
-    return pooled.withColumn("_series", F.lit(0))
-
-
 def autocorrelations(pooled: DataFrame, x: str, max_lag: int) -> DataFrame:
     """Autocorrelation of the pooled series per cell and lag, products averaged over n - lag.
 
     A (nearly) constant cell has autocorrelation 0.
     """
-    sums = autocovariance_sums(_whole(pooled), ["_series"], "pos", x, max_lag)
+    sums = autocovariance_sums(pooled, [], "pos", x, max_lag)
     zero = sums.where("lag = 0").select("cell", (F.col("s") / F.col("n")).alias("_var"))
     rho = F.when(F.col("_var") < 1e-12, 0.0).otherwise(
         F.col("s") / (F.col("n") - F.col("lag")) / F.nullif("_var", F.lit(0.0)))
@@ -88,7 +84,7 @@ def ess_initial_positive(pooled: DataFrame, x: str, n: int, max_lag: int = 100)
 
 def ess_biased(pooled: DataFrame, x: str, n: int, max_lag: int = 1000) -> DataFrame:
     """ESS with autocorrelation sums over the total sum of squares and no upper bound."""
-    sums = autocovariance_sums(_whole(pooled), ["_series"], "pos", x, min(max_lag, n - 1))
+    sums = autocovariance_sums(pooled, [], "pos", x, min(max_lag, n - 1))
     zero = sums.where("lag = 0").select("cell", F.col("s").alias("_s0"))
     rho = sums.join(zero, "cell").select(
         "cell", "lag", "n", F.coalesce(F.col("s") / F.nullif("_s0", F.lit(0.0)), F.lit(0.0)).alias("rho"))

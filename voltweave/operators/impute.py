@@ -5,8 +5,10 @@ Every operator takes (series keys, date, value) with one row per calendar day an
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,10 +29,6 @@ def gap_lengths(df: DataFrame, keys: list[str]) -> DataFrame:
     return run.withColumn("gap", F.when(F.col("value").isNull(), size).otherwise(0)).drop("_run")
 
 
-def natural_days(dates: pd.Series) -> np.ndarray:
-    return (pd.to_datetime(dates) - pd.Timestamp("1970-01-01")).dt.days.to_numpy(float)
-
-
 def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Cubic spline with continuous third derivative at the second and last-but-one knot.
 
@@ -70,31 +68,36 @@ def not_a_knot(x: np.ndarray, y: np.ndarray, at: np.ndarray) -> np.ndarray:
 def spline_fill(df: DataFrame, keys: list[str], max_gap: int = 7, min_points: int = 4) -> DataFrame:
     """Spline through the observed days for gaps up to ``max_gap``; no extrapolation.
 
-    Grouped by series: one group is one calendar of days. The output is only the filled cells,
-    joined back, so wide columns never travel through Python.
+    Each series is packed into arrays (one entry per calendar day), so many series share an Arrow
+    batch and the panel is neither joined back nor regrouped.
     """
-    fields = [df.schema[k] for k in keys]
-    schema = T.StructType([*fields, df.schema["date"], T.StructField("_fill", T.DoubleType())])
-
-    def fill(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("date")
-        seen = pdf["value"].notna().to_numpy()
-        todo = (pdf["gap"] > 0).to_numpy() & (pdf["gap"] <= max_gap).to_numpy()
-        out = pdf.loc[todo, [*keys, "date"]].copy()
-        if seen.sum() < min_points or not todo.any():
-            return out.iloc[:0].assign(_fill=pd.Series(dtype=float))
-        t = natural_days(pdf["date"])
-        out["_fill"] = not_a_knot(t[seen], pdf["value"].to_numpy(float)[seen], t[todo])
-        return out.dropna(subset=["_fill"])
-
-    gaps = gap_lengths(df, keys)
-    # Series with nothing to fill stay in the JVM.
-    w = Window.partitionBy(*keys)
-    short = (F.col("gap") > 0) & (F.col("gap") <= max_gap)
-    active = gaps.withColumn("_any", F.max(short).over(w)).where("_any")
-    filled = active.select(*keys, "date", "value", "gap").groupBy(*keys).applyInPandas(fill, schema)
-    return df.join(filled, [*keys, "date"], "left").withColumn(
-        "value", F.coalesce("value", "_fill")).drop("_fill")
+    packed = gap_lengths(df, keys).groupBy(*keys).agg(
+        F.sort_array(F.collect_list(F.struct("date", "value", "gap"))).alias("_days")
+    ).select(
+        *keys, F.col("_days.date").alias("date"), F.col("_days.value").alias("value"),
+        F.transform("_days", lambda d: F.unix_date(d["date"]).cast("double")).alias("_t"),
+        F.transform("_days", lambda d: (d["gap"] > 0) & (d["gap"] <= max_gap)).alias("_todo"),
+    )
+    schema = T.StructType([*packed.schema.fields[:-2], T.StructField("_fill", T.ArrayType(T.DoubleType()))])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            fills = []
+            for t, v, todo in zip(*[batch.column(c) for c in ("_t", "value", "_todo")]):
+                t, todo = np.asarray(t.values), np.asarray(todo.values.to_numpy(zero_copy_only=False), bool)
+                y = v.values.to_numpy(zero_copy_only=False)
+                seen = ~np.isnan(y)
+                out = np.full(len(t), np.nan)
+                if todo.any() and seen.sum() >= min_points:
+                    out[todo] = not_a_knot(t[seen], y[seen], t[todo])
+                fills.append(pa.array(out, from_pandas=True))
+            keep = [batch.column(c) for c in schema.names[:-1]]
+            lists = pa.array(fills, type=pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([*keep, lists], names=schema.names)
+
+    days = packed.mapInArrow(fill, schema).select(
+        *keys, F.explode(F.arrays_zip("date", "value", "_fill")).alias("_d"))
+    return days.select(*keys, "_d.date", F.coalesce("_d.value", "_d._fill").alias("value"))
 
 
 def seasonal_fill(df: DataFrame, keys: list[str], max_gap: int = 16) -> DataFrame:

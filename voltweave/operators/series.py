@@ -35,11 +35,17 @@ def cell_means(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
 
 
 def centred(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
-    """Subtract the series mean from every cell; the means are one row per series."""
+    """Subtract the series mean from every cell and add the series length ``n``.
+
+    The means are one value per cell and series; for a single series (no keys) they are literals.
+    """
     means = cell_means(df, keys, x)
-    return df.join(means, list(keys)).withColumn(
-        x, F.zip_with(F.col(x), F.col("_mean"), lambda a, b: a - b)
-    ).drop("_mean")
+    if keys:
+        joined = df.join(means, list(keys))
+    else:
+        only = means.first()
+        joined = df.withColumns({"n": F.lit(only["n"]), "_mean": F.lit(only["_mean"])})
+    return joined.withColumn(x, F.zip_with(F.col(x), F.col("_mean"), lambda a, b: a - b)).drop("_mean")
 
 
 def _products(own_start: int, block: int, lo: int, hi: int, pos: np.ndarray, x: np.ndarray):
@@ -103,9 +109,10 @@ def autocovariance_sums(
 ) -> DataFrame:
     """Centred lag products for lags 0..max_lag with the series length: ``keys, n, cell, lag, s``."""
     keys = list(keys)
-    n = df.groupBy(*keys).agg(F.count("*").alias("n"))
     sums = lag_products(centred(df, keys, x), keys, pos, x, 0, max_lag + 1, block)
-    return sums.join(n, keys)
+    if not keys:
+        return sums.withColumn("n", F.lit(df.count()))
+    return sums.join(df.groupBy(*keys).agg(F.count("*").alias("n")), keys)
 
 
 def running_means(

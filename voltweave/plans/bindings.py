@@ -97,9 +97,10 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
         "s_suppkey", F.col("s_nationkey").alias("from_code"), F.col("zone").alias("from_map"))
     buyers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
         "c_custkey", F.col("c_nationkey").alias("to_code"), F.col("zone").alias("to_map"))
+    # Orders meet their buyers first, so the line items are shuffled by order key only.
+    placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return (
-        items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+        items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("o_orderdate").alias("datetime"), "from_code", "from_map", "to_code", "to_map",

@@ -17,6 +17,7 @@ from voltweave.operators.series import running_means
 from voltweave.plans import bindings as b
 from voltweave.plans import draw_sql as q
 from voltweave.plans.registry import query, rounded
+from voltweave.runtime import cut
 
 OFF_DIAGONAL = "i <> j"
 NODES = list(range(8))
@@ -32,10 +33,10 @@ def _pooled(spark, sf):
 @query("s12_draw_scan", f"""WITH {q.DRAWS} SELECT chain, count(DISTINCT draw) AS draws, count(*) AS cells,
 round(sum(x), 4) AS total FROM c GROUP BY chain""")
 def draw_scan(spark, sf):
-    long = dr.unfold(b.draws(spark, sf), "x")
-    per_draw = long.groupBy("chain", "draw").agg(F.count("*").alias("_c"), F.sum("value").alias("_s"))
-    return rounded(per_draw.groupBy("chain").agg(
-        F.count("*").alias("draws"), F.sum("_c").alias("cells"), F.sum("_s").alias("total")), 4, "total")
+    d = b.draws(spark, sf)
+    return rounded(d.groupBy("chain").agg(
+        F.count("*").alias("draws"), F.sum(F.size("x")).alias("cells"), F.sum(dr.array_sum("x")).alias("total")),
+        4, "total")
 
 
 @query("s13_checked_chains", "SELECT vec_id % 4 AS chain, count(*) AS n_keep FROM embeddings GROUP BY ALL")
@@ -287,7 +288,8 @@ CASE WHEN abs(z) > 3 THEN 'red' WHEN abs(z) > 2 THEN 'amber' ELSE 'green' END ||
 CASE WHEN rhat > 1.05 THEN 'red' WHEN rhat > 1.01 THEN 'amber' ELSE 'green' END AS status
 FROM su JOIN mess USING (cell) JOIN wz USING (cell) JOIN rh USING (cell)""")
 def dashboard(spark, sf):
-    packed = _packed_scalars(spark, sf)
+    # The scalars are read by several diagnostics: derive them from the draws once.
+    packed = cut(_packed_scalars(spark, sf))
     n = b.n_keep(spark, sf)
     long = packed.select(F.posexplode("v").alias("cell", "value"))
     table = (
@@ -486,9 +488,10 @@ UNION ALL SELECT 'between', node, v FROM between)"""
 
 
 def _node_summary(spark, sf):
-    d = b.draws(spark, sf)
-    both = gr.degree_metrics(d, "g", 8, 56).join(gr.draw_metrics(d, "g", 8), ["chain", "draw"])
-    return gr.node_summary(both, ["in_degree", "out_degree", "total_degree", "eigen", "between"])
+    # Per-draw metrics are small next to the draws and read more than once: keep them.
+    metrics = cut(_metrics(spark, sf).select("eigen", "between"))
+    return gr.node_summary(_degrees(spark, sf), ["in_degree", "out_degree", "total_degree"]).unionByName(
+        gr.node_summary(metrics, ["eigen", "between"]))
 
 
 @query("g12_node_summary", NODE_METRIC_SQL + q.moments("allnode", "metric, node", "v"))
@@ -514,9 +517,10 @@ UNION ALL SELECT 'transitivity', v FROM trans
 UNION ALL SELECT 'n_strong_cc', coalesce(n_strong_cc, 8) FROM alldraws LEFT JOIN scc USING (chain, draw))
 """ + q.moments("allg", "metric", "v"))
 def g0_summary(spark, sf):
-    d = b.draws(spark, sf)
-    both = gr.degree_metrics(d, "g", 8, 56).join(gr.draw_metrics(d, "g", 8, with_betweenness=False), ["chain", "draw"])
-    table = gr.graph_summary(both, ["density", "transitivity", "reciprocity", "n_strong_cc"])
+    metrics = cut(gr.draw_metrics(b.draws(spark, sf), "g", 8, with_betweenness=False).select(
+        "transitivity", "n_strong_cc"))
+    table = gr.graph_summary(_degrees(spark, sf), ["density", "reciprocity"]).unionByName(
+        gr.graph_summary(metrics, ["transitivity", "n_strong_cc"]))
     return rounded(table, 6, "mean", "median", "ci_low", "ci_high")
 
 
