@@ -108,12 +108,14 @@ def seasonal_fill(df: DataFrame, keys: list[str], max_gap: int = 16) -> DataFram
     rest = gaps.join(medians, [*keys, "_dow"]).withColumn("_r", F.col("value") - F.col("_season"))
     w = Window.partitionBy(*keys).orderBy("date")
     past = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    future = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # Looking ahead as a running window over descending days stays linear in the days.
+    back = Window.partitionBy(*keys).orderBy(F.desc("date"))
+    future = back.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     seen = F.when(F.col("_r").isNotNull(), F.struct(F.col("date").alias("d"), F.col("_r").alias("r"),
                                                    F.col("_row").alias("row")))
     spots = rest.withColumn("_row", F.row_number().over(w)).withColumns({
         "_a": F.last(seen, ignorenulls=True).over(past),
-        "_b": F.first(seen, ignorenulls=True).over(future),
+        "_b": F.last(seen, ignorenulls=True).over(future),
     })
     span = F.date_diff(F.col("_b.d"), F.col("_a.d"))
     line = F.col("_a.r") + (F.col("_b.r") - F.col("_a.r")) * F.try_divide(

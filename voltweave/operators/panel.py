@@ -115,8 +115,8 @@ def standardise(panel: DataFrame, keys: list[str], strict: bool) -> DataFrame:
         if bad:
             raise ValueError(f"zero-variance columns: {[tuple(r) for r in bad]}")
     scale = F.when(flat, F.lit(1.0)).otherwise(F.col("std"))
-    return panel.join(stats.select(*keys, "mean", "std"), keys).withColumn(
-        "z", (F.col("value") - F.col("mean")) / scale)
+    return panel.join(stats.select(*keys, "mean", scale.alias("std")), keys).withColumn(
+        "z", (F.col("value") - F.col("mean")) / F.col("std"))
 
 
 def lag_design(panel: DataFrame, keys: list[str], lags: list[int], value: str = "value") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from voltweave.functions.columns import ess_light, geweke_light, pip_label, rhat_light
+from voltweave.functions.columns import ess_light, geweke_light, keep_above, pip_label, rhat_light
 from voltweave.functions.fixed import MPM_THRESHOLDS, WEIGHT_THRESHOLDS
 from voltweave.operators import diagnostics as dg
 from voltweave.operators import draws as dr
@@ -16,8 +16,10 @@ from voltweave.operators import weights as wt
 from voltweave.operators.series import running_means
 from voltweave.plans import bindings as b
 from voltweave.plans import draw_sql as q
+from voltweave.plans.reports import with_notes
 from voltweave.plans.registry import query, rounded
-from voltweave.runtime import cut
+from voltweave.runtime import cut, scratch_path
+from voltweave.sources import tables
 
 OFF_DIAGONAL = "i <> j"
 NODES = list(range(8))
@@ -64,6 +66,23 @@ def masked_coefficients(spark, sf):
     return rounded(dr.cell_average(eff, "e", b.PHI).select("lag", "i", "j", "mean"), 6, "mean")
 
 
+@query("k5_draw_store", f"""WITH {q.DRAWS} SELECT chain, count(DISTINCT draw) AS draws, round(sum(x), 4) AS total FROM c GROUP BY chain""")
+def draw_store(spark, sf):
+    """Draws stored by chain and read back with the check that every chain is there."""
+    path = scratch_path(spark, "draws")
+    tables.write_draws(b.draws(spark, sf).select("chain", "draw", "x"), path)
+    kept = tables.read_draws(spark, path, b.N_CHAINS)
+    return rounded(kept.groupBy("chain").agg(
+        F.count("*").alias("draws"), F.sum(dr.array_sum("x")).alias("total")), 4, "total")
+
+
+@query("p18_threshold_mask", f"""WITH {q.DRAWS}, m AS (SELECT lag, i, j, avg(x) AS mean FROM gam GROUP BY ALL)
+SELECT lag, i, j, round(CASE WHEN abs(mean) > 0.003 THEN abs(mean) ELSE 0 END, 8) AS w FROM m""")
+def threshold_mask(spark, sf):
+    means = dr.cell_average(b.draws(spark, sf), "x", b.GAMMA)
+    return rounded(means.select("lag", "i", "j", keep_above(F.col("mean"), 0.003).alias("w")), 8, "w")
+
+
 # ---- cell summaries -----------------------------------------------------------------------------
 
 for _name, _layout, _src in (("g0", b.G0, "g0"), ("phi", b.PHI, "phi"), ("gamma", b.GAMMA, "gam")):
@@ -512,16 +531,19 @@ def g0_nodes(spark, sf):
 
 
 @query("r2_g0_summary", f"""WITH RECURSIVE {q.DRAWS}, {q.GRAPH}, {q.DEGREES}, {q.TRIADS}, {q.SCC},
+notes AS (SELECT * FROM (VALUES ('density', 'share of admissible edges present'),
+('reciprocity', 'zero in an acyclic graph'), ('transitivity', 'closed out-neighbour pairs'),
+('n_strong_cc', 'node count in an acyclic graph')) t(metric, note)),
 allg AS (SELECT 'density' AS metric, v FROM dens UNION ALL SELECT 'reciprocity', v FROM recip
 UNION ALL SELECT 'transitivity', v FROM trans
 UNION ALL SELECT 'n_strong_cc', coalesce(n_strong_cc, 8) FROM alldraws LEFT JOIN scc USING (chain, draw))
-""" + q.moments("allg", "metric", "v"))
+""" + q.moments("allg JOIN notes USING (metric)", "metric, note", "v"))
 def g0_summary(spark, sf):
     metrics = cut(gr.draw_metrics(b.draws(spark, sf), "g", 8, with_betweenness=False).select(
         "transitivity", "n_strong_cc"))
     table = gr.graph_summary(_degrees(spark, sf), ["density", "reciprocity"]).unionByName(
         gr.graph_summary(metrics, ["transitivity", "n_strong_cc"]))
-    return rounded(table, 6, "mean", "median", "ci_low", "ci_high")
+    return rounded(with_notes(table), 6, "mean", "median", "ci_low", "ci_high")
 
 
 @query("t3_top_nodes", NODE_METRIC_SQL + """ SELECT node, round(avg(v), 6) AS mean FROM allnode WHERE metric = 'total_degree'
@@ -785,7 +807,9 @@ def probability_table(spark, sf):
 
 @query("r1_configuration", """SELECT * FROM (SELECT 'Countries (ny)' AS label, '8' AS value UNION ALL SELECT 'Exogenous (nx)', '8'
 UNION ALL SELECT 'Lags', '[1, 7]' UNION ALL SELECT 'Posterior samples', count(*)::VARCHAR FROM embeddings
-UNION ALL SELECT 'Credible interval', '90%')""")
+UNION ALL SELECT 'Credible interval', '90%' UNION ALL SELECT 'G[i, j] = 1', 'j drives i'
+UNION ALL SELECT 'in-degree of i', 'number of drivers of i' UNION ALL SELECT 'out-degree of j', 'number of nodes j drives'
+UNION ALL SELECT 'weights', 'absolute posterior means')""")
 def configuration(spark, sf):
     from voltweave.plans.reports import configuration_rows
     return configuration_rows(b.draws(spark, sf), 8, 8, [1, 7], 0.10)

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from voltweave.functions.columns import country_of, day, kind_of, volatility
 from voltweave.operators import impute, ingest, network, panel
+from voltweave.plans import assemble
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import scratch_path
 from voltweave.sources import tables
+from voltweave.sources.market import FEEDS
 
 EVENTS = """
 ev AS (SELECT ts, ts::DATE AS date, 'A' || (user_id % 10) AS area, event_type AS production, value AS mw
@@ -584,3 +586,90 @@ def volatility_scale(spark, sf):
     return rounded(h.groupBy("series").agg(
         F.avg("v").alias("mean_vol"), F.percentile("v", 0.05).alias("lo"), F.percentile("v", 0.95).alias("hi")),
         6, "mean_vol", "lo", "hi")
+
+
+# ---- further scans, sinks and small operators ---------------------------------------------------
+
+
+@query("p2_area_filter", "SELECT ts, 'A' || (user_id % 10) AS area, value AS mw FROM events WHERE user_id % 10 <> 9")
+def area_filter(spark, sf):
+    rows = b.readings(spark, sf)
+    return rows.where(F.col("area").isin(b.AREAS)).select("ts", "area", "mw")
+
+
+@query("p5_canonical_columns", f"""WITH {TRANSFERS} SELECT datetime, from_code, from_map, to_code, to_map, capacity_mw,
+contract_type, resolution FROM raw""")
+def canonical_columns(spark, sf):
+    """Records given under the feed's header names, renamed to the canonical columns."""
+    headers = {canonical: header for header, (canonical, _) in FEEDS["transfer_capacity"].columns.items()}
+    rows = b.transfers(spark, sf).drop(*b.CAPACITY_ORDER)
+    foreign = rows.withColumnsRenamed({c: headers[c] for c in rows.columns})
+    return foreign.withColumnsRenamed({h: c for c, h in headers.items()})
+
+
+@query("t1_sorted_panel", f"""WITH {EVENTS} SELECT date, country, variable, round(value, 4) AS value FROM gen""")
+def sorted_panel(spark, sf):
+    return rounded(_generation(spark, sf), 4, "value").orderBy("date", "country", "variable")
+
+
+@query("t7_preview", f"""WITH {EVENTS} SELECT date, country, round(value, 6) AS value FROM load ORDER BY date, country LIMIT 3""")
+def preview(spark, sf):
+    daily = ingest.load_daily(b.readings(spark, sf), b.AREAS)
+    return rounded(daily.orderBy("date", "country").limit(3), 6, "value")
+
+
+@query("a13_panel_range", f"""WITH {RESERVE} SELECT variable, round(min(value), 2) AS low, round(max(value), 2) AS high FROM (
+SELECT 'Price' AS variable, max(price) AS value FROM price_rows GROUP BY date UNION ALL SELECT 'Load', value FROM lf) GROUP BY variable""")
+def panel_range(spark, sf):
+    rows = ingest.price_rows(b.prices(spark, sf), b.zones(spark, sf))
+    top = rows.groupBy("date").agg(F.max("price").alias("value")).select(F.lit("Price").alias("variable"), "value")
+    both = top.unionByName(_load_forecast(spark, sf).select(F.lit("Load").alias("variable"), "value"))
+    return rounded(panel.moments(both, ["variable"]).select("variable", "low", "high"), 2, "low", "high")
+
+
+@query("s9_block_panel_scan", f"""WITH {EVENTS} SELECT variable, count(*) AS n, count(DISTINCT date) AS days FROM gen
+GROUP BY variable""")
+def block_panel_scan(spark, sf):
+    """Panel stored by block (Y, X), read back with the check that both cover the same days."""
+    path = scratch_path(spark, "blocks")
+    block = F.when(F.col("variable") == "Buy", "Y").otherwise("X")
+    dense = panel.on_calendar(_generation(spark, sf), b.calendar(spark, sf))
+    tables.write_panel(dense.withColumn("block", block), path)
+    y, x = tables.read_panel(spark, path)
+    return y.unionByName(x).where("value IS NOT NULL").groupBy("variable").agg(
+        F.count("*").alias("n"), F.countDistinct("date").alias("days"))
+
+
+@query("s11_country_list_scan", "SELECT r_regionkey AS idx, r_name AS country FROM region")
+def country_list_scan(spark, sf):
+    path = scratch_path(spark, "countries")
+    tables.write_countries(b.regions(spark, sf), path)
+    return tables.read_countries(spark, path)
+
+
+def _assembled(spark, sf):
+    flags = F.when(F.col("l_returnflag") == "A", "Wind").when(F.col("l_returnflag") == "N", "Solar").otherwise("Hydro")
+    items = b.table(spark, sf, "lineitem").select(
+        "l_suppkey", F.to_date("l_shipdate").alias("date"), flags.alias("variable"), "l_quantity")
+    generation = (
+        items.join(b.table(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+        .join(b.zone_dim(spark, sf), F.col("s_nationkey") == F.col("n_nationkey"))
+        .groupBy("date", "country", "variable").agg(F.sum("l_quantity").alias("value")))
+    named = lambda df, v: df.select("date", "country", F.lit(v).alias("variable"), "value")
+    return assemble.assemble(
+        generation, named(_load_forecast(spark, sf), "Load"), named(_price(spark, sf), "Price"),
+        named(_reserve(spark, sf), "RM"), b.regions(spark, sf))
+
+
+@query("k3_assembled_panel")
+def assembled_panel(spark, sf):
+    """The whole way from the daily feeds to the standardised panel."""
+    done = _assembled(spark, sf)
+    both = done.endogenous.unionByName(done.exogenous)
+    return rounded(both.select("date", "country", "variable", "value", "z"), 6, "value", "z")
+
+
+@query("k3_scaling_vectors")
+def scaling_vectors(spark, sf):
+    done = _assembled(spark, sf)
+    return rounded(assemble.scaling(done.endogenous), 4, "mean", "std")

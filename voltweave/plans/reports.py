@@ -6,6 +6,33 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+NOTES = {
+    "density": "share of admissible edges present",
+    "reciprocity": "zero in an acyclic graph",
+    "transitivity": "closed out-neighbour pairs",
+    "n_strong_cc": "node count in an acyclic graph",
+}
+
+GLOSSARY = {
+    "G[i, j] = 1": "j drives i",
+    "in-degree of i": "number of drivers of i",
+    "out-degree of j": "number of nodes j drives",
+    "weights": "absolute posterior means",
+}
+
+
+def with_notes(table: DataFrame) -> DataFrame:
+    """Attach the reading note of each graph metric."""
+    pairs = [F.lit(v) for kv in NOTES.items() for v in kv]
+    return table.withColumn("note", F.create_map(*pairs)[F.col("metric")])
+
+
+def write_sheets(sheets: dict[str, DataFrame], path: str) -> None:
+    """One CSV folder per report table."""
+    for name, table in sheets.items():
+        table.write.mode("overwrite").option("header", True).csv(f"{path}/{name}")
+
+
 def _labelled(table: DataFrame, labels: DataFrame, key: str = "node") -> DataFrame:
     """Attach country names; ``labels`` is (idx, label) or (idx, country)."""
     name = "country" if "country" in labels.columns else "label"
@@ -104,5 +131,6 @@ def configuration_rows(draws: DataFrame, ny: int, nx: int, lags: list[int], alph
         F.struct(F.lit(label).alias("label"), value.alias("value")) for label, value in (
             ("Countries (ny)", F.lit(str(ny))), ("Exogenous (nx)", F.lit(str(nx))), ("Lags", F.lit(str(lags))),
             ("Posterior samples", F.col("_n").cast("string")),
-            ("Credible interval", F.lit(f"{round(100 * (1 - alpha))}%")))]))
+            ("Credible interval", F.lit(f"{round(100 * (1 - alpha))}%")),
+            *((label, F.lit(text)) for label, text in GLOSSARY.items()))]))
     return draws.agg(F.count("*").alias("_n")).select(rows.alias("_r")).select("_r.label", "_r.value")
