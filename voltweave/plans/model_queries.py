@@ -8,7 +8,7 @@ from voltweave.functions.fixed import MODEL
 from voltweave.operators import bayes, panel, sampler
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
-from voltweave.runtime import scratch_path
+from voltweave.runtime import cut, scratch_path
 
 # Ten areas: daily purchases are the endogenous series, daily browsing the exogenous ones.
 DIMS = bayes.Dims(ny=10, nz=10, lags=(1, 7))
@@ -42,13 +42,14 @@ def _series(spark, sf):
 
 
 def _design(spark, sf):
-    z = _series(spark, sf)
-    return bayes.design_rows(
-        bayes.day_vectors(z.where("block = 'endo'")), bayes.day_vectors(z.where("block = 'exog'")), DIMS)
+    """Design rows, one per day; kept, since most queries read them several times."""
+    z = cut(_series(spark, sf))
+    return cut(bayes.design_rows(
+        bayes.day_vectors(z.where("block = 'endo'")), bayes.day_vectors(z.where("block = 'exog'")), DIMS))
 
 
-def _cells(spark, sf):
-    whole = bayes.gram(_design(spark, sf).withColumn("k", F.lit(0)), ["k"])
+def _cells(design):
+    whole = bayes.gram(design.withColumn("k", F.lit(0)), ["k"])
     return bayes.gram_cells(whole, DIMS.width, [])
 
 
@@ -63,7 +64,7 @@ def stacked_design(spark, sf):
 
 @query("a38_gram", f"WITH {MODEL_SQL} SELECT a::INT AS a, b::INT AS b, round(s, 6) AS s FROM gram")
 def gram(spark, sf):
-    return rounded(_cells(spark, sf), 6, "s")
+    return rounded(_cells(_design(spark, sf)), 6, "s")
 
 
 @query("a38_weighted_gram", f"""WITH {MODEL_SQL}, h AS (SELECT t, avg(x) AS h FROM design WHERE col < 10 GROUP BY t)
@@ -117,13 +118,13 @@ WHERE g.a < 10 AND g.a <> g.b AND {where}"""
 @query("b7_contemporaneous_scores", _score_sql("12", 10, "g.b < 10"))
 def contemporaneous_scores(spark, sf):
     score = bayes.BlockScore.contemporaneous(DIMS.ny, _days(spark, sf))
-    return rounded(bayes.single_edge_scores(_cells(spark, sf), score, DIMS.ny, F.col("b") < DIMS.ny), 6, "gain")
+    return rounded(bayes.single_edge_scores(_cells(_design(spark, sf)), score, DIMS.ny, F.col("b") < DIMS.ny), 6, "gain")
 
 
 @query("b10_temporal_scores", _score_sql("43", 50, "g.b >= 10"))
 def temporal_scores(spark, sf):
     score = bayes.BlockScore.temporal(DIMS, _days(spark, sf))
-    return rounded(bayes.single_edge_scores(_cells(spark, sf), score, DIMS.ny, F.col("b") >= DIMS.ny), 6, "gain")
+    return rounded(bayes.single_edge_scores(_cells(_design(spark, sf)), score, DIMS.ny, F.col("b") >= DIMS.ny), 6, "gain")
 
 
 # Coefficients for the residual queries: each response's regression on its own first lag.
@@ -137,19 +138,13 @@ qf AS (SELECT u.t, greatest(sum(u.u * p * v.u), 1e-12) AS q FROM u JOIN prec USI
 hp AS (SELECT t, avg(x) AS h FROM design WHERE col < 10 GROUP BY t)"""
 
 
-def _coefs(spark, sf):
-    cells = _cells(spark, sf)
+def _coefs(cells):
     diag = cells.where("a = b").select(F.col("a").alias("b"), F.col("s").alias("_d"))
     return cells.where((F.col("a") < DIMS.ny) & (F.col("b") == F.col("a") + DIMS.ny)).join(diag, "b").select(
         F.col("a").alias("i"), F.col("b").alias("col"), (F.col("s") / F.col("_d")).alias("coef"))
 
 
-def _residuals(spark, sf):
-    return bayes.residual_rows(_design(spark, sf), _coefs(spark, sf), DIMS)
-
-
-def _path(spark, sf):
-    design = _design(spark, sf)
+def _path(design):
     return design.select("t", (F.aggregate(
         F.slice("d", 1, DIMS.ny), F.lit(0.0), lambda a, v: a + v) / DIMS.ny).alias("h"))
 
@@ -157,20 +152,22 @@ def _path(spark, sf):
 @query("b12_residuals", f"""WITH {COEF_SQL} SELECT t::INT AS t, i::INT AS i, round(u, 6) AS u,
 round(u / exp(h / 2), 6) AS u_scaled FROM u JOIN hp USING (t)""")
 def residuals(spark, sf):
-    rows = bayes.scaled_residuals(_residuals(spark, sf), _path(spark, sf))
+    design = _design(spark, sf)
+    u = bayes.residual_rows(design, _coefs(_cells(design)), DIMS)
+    rows = bayes.scaled_residuals(u, _path(design))
     return rounded(rows.select("t", "i", "u", "u_scaled"), 6, "u", "u_scaled")
 
 
-def _forms(spark, sf):
-    n = _days(spark, sf)
-    precision = _cells(spark, sf).where((F.col("a") < DIMS.ny) & (F.col("b") < DIMS.ny)).select(
+def _forms(design, n):
+    cells = cut(_cells(design))
+    precision = cells.where((F.col("a") < DIMS.ny) & (F.col("b") < DIMS.ny)).select(
         F.col("a").alias("i"), F.col("b").alias("j"), (F.col("s") / n).alias("p"))
-    return bayes.quadratic_forms(_residuals(spark, sf), precision)
+    return bayes.quadratic_forms(cut(bayes.residual_rows(design, _coefs(cells), DIMS)), precision)
 
 
 @query("b19_quadratic_forms", f"WITH {COEF_SQL} SELECT t::INT AS t, round(q, 6) AS q FROM qf")
 def quadratic_forms(spark, sf):
-    return rounded(_forms(spark, sf), 6, "q")
+    return rounded(_forms(_design(spark, sf), _days(spark, sf)), 6, "q")
 
 
 @query("b16_volatility_target", f"""WITH {COEF_SQL}, hh AS (SELECT t, h, q, lag(h) OVER w AS hb, lead(h) OVER w AS ha
@@ -178,7 +175,8 @@ FROM hp JOIN qf USING (t) WINDOW w AS (ORDER BY t))
 SELECT t::INT AS t, round(-0.5 * 10 * h - 0.5 * q * exp(-h) + CASE WHEN hb IS NULL THEN -0.5 * h ** 2 / 10 ELSE -0.5 * (h - hb) ** 2 / 0.1 END
 + coalesce(-0.5 * (ha - h) ** 2 / 0.1, 0), 6) AS log_target FROM hh""")
 def volatility_target(spark, sf):
-    path = _path(spark, sf).join(_forms(spark, sf), "t").withColumn("chain", F.lit(0))
+    design = _design(spark, sf)
+    path = _path(design).join(_forms(design, _days(spark, sf)), "t").withColumn("chain", F.lit(0))
     table = bayes.volatility_log_target(path, ["chain"], DIMS.ny, MODEL["sigma_h2_start"], MODEL["v_h0"])
     return rounded(table.select("t", "log_target"), 6, "log_target")
 
@@ -186,7 +184,7 @@ def volatility_target(spark, sf):
 @query("b18_innovation_posterior", f"""WITH {COEF_SQL}, e AS (SELECT h - lag(h) OVER (ORDER BY t) AS eta FROM hp)
 SELECT 10 + count(eta) / 2 AS shape, round(0.01 + 0.5 * sum(eta * eta), 6) AS scale FROM e""")
 def innovation_posterior(spark, sf):
-    path = _path(spark, sf).withColumn("chain", F.lit(0))
+    path = _path(_design(spark, sf)).withColumn("chain", F.lit(0))
     table = bayes.innovation_posterior(path, ["chain"], MODEL["ig_shape"], MODEL["ig_scale"])
     return rounded(table.drop("chain"), 6, "scale")
 
