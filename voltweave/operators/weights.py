@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from voltweave.functions.columns import keep_above
+from voltweave.functions.columns import clip, keep_above
 from voltweave.operators import kernels
 
 
@@ -170,3 +170,16 @@ def top_transmitters(flows: DataFrame, by: str, k: int = 5) -> DataFrame:
     """The k strongest transmitters of each kind (nodes are a dimension; ties by label)."""
     w = Window.partitionBy("kind").orderBy(F.desc(by), "label")
     return flows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def edge_styles(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Line width and opacity per edge within one kind, scaled by that kind's probabilities."""
+    a = nodes.select(F.col("label").alias("source"), F.col("kind").alias("_ks"))
+    b = nodes.select(F.col("label").alias("target"), F.col("kind").alias("_kt"))
+    inside = edges.join(a, "source").join(b, "target").where("_ks = _kt")
+    w = Window.partitionBy("_ks")
+    low, high = F.min("weight").over(w), F.max("weight").over(w)
+    width = F.when(high > low, 0.7 + 2.6 * (F.col("weight") - low) / F.nullif(high - low, F.lit(0.0))).otherwise(1.8)
+    return inside.select(
+        "source", "target", width.alias("width"),
+        clip(0.45 + 0.45 * (F.col("weight") - 0.5) / 0.5, 0.45, 0.9).alias("alpha"))

@@ -150,7 +150,7 @@ def exog(spark: SparkSession, sf: str) -> DataFrame:
     kinds = F.explode(F.array(
         F.struct(F.lit("wind").alias("type"), F.lit(0).alias("shift")),
         F.struct(F.lit("solar").alias("type"), F.lit(4).alias("shift"))))
-    return regions(spark, sf).where("idx < 4").select("idx", "country", kinds.alias("_k")).select(
+    return regions(spark, sf).where(F.col("idx") < GAMMA.rows).select("idx", "country", kinds.alias("_k")).select(
         (F.col("idx") + F.col("_k.shift")).alias("j"),
         F.concat_ws("_", "country", "_k.type").alias("label"),
         F.col("idx").alias("country_idx"), F.col("country").alias("source_country"), "_k.type")

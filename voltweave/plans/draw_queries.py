@@ -5,7 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import functions as F
 
-from voltweave.functions.columns import ess_light, geweke_light, keep_above, pip_label, rhat_light
+from voltweave.functions.columns import (
+    credible_lower, ess_light, geweke_light, keep_above, pip_label, rhat_light, volatility,
+)
 from voltweave.functions.fixed import MPM_THRESHOLDS, WEIGHT_THRESHOLDS
 from voltweave.operators import diagnostics as dg
 from voltweave.operators import draws as dr
@@ -108,6 +110,24 @@ def probability_labels(spark, sf):
     return pips.select("i", "j", pip_label(F.col("mean")).alias("label"))
 
 
+@query("j12_selected_coefficients", f"""WITH {q.DRAWS} SELECT lag, i, j, round(CASE WHEN avg(g) > 0.5 THEN avg(x) ELSE 0 END, 8) AS coef
+FROM phi GROUP BY ALL""")
+def selected_coefficients(spark, sf):
+    """Posterior mean where the edge belongs to the median probability model, else 0."""
+    d = b.draws(spark, sf)
+    means = dr.cell_average(d, "x", b.PHI).join(
+        dr.cell_average(d, "g", b.PHI).select("cell", F.col("mean").alias("pip")), "cell")
+    coef = F.when(F.col("pip") > 0.5, F.col("mean")).otherwise(0.0)
+    return rounded(means.select("lag", "i", "j", coef.alias("coef")), 8, "coef")
+
+
+@query("f14_volatility_bands", f"WITH {q.DRAWS}, s AS (SELECT cell AS t, exp(0.5 * x) AS v FROM c) " + q.moments("s", "t", "v"))
+def volatility_bands(spark, sf):
+    """Residual scale per day: transformed draw by draw, then summarised."""
+    d = b.draws(spark, sf).select(F.posexplode("x").alias("t", "h")).select("t", volatility(F.col("h")).alias("v"))
+    return rounded(dr.summarise(d, ["t"], "v"), 6, "mean", "median", "ci_low", "ci_high")
+
+
 SCALARS_SQL = """
 sc AS (
 SELECT chain, draw, 'G0_active' AS name, sum(g) AS value FROM g0 GROUP BY ALL
@@ -356,6 +376,18 @@ def gamma_edges(spark, sf):
                    6, "edge_prob", "ci_lower")
 
 
+@query("f12_credible_mask", f"""WITH {q.DRAWS}, pip AS (SELECT cell, lag, i, j, avg(g) AS p FROM phi GROUP BY ALL),
+{q.pooled_acf('c', 'g', '1000', True)}, {q.INITIAL_POSITIVE}
+SELECT lag, i, j, least(greatest(p - 1.2815515655446004 * sqrt(p * (1 - p) / (n / (1 + 2 * total))), 0), 1) > 0.5 AS credible
+FROM pip JOIN possum USING (cell)""")
+def credible_mask(spark, sf):
+    """Credible temporal edges with the uncapped, biased ESS."""
+    n = b.n_keep(spark, sf) * b.N_CHAINS
+    table = dr.cell_average(b.draws(spark, sf), "g", b.PHI).join(dg.ess_biased(_pooled(spark, sf), "g", n), "cell")
+    low = credible_lower(F.col("mean"), F.col("n_eff"), 0.10)
+    return table.select("lag", "i", "j", (low > 0.5).alias("credible"))
+
+
 @query("a34_slice_counts", f"""WITH {q.DRAWS}, {q.EDGES} SELECT 0 AS lag, count(*) FILTER (admissible) AS n_admissible,
 count(*) FILTER (selected_naive) AS n_naive, count(*) FILTER (selected_credible) AS n_credible,
 round(count(*) FILTER (selected_naive) / count(*) FILTER (admissible), 6) AS density_naive,
@@ -705,7 +737,7 @@ def driver_slices(spark, sf):
 
 def _kinds(spark, sf):
     """Nodes of G0 with two kinds: even indices Price, odd indices Load."""
-    return b.nation_labels(spark, sf).where("idx < 8").withColumn(
+    return b.nation_labels(spark, sf).where(F.col("idx") < b.G0.rows).withColumn(
         "kind", F.when(F.col("idx") % 2 == 0, "Price").otherwise("Load"))
 
 
@@ -749,6 +781,15 @@ def top_transmitters(spark, sf):
     return rounded(wt.top_transmitters(flows, "out_degree", 2).select("kind", "label", "out_degree", "rank"), 6, "out_degree")
 
 
+@query("f15_edge_styles", f"""WITH {q.DRAWS}, {KINDS_SQL}, e AS (SELECT s.label AS source, t.label AS target, s.kind, w AS weight
+FROM pe JOIN nd s ON s.idx = j JOIN nd t ON t.idx = i WHERE s.kind = t.kind)
+SELECT source, target, round(CASE WHEN max(weight) OVER k > min(weight) OVER k
+  THEN 0.7 + 2.6 * (weight - min(weight) OVER k) / (max(weight) OVER k - min(weight) OVER k) ELSE 1.8 END, 6) AS width,
+round(least(greatest(0.45 + 0.45 * (weight - 0.5) / 0.5, 0.45), 0.9), 6) AS alpha FROM e WINDOW k AS (PARTITION BY kind)""")
+def edge_styles(spark, sf):
+    return rounded(wt.edge_styles(_pip_edges(spark, sf), _kinds(spark, sf).select("label", "kind")), 6, "width", "alpha")
+
+
 @query("a36_coefficient_flows", f"""WITH {q.DRAWS}, {KINDS_SQL}, ce AS (SELECT i, j, avg(x) AS c FROM g0 WHERE i <> j GROUP BY ALL),
 k AS (SELECT i, j, c FROM ce JOIN nd s ON s.idx = j JOIN nd t ON t.idx = i WHERE s.kind = t.kind AND abs(c) > 0.002)
 SELECT idx, label, kind, round(o, 8) AS out_strength, round(n, 8) AS in_strength, round(so - si, 8) AS net_flow_signed,
