@@ -11,18 +11,21 @@ from pyspark.sql import DataFrame, SparkSession
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach; the cluster names it in ``spark.checkpoint.dir``."""
     sc = spark.sparkContext
-    current = sc.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
-        configured = tempfile.mkdtemp(prefix="voltweave-")
-    sc.setCheckpointDir(configured)
+    if not sc.getCheckpointDir():
+        configured = spark.conf.get("spark.checkpoint.dir", None)
+        if not configured:
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def local_default(spark: SparkSession) -> None:
+    """Give a session on this one machine (tests, bench) a folder where it names none itself."""
+    sc = spark.sparkContext
+    if sc.master.split("[")[0] == "local" and not sc.getCheckpointDir() and not spark.conf.get("spark.checkpoint.dir", None):
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="voltweave-"))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise an intermediate result as a table in the shared folder and go on from its scan.
 
