@@ -165,24 +165,25 @@ def classify(model: Model, data: np.ndarray, offsets: np.ndarray) -> tuple[np.nd
     return np.where(none, -1, best), np.where(none, 0.0, score)
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """Every column of ``docs`` with ``lang_pred`` and ``score`` (columns of those names are replaced).
+def predict(docs: DataFrame, model: Model, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """Every column of ``docs`` with prediction and score under ``names`` (columns of those names are replaced).
 
     NULL texts and texts without a letter are ``und`` with score 0, as is everything under a model
-    without languages. Ties go to the first language in alphabetical order; repeated rows stay.
+    without languages. Ties go to the first language in alphabetical order; repeated rows stay; an empty
+    table stays empty.
     """
-    docs = docs.drop("lang_pred", "score")
+    docs = docs.drop(*names)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # buckets x languages floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        names = pa.array([*m.languages, UNKNOWN])
+        values = pa.array([*m.languages, UNKNOWN])
         for batch in batches:
             for part in slices(batch):
                 best, score = classify(m, *text_bytes(part.column("text")))
-                pred = pc.take(names, pa.array(np.where(best < 0, len(m.languages), best)))
+                pred = pc.take(values, pa.array(np.where(best < 0, len(m.languages), best)))
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns, pred, pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
+                    [*part.columns, pred, pa.array(score, pa.float64())], [*part.schema.names, *names])
 
     return docs.mapInArrow(run, StructType([
-        *docs.schema, StructField("lang_pred", StringType()), StructField("score", DoubleType())]))
+        *docs.schema, StructField(names[0], StringType()), StructField(names[1], DoubleType())]))

@@ -219,10 +219,10 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group: that with the smallest doc_id (one without an id only if no other is there);
     of repeated rows one. All columns of ``docs`` stay as they are."""
     names = docs.columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_row")
-    own = cut(fingerprints(docs.select("doc_id", "text", row), ["doc_id", "_row"]))
-    known = own.join(cut(groups(own, radius)), "fp", "left").withColumn("_group", F.coalesce("component", "fp"))
-    first = known.groupBy("_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_first"))
-    first = first.select(F.col("_first.doc_id").alias("_id"), F.col("_first._row").alias("_row")).distinct()
-    kept = docs.withColumn("_row", row).join(first, "_row").where(F.col("doc_id").eqNullSafe(F.col("_id")))
-    return kept.dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in names])
+    row = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_vw_row")
+    own = cut(fingerprints(docs.select("doc_id", "text", row), ["doc_id", "_vw_row"]))
+    known = own.join(cut(groups(own, radius)), "fp", "left").withColumn("_vw_group", F.coalesce("component", "fp"))
+    first = known.groupBy("_vw_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_vw_row")).alias("_vw_first"))
+    first = first.select(F.col("_vw_first.doc_id").alias("_vw_id"), F.col("_vw_first._vw_row").alias("_vw_row")).distinct()
+    kept = docs.withColumn("_vw_row", row).join(first, "_vw_row").where(F.col("doc_id").eqNullSafe(F.col("_vw_id")))
+    return kept.dropDuplicates(["_vw_row"]).select(*[F.col(f"`{c}`") for c in names])
