@@ -148,7 +148,8 @@ def compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     led = by_kind.withColumn("_next", F.lead("fp").over(Window.partitionBy("bucket").orderBy("rn")))
     led = led.join(heads, "bucket", "left").withColumn("next_fp", F.coalesce("_next", "_head"))
     distinct = own.where("kind = 0").select("fp").distinct()
-    found = led.join(near_counts(distinct, radius), "fp", "left")
+    # Written, so that the join below has two plain sides and a fingerprint of many copies can be split.
+    found = led.join(cut(near_counts(distinct, radius)), "fp", "left")
     return found.select(
         "doc_id", "n_chars", "edited_sha256", hex16("fp").alias("fingerprint"), hex16("edited_fp").alias("edited_fingerprint"),
         likeness("fp", "edited_fp").alias("near_edited"), likeness("fp", "next_fp").alias("near_next"),

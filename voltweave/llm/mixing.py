@@ -69,11 +69,11 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     an error. NULL counts as the source of that name ''. The order within a source is by a hash of the row;
     repeated rows follow each other. Columns of the same names are replaced; an empty table stays empty.
     """
-    docs = docs.drop(*names)
-    columns = docs.columns
-    # A hash of the row, salted: neither the order of ids nor of texts shows in the mixture.
-    row = F.xxhash64(F.lit("mix"), *[F.col(f"`{c}`") for c in columns])
-    docs = docs.withColumn("_vw_source", F.coalesce(F.col(f"`{source}`"), F.lit(""))).withColumn("_vw_row", row)
+    # A hash of the whole row, salted: neither the order of ids nor of texts shows in the mixture.
+    row = F.xxhash64(F.lit("mix"), *[F.col(f"`{c}`") for c in docs.columns])
+    docs = docs.withColumn("_vw_row", row).drop(*names)
+    columns = [c for c in docs.columns if c != "_vw_row"]
+    docs = docs.withColumn("_vw_source", F.coalesce(F.col(f"`{source}`"), F.lit("")))
     sizes = {r[0]: r[1] for r in docs.groupBy("_vw_source").count().limit(MAX_SOURCES + 1).collect()}
     if len(sizes) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import product
@@ -38,7 +39,9 @@ THREATS = ["kill", "hurt", "destroy", "beat", "burn", "murder", "töten", "umbri
 SAMPLE_PER_LABEL = 2000
 MIN_DOCS = 4
 MIN_WEIGHT = 2.2
-STEMS = (5, 6)
+STEMS = (4, 5, 6, 7, 8)
+#: Different words that a stem must have been seen in.
+STEM_WORDS = 4
 THRESHOLD = 0.7
 THREAT_WEIGHT = 1.5
 #: Factors of the grammar.
@@ -169,15 +172,19 @@ def learn(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
     units = [F.transform(words, lambda w: F.concat(F.lit("0"), w)), *[_stems(words, n) for n in STEMS]]
     unit = picked.select("label", F.explode(F.array_distinct(F.concat(*units))).alias("unit"))
     seen = unit.groupBy("unit").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
-    seen = seen.where(f"bad >= {MIN_DOCS} AND 10 * (all - bad) <= bad").selectExpr("int(left(unit, 1)) AS n", "substr(unit, 2) AS unit", "bad", "all")
+    seen = seen.where("bad >= 2 AND all <= 2 * bad").selectExpr("int(left(unit, 1)) AS n", "substr(unit, 2) AS unit", "bad", "all")
     n1 = min(per_label, counts[1])
     n0 = min(per_label, counts[0])
-    words_, stems = {}, {}
-    for r in seen.collect():  # units of the bounded sample
+    words_, stems, spread = {}, {}, Counter()
+    found = seen.collect()  # units of the bounded sample
+    for r in found:
+        if not r.n:
+            spread.update(r.unit[:n] for n in STEMS if len(r.unit) >= n)
+    for r in found:
         weight = math.log((r.bad + 0.5) / (n1 + 1)) - math.log((r["all"] - r.bad + 0.5) / (n0 + 1))
         # A weight must stand out of chance: its lower bound counts.
         weight -= 1.5 * math.sqrt(1 / (r.bad + 0.5) + 1 / (r["all"] - r.bad + 0.5))
-        if weight >= MIN_WEIGHT:
+        if r.bad >= MIN_DOCS and weight >= MIN_WEIGHT and (not r.n or spread[r.unit] >= STEM_WORDS):
             (stems if r.n else words_)[r.unit] = min(weight, 6.0)
     model = Model(words_, stems, 1.0, -4.0)
     scored = weigh(picked.select("label", "text"), model, ["label"]).select("label", "weight").toPandas()
