@@ -120,3 +120,24 @@ def test_pooled_ess_variants(spark, sample):
                 break
             total += r
         assert np.isclose(second[k], n / (1 + 2 * total))
+
+
+def test_one_chain_falls_back_to_its_own_series(spark):
+    rng = np.random.default_rng(8)
+    x = np.zeros(400)
+    for t in range(1, 400):
+        x[t] = 0.95 * x[t - 1] + rng.normal()
+    draws = spark.createDataFrame([(0, t, [float(v)]) for t, v in enumerate(x)], "chain int, draw long, x array<double>")
+    got = dg.ess_multichain(draws, "x").first()
+    own = dg.ess_geyer(draws, ["chain"], "draw", "x").first()
+    assert np.isclose(got.ess, own.ess) and got.ess < 100 and got.total == 400
+
+
+def test_frozen_chains_that_disagree_need_no_lags(spark, monkeypatch):
+    rows = [(c, t, [float(c), float((t * 7 + c) % 5)]) for c in range(2) for t in range(600)]
+    draws = spark.createDataFrame(rows, "chain int, draw long, x array<double>")
+    asked = []
+    real = dg.lag_products
+    monkeypatch.setattr(dg, "lag_products", lambda *a: asked.append(a[5]) or real(*a))
+    got = {r.cell: r.ess for r in dg.ess_multichain(draws, "x").collect()}
+    assert got[0] == 1200 and asked == [256]

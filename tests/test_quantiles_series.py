@@ -12,32 +12,44 @@ def _rows(df, *order):
     return df.orderBy(*order).toPandas()
 
 
-@pytest.mark.parametrize("limit,buckets", [(10**6, 16), (7, 4), (20, 3), (1, 2)])
-def test_exact_quantiles_equal_numpy(spark, limit, buckets):
+def test_exact_quantiles_equal_numpy(spark):
     rng = np.random.default_rng(3)
     data = {
         "heavy": np.concatenate([rng.normal(size=300), [1e9, -1e9]]),
         "ties": rng.integers(0, 3, 250).astype(float),
         "tiny": np.array([4.0, 1.0]),
         "const": np.full(90, 2.5),
+        "full": np.concatenate([np.full(900, 7.0), rng.normal(size=100)]),
+        None: np.array([1.0, 3.0]),
     }
-    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("heavy", None)]
-    df = spark.createDataFrame(rows, "k string, v double")
-    got = exact_quantiles(df, ["k"], "v", {"lo": 0.05, "med": 0.5, "hi": 0.95}, limit, buckets)
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("heavy", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(7)
+    got = exact_quantiles(df, ["k"], "v", {"lo": 0.05, "med": 0.5, "hi": 0.95}, "mean")
     got = {r.k: r for r in got.collect()}
     assert set(got) == set(data)
     for k, vs in data.items():
         want = np.quantile(vs, [0.05, 0.5, 0.95])
         assert np.allclose([got[k].lo, got[k].med, got[k].hi], want, rtol=1e-12, atol=0), k
+        assert np.isclose(got[k]["mean"], vs.mean(), atol=1e-9), k
+
+
+def test_exact_quantiles_with_infinities_and_nan(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [("p", v) for v in [inf, *map(float, range(499))]] + [("n", v) for v in [-inf, -inf, 1.0]] + [
+        ("x", v) for v in [nan, 1.0, 2.0]] + [("i", inf), ("i", inf)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(5)
+    got = {r.k: r.q for r in exact_quantiles(df, ["k"], "v", {"q": 0.5}).collect()}
+    assert got == {"p": 249.5, "n": -inf, "x": 2.0, "i": inf}
 
 
 def test_exact_quantiles_without_keys(spark):
     df = spark.range(101).select(F.col("id").cast("double").alias("v"))
-    row = exact_quantiles(df, [], "v", {"q": 0.9}, 10, 4).collect()
+    row = exact_quantiles(df, [], "v", {"q": 0.9}).collect()
     assert [r.q for r in row] == [90.0]
+    assert exact_quantiles(df.where("v < 0"), [], "v", {"q": 0.9}).collect() == []
 
 
-@pytest.mark.parametrize("block,lo,hi", [(4, 0, 4), (4, 3, 7), (16, 0, 9), (4, 9, 12), (64, 0, 40)])
+@pytest.mark.parametrize("block,lo,hi", [(4, 0, 4), (4, 3, 7), (16, 0, 9), (4, 9, 12), (64, 0, 40), (4, 0, 37), (5, 2, 31)])
 def test_lag_products_across_blocks(spark, block, lo, hi):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(37, 3))

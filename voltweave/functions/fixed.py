@@ -11,41 +11,73 @@ PRODUCTION_MAP = {
 }
 
 # Area codes accepted by the generation, load and forecast scans.
-AREA_CODES = (
-    "AT BA BE BG CH CZ DE DK EE ES FI FR GB GR HR HU IE IT LT LV MD ME NL NO PL PT RO RS SE SI SK"
-).split()
+AREA_CODES = [
+    "AT", "BA", "BE", "BG", "CH", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GR", "HR", "HU", "IE",
+    "IT", "LT", "LV", "MD", "ME", "NL", "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK",
+]
 
 # Area codes accepted by the transfer-capacity scan.
-NETWORK_CODES = (
-    "AT BA BE BG CH CY CZ DE DK EE ES FI FR GB GE GR HR HU IE IT LT LU LV MD ME NL NO PL PT RO RS "
-    "SE SI SK"
-).split()
+NETWORK_CODES = [
+    "AT", "BA", "BE", "BG", "CH", "CY", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GB", "GE", "GR", "HR",
+    "HU", "IE", "IT", "LT", "LU", "LV", "MD", "ME", "NL", "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK",
+]
 
 # Countries considered for the panel, in panel order.
-PANEL_COUNTRIES = (
-    "AT BA BE BG CH CZ DE DK EE ES FI FR GR HR HU IE IT LT LV MD ME NL NO PL PT RO RS SE SI SK"
-).split()
+PANEL_COUNTRIES = [
+    "AT", "BA", "BE", "BG", "CH", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IT",
+    "LT", "LV", "MD", "ME", "NL", "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK",
+]
 
-# Price zones that carry their country's own code.
-NATIONAL_ZONES = (
-    "AT BE BG CH CZ EE ES FI FR GB GR HR HU LT LV MD ME NL PL PT RO RS SI SK BA"
-).split()
-
-# Price zones of the countries that are split or joined.
-SPLIT_ZONES = {
-    "DE": ["DE_LU"],
-    "IT": [
-        "IT-Calabria", "IT-CNORTH", "IT-CSOUTH", "IT-NORTH", "IT-SACOAC",
-        "IT-SACODC", "IT-Sardinia", "IT-Sicily", "IT-SOUTH",
-    ],
-    "NO": ["NO1", "NO2", "NO3", "NO4", "NO5", "NO2NSL"],
-    "SE": ["SE1", "SE2", "SE3", "SE4"],
-    "DK": ["DK1", "DK2"],
-    "IE": ["IE_SEM"],
-}
-
-ZONE_TO_COUNTRY = {zone: zone for zone in NATIONAL_ZONES} | {
-    zone: country for country, zones in SPLIT_ZONES.items() for zone in zones
+# Price zones and their country.
+ZONE_TO_COUNTRY = {
+    "AT": "AT",
+    "BE": "BE",
+    "BG": "BG",
+    "CH": "CH",
+    "CZ": "CZ",
+    "EE": "EE",
+    "ES": "ES",
+    "FI": "FI",
+    "FR": "FR",
+    "GB": "GB",
+    "GR": "GR",
+    "HR": "HR",
+    "HU": "HU",
+    "LT": "LT",
+    "LV": "LV",
+    "MD": "MD",
+    "ME": "ME",
+    "NL": "NL",
+    "PL": "PL",
+    "PT": "PT",
+    "RO": "RO",
+    "RS": "RS",
+    "SI": "SI",
+    "SK": "SK",
+    "BA": "BA",
+    "DE_LU": "DE",
+    "IT-Calabria": "IT",
+    "IT-CNORTH": "IT",
+    "IT-CSOUTH": "IT",
+    "IT-NORTH": "IT",
+    "IT-SACOAC": "IT",
+    "IT-SACODC": "IT",
+    "IT-Sardinia": "IT",
+    "IT-Sicily": "IT",
+    "IT-SOUTH": "IT",
+    "NO1": "NO",
+    "NO2": "NO",
+    "NO3": "NO",
+    "NO4": "NO",
+    "NO5": "NO",
+    "NO2NSL": "NO",
+    "SE1": "SE",
+    "SE2": "SE",
+    "SE3": "SE",
+    "SE4": "SE",
+    "DK1": "DK",
+    "DK2": "DK",
+    "IE_SEM": "IE",
 }
 
 # Panel columns dropped as unreliable.

@@ -9,6 +9,7 @@ from voltweave.functions.columns import bernoulli_kl
 from voltweave.operators.series import (
     autocovariance_sums, centred, lag_products, monotone_tau,
 )
+from voltweave.runtime import cut
 
 
 def chain_moments(draws: DataFrame, x: str) -> DataFrame:
@@ -46,8 +47,10 @@ def autocorrelations(pooled: DataFrame, x: str, max_lag: int) -> DataFrame:
     return sums.join(zero, "cell").select("cell", "lag", "n", rho.alias("rho"))
 
 
-def autocovariances(draws: DataFrame, x: str, max_lag: int) -> DataFrame:
-    """Autocovariance per chain, cell and lag, divided by n."""
+def autocovariances(draws: DataFrame, x: str, max_lag: int | None = None) -> DataFrame:
+    """Autocovariance per chain, cell and lag, divided by n; all lags unless a largest one is given."""
+    if max_lag is None:
+        max_lag = (draws.groupBy("chain").count().agg(F.max("count")).first()[0] or 1) - 1
     sums = autocovariance_sums(draws, ["chain"], "draw", x, max_lag)
     return sums.select("chain", "cell", "lag", (F.col("s") / F.col("n")).alias("acov"))
 
@@ -98,7 +101,8 @@ def ess_geyer(series: DataFrame, keys: list[str], pos: str, x: str) -> DataFrame
     stats = long.groupBy(*keys, "cell").agg(
         F.count("*").alias("n"), F.avg("value").alias("mean"),
         F.var_samp("value").alias("var"), F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    longest = stats.agg(F.max("n")).first()[0]
+    stats = cut(stats)
+    longest = stats.agg(F.max("n")).first()[0] or 0
     even = centred(series, keys, x)
     zero = (
         even.select(*keys, F.posexplode(x).alias("cell", "value"))
@@ -118,21 +122,33 @@ def ess_geyer(series: DataFrame, keys: list[str], pos: str, x: str) -> DataFrame
 
 def ess_multichain(draws: DataFrame, x: str) -> DataFrame:
     """Combined ESS per cell: within-chain autocovariances averaged over chains and scaled by the
-    mixed variance, so chains that disagree count for less. Constant cells give m * n."""
-    mix = between_within(draws, x)
-    longest = mix.agg(F.max("n")).first()[0]
+    mixed variance, so chains that disagree count for less.
+
+    Cells whose chains never move give m * n, and leave before any lag is computed. Fewer than two
+    chains or four draws are one series, chain after chain.
+    """
+    mix = cut(between_within(draws, x))
+    shape = mix.agg(F.max("m").alias("m"), F.max("n").alias("n")).first()
+    if shape.m is None:
+        return mix.select("cell", F.lit(0.0).alias("total"), F.lit(0.0).alias("ess"))
+    if shape.m < 2 or shape.n < 4:
+        chains = sorted(r[0] for r in draws.select("chain").distinct().collect())
+        at = F.array_position(F.array(*[F.lit(c) for c in chains]), F.col("chain")) - 1
+        alone = ess_geyer(draws.withColumn("_pos", at * shape.n + F.col("draw")), [], "_pos", x)
+        return alone.select("cell", F.col("n").cast("double").alias("total"), "ess")
     even = centred(draws, ["chain"], x)
+    moving = mix.where("w > 0")
 
     def rho_at(lo: int, hi: int) -> DataFrame:
         mean_acov = lag_products(even, ["chain"], "draw", x, lo, hi).join(
-            mix.select("cell", "n", "m", "w", "var_hat"), "cell"
+            moving.select("cell", "n", "m", "w", "var_hat"), "cell"
         ).groupBy("cell", "n", "lag").agg(
             (F.sum("s") / F.first("n") / F.first("m")).alias("_a"),
             F.first("w").alias("w"), F.first("var_hat").alias("var_hat"))
         rho = 1.0 - (F.col("w") - F.col("_a")) / F.nullif("var_hat", F.lit(0.0))
         return mean_acov.select("cell", "n", "lag", rho.alias("rho"))
 
-    taus = monotone_tau(rho_at, ["cell"], longest)
+    taus = monotone_tau(rho_at, ["cell"], shape.n)
     total = (F.col("m") * F.col("n")).cast("double")
     ess = F.when((F.col("w") == 0) | F.col("tau").isNull(), total).otherwise(total / F.col("tau"))
     return mix.join(taus, "cell", "left").select("cell", total.alias("total"), ess.alias("ess"))

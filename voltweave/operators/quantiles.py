@@ -1,130 +1,75 @@
-"""Exact interpolated quantiles of groups of any size.
+"""Exact interpolated quantiles of groups of any size, in one way for all of them.
 
-``percentile`` keeps every distinct value of a group in one task, which is fine for groups of
-bounded size. Larger groups are narrowed first: each pass histograms the current value interval
-of a group (map-side combined, a few thousand rows shuffled), keeps the bucket holding the wanted
-rank, and stops once the bucket is small enough to sort. The data itself is never shuffled until
-then, and no row is dropped: the rank offset of the skipped buckets is carried along.
+Equal values of a group are counted first, combined before the shuffle, so a value that fills a group is
+one row. The counts are dealt by range of (group, value), which splits a large group over tasks; the sums
+of the parts say in which part each wanted rank lies, and only those parts are numbered. No group,
+however large, comes together, no value is dropped, and nothing is read by the driver.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from voltweave.runtime import cut
 
-GROUP_LIMIT = 500_000
-BUCKETS = 2048
-
 
 def exact_quantiles(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    quantiles: dict[str, float],
-    group_limit: int = GROUP_LIMIT,
-    buckets: int = BUCKETS,
+    df: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], mean: str | None = None
 ) -> DataFrame:
-    """One row per group with a column per named quantile (linear interpolation, NULL skipped)."""
+    """One row per group with a column per named quantile (linear interpolation), and the mean if named.
+
+    NULL values are skipped; infinities count as the smallest and largest, NaN as larger still; NULL is a
+    group of its own; a group without values gives no row. Between two unequal infinities the result is
+    NaN or infinite, as the arithmetic says.
+    """
     keys = list(keys)
     if not keys:
         whole = df.withColumn("_whole", F.lit(0))
-        return exact_quantiles(whole, ["_whole"], value, quantiles, group_limit, buckets).drop("_whole")
-    base = df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
-    sizes = base.groupBy(*keys).agg(
-        F.count("*").alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi")
-    )
-    largest = sizes.agg(F.max("_n")).first()[0] or 0
-    if largest <= group_limit:
-        return _small(base, keys, quantiles)
-    heavy = cut(sizes.where(F.col("_n") > group_limit))
-    light_rows = base.join(heavy.select(*keys), keys, "left_anti")
-    return _small(light_rows, keys, quantiles).unionByName(
-        _narrowed(base, heavy, keys, quantiles, group_limit, buckets)
-    )
-
-
-def _small(base: DataFrame, keys: list[str], quantiles: dict[str, float]) -> DataFrame:
-    packed = base.groupBy(*keys).agg(
-        F.percentile("_v", [float(p) for p in quantiles.values()]).alias("_q")
-    )
-    return packed.select(
-        *keys, *[F.col("_q")[k].alias(name) for k, name in enumerate(quantiles)]
-    )
-
-
-def _narrowed(base, heavy, keys, quantiles, group_limit, buckets) -> DataFrame:
-    ranks = heavy
-    for k, p in enumerate(quantiles.values()):
-        ranks = ranks.withColumn(f"_p{k}", (F.col("_n") - 1) * F.lit(float(p)))
-    wanted = F.array(*[
-        r for k in range(len(quantiles))
-        for r in (F.floor(f"_p{k}"), F.ceil(f"_p{k}"))
-    ])
-    open_ = ranks.select(
-        *keys, F.explode(F.array_distinct(wanted)).alias("_rank"), "_lo", "_hi",
-        F.lit(0).cast("long").alias("_before"), F.col("_n").alias("_inside"),
-    )
-    done = None
-    while True:
-        closed = (F.col("_inside") <= group_limit) | (F.col("_lo") == F.col("_hi"))
-        part = open_.where(closed)
-        done = part if done is None else done.unionByName(part)
-        open_ = open_.where(~closed)
-        if open_.isEmpty():
-            break
-        open_ = cut(_refine(base, open_, keys, buckets))
-    picked = _pick(base, done, keys)
-    table = picked.groupBy(*keys).agg(F.map_from_entries(
-        F.collect_list(F.struct("_rank", "_value"))).alias("_at"))
-    out = ranks.join(table, keys)
-    cols: list[Column] = []
-    for k, name in enumerate(quantiles):
-        low = F.col("_at")[F.floor(f"_p{k}")]
-        high = F.col("_at")[F.ceil(f"_p{k}")]
-        cols.append((low + (F.col(f"_p{k}") - F.floor(f"_p{k}")) * (high - low)).alias(name))
-    return out.select(*keys, *cols)
-
-
-def _refine(base, open_, keys, buckets) -> DataFrame:
-    spans = open_.select(*keys, "_lo", "_hi").distinct()
-    inside = base.join(spans, keys).where("_v >= _lo AND _v <= _hi")
-    # Halving first keeps the span finite; the map from value to bucket stays monotone.
-    share = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-    hist = (
-        inside.withColumn("_b", F.least(F.floor(share * buckets), F.lit(buckets - 1)))
-        .groupBy(*keys, "_lo", "_hi", "_b")
-        .agg(F.count("*").alias("_c"), F.min("_v").alias("_blo"), F.max("_v").alias("_bhi"))
-    )
-    # At most `buckets` rows per interval.
-    w = Window.partitionBy(*keys, "_lo", "_hi").orderBy("_b")
-    hist = hist.withColumn("_upto", F.sum("_c").over(w))
-    hit = open_.join(hist, [*keys, "_lo", "_hi"]).where(
-        (F.col("_rank") - F.col("_before") < F.col("_upto"))
-        & (F.col("_rank") - F.col("_before") >= F.col("_upto") - F.col("_c"))
-    )
-    return hit.select(
-        *keys, "_rank", F.col("_blo").alias("_lo"), F.col("_bhi").alias("_hi"),
-        (F.col("_before") + F.col("_upto") - F.col("_c")).alias("_before"),
-        F.col("_c").alias("_inside"),
-    )
+        return exact_quantiles(whole, ["_whole"], value, quantiles, mean).drop("_whole")
+    counts = (
+        df.select(*keys, F.col(value).cast("double").alias("_v")).where("_v IS NOT NULL")
+        .groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    dealt = counts.repartitionByRange(*keys, "_v").withColumn("_part", F.spark_partition_id())
+    dealt = cut(dealt)
+    parts = dealt.groupBy(*keys, "_part").agg(F.sum("_c").alias("_here"), F.sum(F.col("_v") * F.col("_c")).alias("_s"))
+    # One row per group and task.
+    own = Window.partitionBy(*keys)
+    parts = parts.withColumns({
+        "_n": F.sum("_here").over(own), "_before": F.sum("_here").over(own.orderBy("_part")) - F.col("_here"),
+        "_mean": F.sum("_s").over(own) / F.sum("_here").over(own)})
+    ranks = [(F.col("_n") - 1) * F.lit(float(p)) for p in quantiles.values()]
+    wanted = F.array_distinct(F.array(*[f(r).cast("long") for r in ranks for f in (F.floor, F.ceil)]))
+    wanted = parts.select(*keys, "_part", "_n", "_mean", "_before", "_here", F.explode(wanted).alias("_rank")).where(
+        "_rank >= _before AND _rank < _before + _here")
+    numbered = matched(dealt, wanted.select(*keys, "_part").distinct(), [*keys, "_part"])
+    upto = F.sum("_c").over(Window.partitionBy(*keys, "_part").orderBy("_v"))
+    numbered = numbered.withColumn("_upto", upto)
+    found = matched(numbered, wanted, [*keys, "_part"], ["_n", "_mean", "_before", "_rank"]).where(
+        "_rank - _before < _upto AND _rank - _before >= _upto - _c")
+    at = found.groupBy(*keys, "_n", "_mean").agg(
+        F.map_from_entries(F.collect_list(F.struct("_rank", "_v"))).alias("_at"))
+    columns = [_between(F.col("_at"), r).alias(name) for name, r in zip(quantiles, ranks)]
+    return at.select(*keys, *([F.col("_mean").alias(mean)] if mean else []), *columns)
+
+
+def _between(at: Column, rank: Column) -> Column:
+    low, high = at[F.floor(rank).cast("long")], at[F.ceil(rank).cast("long")]
+    return F.when(low == high, low).otherwise(low + (rank - F.floor(rank)) * (high - low))
+
+
+def matched(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str] = (), how: str = "inner"
+) -> DataFrame:
+    """Join on keys in which NULL equals NULL; ``take`` are the columns kept of the right side."""
+    named = right.select(*[F.col(k).alias(f"_r_{k}") for k in keys], *take)
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys])
+    return left.join(named, same, how).drop(*[f"_r_{k}" for k in keys])
 
 
-def _pick(base, done, keys) -> DataFrame:
-    """Value at each rank: its interval is a single value or holds few enough rows to sort."""
-    done = cut(done)
-    flat = done.where("_lo = _hi").select(*keys, "_rank", F.col("_lo").alias("_value"))
-    rest = done.where("_lo <> _hi")
-    spans = rest.select(*keys, "_lo", "_hi").distinct()
-    lists = (
-        base.join(spans, keys).where("_v >= _lo AND _v <= _hi")
-        .groupBy(*keys, "_lo", "_hi").agg(F.sort_array(F.collect_list("_v")).alias("_vs"))
-    )
-    narrow = rest.join(lists, [*keys, "_lo", "_hi"]).select(
-        *keys, "_rank",
-        F.element_at("_vs", (F.col("_rank") - F.col("_before") + 1).cast("int")).alias("_value"),
-    )
-    return flat.unionByName(narrow)
+def matched_left(left: DataFrame, right: DataFrame, keys: Sequence[str], take: Sequence[str]) -> DataFrame:
+    """The same, with all rows of the left side."""
+    return matched(left, right, keys, take, "left")

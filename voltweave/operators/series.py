@@ -1,6 +1,7 @@
 """Ordered analytics over long series whose position is a dense 0-based integer.
 
-A posterior chain can be arbitrarily long, so no operator here gathers a whole series. A series is
+A posterior chain can be arbitrarily long, so no operator here gathers a whole series. (Lags up to the
+length of a series cost its square, in blocks; truncation ends most far earlier.) A series is
 cut into blocks of consecutive positions; rows near a block edge are copied to the neighbouring
 block that needs them, every block is reduced on its own, and the block results are summed.
 Rows carry one array per position (all cells of a draw), so one block serves every cell at once.
@@ -34,17 +35,25 @@ def cell_means(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     )
 
 
+#: Means (series x cells) that may pass through the driver.
+MAX_MEANS = 4_000_000
+
+
 def centred(df: DataFrame, keys: Sequence[str], x: str) -> DataFrame:
     """Subtract the series mean from every cell and add the series length ``n``.
 
-    The means are one value per cell and series; for a single series (no keys) they are literals.
+    The means are one array per series, far fewer than draws (``MAX_MEANS`` values at most, else an
+    error); as a local table of known size they reach every task, so no series is gathered by its key.
     """
     means = cell_means(df, keys, x)
-    if keys:
-        joined = df.join(means, list(keys))
-    else:
+    if not keys:
         only = means.first()
         joined = df.withColumns({"n": F.lit(only["n"]), "_mean": F.lit(only["_mean"])})
+    else:
+        size = means.agg(F.coalesce(F.sum(F.size("_mean")), F.lit(0))).first()[0]
+        if size > MAX_MEANS:
+            raise ValueError(f"{size} means of series and cells; {MAX_MEANS} at most")
+        joined = df.join(df.sparkSession.createDataFrame(means.toArrow()), list(keys))
     return joined.withColumn(x, F.zip_with(F.col(x), F.col("_mean"), lambda a, b: a - b)).drop("_mean")
 
 
@@ -68,17 +77,23 @@ def _products(own_start: int, block: int, lo: int, hi: int, pos: np.ndarray, x:
 def lag_products(
     df: DataFrame, keys: Sequence[str], pos: str, x: str, lo: int, hi: int, block: int = BLOCK
 ) -> DataFrame:
-    """``(keys, cell, lag, s)`` with s = sum over t of x[t]*x[t+lag], for lags in [lo, hi)."""
+    """``(keys, cell, lag, s)`` with s = sum over t of x[t]*x[t+lag], for lags in [lo, hi).
+
+    Lags are taken in ranges no longer than a block and every range of every block is a task of its own, so
+    a task never sees more than three blocks of rows, whatever the lags.
+    """
     keys = list(keys)
-    block = max(block, hi - lo)
-    first = F.greatest(F.floor((F.col(pos) - (hi - 1)) / F.lit(block)), F.lit(0))
-    last = F.floor((F.col(pos) - lo) / F.lit(block))
-    own = F.floor(F.col(pos) / F.lit(block))
+    ranges = max(1, -(-(hi - lo) // block))
+    low = F.lit(lo) + F.col("_range") * block
+    high = F.least(low + block, F.lit(hi))
+    first = F.greatest(F.floor((F.col("_pos") - (high - 1)) / F.lit(block)), F.lit(0))
+    last = F.floor((F.col("_pos") - low) / F.lit(block))
+    own = F.floor(F.col("_pos") / F.lit(block))
     partner = F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>"))
     spread = df.select(
         *keys, F.col(pos).cast("long").alias("_pos"), F.col(x).alias("_x"),
-        F.explode(F.array_distinct(F.concat(F.array(own), partner))).alias("_block"),
-    )
+        F.explode(F.sequence(F.lit(0), F.lit(ranges - 1))).alias("_range"))
+    spread = spread.select("*", F.explode(F.array_distinct(F.concat(F.array(own), partner))).alias("_block"))
     fields = [df.schema[k] for k in keys]
     out_schema = T.StructType([
         *fields,
@@ -92,15 +107,17 @@ def lag_products(
         cells = len(values[0])
         x_mat = values.flatten().to_numpy(zero_copy_only=False).reshape(-1, cells)
         start = key[-1].as_py() * block
-        rows = list(_products(start, block, lo, hi, table.column("_pos").to_numpy(), x_mat))
+        begin = lo + key[-2].as_py() * block
+        end = min(begin + block, hi)
+        rows = list(_products(start, block, begin, end, table.column("_pos").to_numpy(), x_mat))
         lags = np.repeat(np.array([k for k, _ in rows], dtype=np.int32), cells)
         sums = np.concatenate([s for _, s in rows]) if rows else np.empty(0)
-        columns = [pa.array([k.as_py()] * len(sums), type=k.type) for k in key[:-1]]
+        columns = [pa.array([k.as_py()] * len(sums), type=k.type) for k in key[:-2]]
         columns.append(pa.array(np.tile(np.arange(cells, dtype=np.int32), len(rows))))
         columns += [pa.array(lags), pa.array(sums, type=pa.float64())]
         return pa.table(columns, names=[*keys, "cell", "lag", "s"])
 
-    parts = spread.groupBy(*keys, "_block").applyInArrow(reduce_block, out_schema)
+    parts = spread.groupBy(*keys, "_range", "_block").applyInArrow(reduce_block, out_schema)
     return parts.groupBy(*keys, "cell", "lag").agg(F.sum("s").alias("s"))
 
 

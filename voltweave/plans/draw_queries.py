@@ -215,9 +215,9 @@ def autocorrelation(spark, sf):
     return rounded(table.select("cell", "lag", "rho"), 6, "rho")
 
 
-@query("w9_autocovariance", f"WITH {q.DRAWS}, {q.own_acf('c', ['chain', 'cell'], 'draw', 'x', 'o')} SELECT chain, cell, lag, round(acov, 8) AS acov FROM o_rho WHERE lag <= 40")
+@query("w9_autocovariance", f"WITH {q.DRAWS}, {q.own_acf('c', ['chain', 'cell'], 'draw', 'x', 'o')} SELECT chain, cell, lag, round(acov, 8) AS acov FROM o_rho")
 def autocovariance(spark, sf):
-    return rounded(dg.autocovariances(b.draws(spark, sf), "x", 40).where("lag > 0"), 8, "acov")
+    return rounded(dg.autocovariances(b.draws(spark, sf), "x").where("lag > 0"), 8, "acov")
 
 
 @query("w10_ess_initial_positive", f"WITH {q.DRAWS}, {q.pooled_acf('c', 'g', '100', False)}, {q.INITIAL_POSITIVE} SELECT cell, round(least(n / (1 + 2 * total), n), 4) AS n_eff FROM possum")

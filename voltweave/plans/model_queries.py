@@ -1,14 +1,14 @@
-"""Queries over the graphical VAR: design, cross products, priors, scores, residuals, sampler."""
+"""Queries over the graphical VAR: design, cross products, priors, scores, residuals."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from voltweave.functions.fixed import MODEL
-from voltweave.operators import bayes, panel, sampler
+from voltweave.operators import bayes, panel
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
-from voltweave.runtime import cut, scratch_path
+from voltweave.runtime import cut
 
 # Ten areas: daily purchases are the endogenous series, daily browsing the exogenous ones.
 DIMS = bayes.Dims(ny=10, nz=10, lags=(1, 7))
@@ -188,14 +188,3 @@ def innovation_posterior(spark, sf):
     table = bayes.innovation_posterior(path, ["chain"], MODEL["ig_shape"], MODEL["ig_scale"])
     return rounded(table.drop("chain"), 6, "scale")
 
-
-@query("b20_sampler_draws")
-def sampler_draws(spark, sf):
-    """Two chains over the whole panel: every kept draw with its scalars."""
-    mask = [[int(i != j) for j in range(DIMS.ny)] for i in range(DIMS.ny)]
-    settings = sampler.Settings(DIMS, mask, n_chains=2)
-    draws = sampler.run_chains(
-        _design(spark, sf), _prior_scale(spark, sf), settings, sweeps=3, burn_in=1,
-        path=scratch_path(spark, "chains"))
-    return draws.select("chain", "draw", "g0", "g_phi", "g_gamma", "phi", "gamma", "sigma_u", "h", "sigma_h2",
-                        "phi_norm", "gamma_norm")
