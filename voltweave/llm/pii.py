@@ -325,9 +325,13 @@ def made_windows(seed: int = 11, each: int = MADE_WINDOWS) -> list[Window]:
 
 def model(docs: DataFrame) -> np.ndarray:
     """The trained field: made windows and those of ``SAMPLE_DOCS`` documents with a digit or an at sign."""
+    docs = docs.select(*[c for c in ("doc_id", "text") if c in docs.columns])
     rows = docs.where("text rlike '[0-9@]'").where(F.length("text") <= SAMPLE_CHARS)
-    rows = rows.select("text", F.xxhash64("text").alias("_h")).orderBy("_h", F.length("text")).limit(SAMPLE_DOCS)
-    texts = [r.text for r in rows.collect()]
+    n = rows.count()
+    # By a hash of the row, so that a group of copies counts by its size; twice the number is a guard.
+    share = int(min(1.0, SAMPLE_DOCS / max(n, 1)) * 1e9)
+    drawn = rows.where(F.pmod(F.xxhash64(*docs.columns), F.lit(1_000_000_000)) < share).select("text")
+    texts = [r.text for r in drawn.limit(2 * SAMPLE_DOCS).collect()]
     examples = made_windows()
     for text in texts:
         marked = {(s, e): k for s, e, k in base_spans(text)}
