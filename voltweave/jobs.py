@@ -43,7 +43,7 @@ def reserve(spark: SparkSession, gen: list[str], demand: list[str]) -> DataFrame
 def transfer_network(spark: SparkSession, folder: str, threshold: float, how: str) -> tuple[DataFrame, DataFrame]:
     """Binarised capacity matrix and node list."""
     rows = market.read_capacity_dir(spark, folder)
-    clean = network.within(network.clean_capacity(rows, ["source_file", "source_row"]), NETWORK_CODES)
+    clean = network.within(network.clean_capacity(rows, ["source_file", "source_block", "source_row"]), NETWORK_CODES)
     edges = network.capacity_edges(clean, how)
     nodes = network.node_list(edges)
     return network.binarise(network.dense_matrix(edges, nodes), threshold), nodes
@@ -94,7 +94,7 @@ def main(argv: list[str] | None = None) -> None:
         return
     if args.command == "filter-network":
         # A new place: the unfiltered matrix stays as its own backup.
-        tables.write_matrix_csv(filtered_network(spark, args.matrix, args.countries), "value", args.output)
+        tables.write_matrix_csv(filtered_network(spark, args.matrix, args.countries), "value", args.output, ("i", "j"))
         return
     wide = reserve(spark, args.gen, args.load) if args.command == "reserve" else {
         "generation": generation, "load": load, "price": price}[args.command](spark, args.files)

@@ -50,10 +50,15 @@ def price_rows(df: DataFrame, zones: DataFrame) -> DataFrame:
     return df.join(zones, "zone").select(day("ts").alias("date"), "country", "zone", "price")
 
 
+def exact_mean(column: str) -> Column:
+    """Mean of values of up to eight decimals, the same whatever the order of the rows."""
+    return F.sum(F.col(column).cast("decimal(28,8)")).cast("double") / F.count(column)
+
+
 def price_daily(rows: DataFrame) -> DataFrame:
     """Mean of the zones' daily means, so that a zone with more readings weighs no more."""
-    zone_means = rows.groupBy("date", "country", "zone").agg(F.avg("price").alias("_zone"))
-    return zone_means.groupBy("date", "country").agg(F.avg("_zone").alias("value"))
+    zone_means = rows.groupBy("date", "country", "zone").agg(exact_mean("price").alias("_zone"))
+    return zone_means.groupBy("date", "country").agg(exact_mean("_zone").alias("value"))
 
 
 def forecast_daily(df: DataFrame, areas: list[str]) -> DataFrame:

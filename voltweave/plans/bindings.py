@@ -92,7 +92,7 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
     items = table(spark, sf, "lineitem").select(
         *CAPACITY_ORDER, "l_quantity", "l_returnflag", "l_linestatus")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    nations = zone_dim(spark, sf).select("n_nationkey", "zone")
+    nations = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("zone"))
     sellers = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
         "s_suppkey", F.col("s_nationkey").alias("from_code"), F.col("zone").alias("from_map"))
     buyers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(

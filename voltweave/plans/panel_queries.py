@@ -10,7 +10,7 @@ from voltweave.plans import assemble
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import scratch_path
-from voltweave.sources import tables
+from voltweave.sources import market, tables
 from voltweave.sources.market import FEEDS
 
 EVENTS = """
@@ -27,8 +27,9 @@ zone AS (SELECT n_nationkey, n_name AS zone, r_name AS country
          FROM nation JOIN region ON n_regionkey = r_regionkey),
 price_rows AS (SELECT o_orderdate::DATE AS date, country, zone, o_totalprice AS price
                FROM orders JOIN customer ON o_custkey = c_custkey JOIN zone ON c_nationkey = n_nationkey),
-price AS (SELECT date, country, avg(z) AS value
-          FROM (SELECT date, country, zone, avg(price) AS z FROM price_rows GROUP BY ALL) GROUP BY ALL)"""
+price AS (SELECT date, country, sum(z::DECIMAL(28, 8))::DOUBLE / count(z) AS value
+          FROM (SELECT date, country, zone, sum(price::DECIMAL(28, 8))::DOUBLE / count(price) AS z FROM price_rows GROUP BY ALL)
+          GROUP BY ALL)"""
 
 RESERVE = PRICES + """,
 gf AS (SELECT l_shipdate::DATE AS date, country, sum(l_extendedprice * (1 - l_discount)) AS value
@@ -58,15 +59,6 @@ edges AS (SELECT from_map AS src, to_map AS dst, avg(capacity_mw) AS capacity_mw
 
 NETWORK_NODES = [f"NATION_{k}" for k in range(25) if k not in (7, 8)]
 
-# Means of cents often lie exactly between two rounded values, where the summation order decides;
-# a fixed shift before rounding keeps such values off the boundary on both sides.
-SHIFT = 0.00001
-
-
-def shifted(df, *columns):
-    return df.withColumns({c: F.round(F.col(c) + SHIFT, 4) for c in columns})
-
-
 GAPS = """
 buys AS (SELECT ts::DATE AS date, user_id AS series, avg(value) AS value
          FROM events WHERE event_type = 'purchase' GROUP BY ALL),
@@ -248,10 +240,10 @@ def dropped_columns(spark, sf):
         "country", "variable").agg(F.count("*").alias("n"))
 
 
-@query("p15_endogenous_mode", f"""WITH {RESERVE} SELECT country || '_Price' AS "column", date, round(value + {SHIFT}, 4) AS value FROM price""")
+@query("p15_endogenous_mode", f"""WITH {RESERVE} SELECT country || '_Price' AS "column", date, value FROM price""")
 def endogenous_mode(spark, sf):
     rows = panel.endogenous(ingest.labelled(_endogenous(spark, sf)), "prices_only")
-    return shifted(rows.select("column", "date", "value"), "value")
+    return rows.select("column", "date", "value")
 
 
 @query("p16_exogenous_selection", f"""WITH {EVENTS}
@@ -306,9 +298,9 @@ def load_daily(spark, sf):
     return rounded(ingest.load_daily(b.readings(spark, sf), b.AREAS), 6, "value")
 
 
-@query("a3_price_daily", f"WITH {PRICES} SELECT date, country, round(value + {SHIFT}, 4) AS value FROM price")
+@query("a3_price_daily", f"WITH {PRICES} SELECT date, country, value FROM price")
 def price_daily(spark, sf):
-    return shifted(_price(spark, sf), "value")
+    return _price(spark, sf)
 
 
 @query("a4_generation_forecast_daily", f"WITH {RESERVE} SELECT date, country, round(value, 4) AS value FROM gf")
@@ -321,11 +313,12 @@ def load_forecast_daily(spark, sf):
     return rounded(_load_forecast(spark, sf), 2, "value")
 
 
-def _pivot_sql(source: str, columns: list[tuple[str, str]], digits: int, fill: bool) -> str:
+def _pivot_sql(source: str, columns: list[tuple[str, str]], digits: int | None, fill: bool) -> str:
     parts = []
     for label, cond in columns:
         value = f"sum(CASE WHEN {cond} THEN value END)"
-        parts.append(f'round({"coalesce(" + value + ", 0)" if fill else value}, {digits}) AS "{label}"')
+        value = f"coalesce({value}, 0)" if fill else value
+        parts.append(f'{value if digits is None else f"round({value}, {digits})"} AS "{label}"')
     return f"SELECT date, {', '.join(parts)} FROM {source} GROUP BY date"
 
 
@@ -348,11 +341,10 @@ def load_pivot(spark, sf):
 
 
 @query("a7_price_pivot", f"WITH {PRICES} " + _pivot_sql(
-    "price", [(f"{r}_Price", f"country = '{r}'") for r in b.region_names()], 4, False).replace(
-        "THEN value END", f"THEN value + {SHIFT} END"))
+    "price", [(f"{r}_Price", f"country = '{r}'") for r in b.region_names()], None, False))
 def price_pivot(spark, sf):
     labels = [f"{r}_Price" for r in b.region_names()]
-    return shifted(ingest.pivot_daily(ingest.labelled(_price(spark, sf), "Price"), "mean", None, labels), *labels)
+    return ingest.pivot_daily(ingest.labelled(_price(spark, sf), "Price"), "mean", None, labels)
 
 
 @query("a8_reserve_margin_pivot", f"WITH {RESERVE} " + _pivot_sql(
@@ -478,11 +470,11 @@ def common_calendar(spark, sf):
 
 
 @query("j3_reindexed_panel", f"""WITH {RESERVE}, cal AS (SELECT DISTINCT date FROM gf)
-SELECT c.country, cal.date, round(price.value + {SHIFT}, 4) AS value
+SELECT c.country, cal.date, price.value
 FROM (SELECT DISTINCT country FROM price) c CROSS JOIN cal LEFT JOIN price USING (country, date)""")
 def reindexed_panel(spark, sf):
     calendar = _generation_forecast(spark, sf).select("date").distinct()
-    return shifted(panel.on_calendar(_price(spark, sf), calendar), "value")
+    return panel.on_calendar(_price(spark, sf), calendar)
 
 
 @query("j4_stacked_panel", f"""WITH {RESERVE} SELECT variable, count(*) AS n, round(avg(value), 4) AS mean FROM (
@@ -492,6 +484,17 @@ def stacked_panel(spark, sf):
         F.count("*").alias("n"), F.avg("value").alias("mean")), 4, "mean")
 
 
+@query("j4_aligned_panel", f"WITH {RESERVE} SELECT p.*, l.* EXCLUDE (date) FROM (" + _pivot_sql(
+    "price", [(f"{r}_Price", f"country = '{r}'") for r in b.region_names()], None, False) + ") p JOIN (" + _pivot_sql(
+    "lf", [(f"{r}_Load", f"country = '{r}'") for r in b.region_names()], 2, False) + ") l USING (date)")
+def aligned_panel(spark, sf):
+    """Wide frames side by side, one row per common date."""
+    prices, loads = [f"{r}_Price" for r in b.region_names()], [f"{r}_Load" for r in b.region_names()]
+    wide = ingest.pivot_daily(ingest.labelled(_price(spark, sf), "Price"), "mean", None, prices)
+    load = ingest.pivot_daily(ingest.labelled(_load_forecast(spark, sf), "Load"), "mean", None, loads)
+    return wide.join(rounded(load, 2, *loads), "date")
+
+
 @query("j5_union_all", f"""WITH {EVENTS} SELECT production, count(*) AS n, round(sum(mw), 2) AS mw FROM (
 SELECT * FROM ev UNION ALL SELECT * FROM ev WHERE production = 'error') GROUP BY ALL""")
 def union_all(spark, sf):
@@ -591,6 +594,58 @@ def volatility_scale(spark, sf):
 # ---- further scans, sinks and small operators ---------------------------------------------------
 
 
+def _fed(spark, rows, kind, sep):
+    """Rows written as a text feed of a kind, with its header names; the folder."""
+    headers = {canonical: header for header, (canonical, _) in FEEDS[kind].columns.items()}
+    folder = scratch_path(spark, kind)
+    text = rows.select(*[F.col(c).cast("string").alias(headers[c]) for c in rows.columns])
+    text.write.option("header", True).option("sep", sep).csv(folder)
+    return folder
+
+
+@query("s1_generation_text_scan", "SELECT ts, 'A' || (user_id % 10) AS area, event_type AS production, value AS mw FROM events")
+def generation_text_scan(spark, sf):
+    folder = _fed(spark, b.readings(spark, sf), "generation", "\t")
+    return market.read_feed(spark, "generation", market.expand_paths(spark, [f"{folder}/*.csv"]))
+
+
+@query("s2_load_text_scan", "SELECT ts, 'A' || (user_id % 10) AS area, value AS mw FROM events")
+def load_text_scan(spark, sf):
+    """Half of the files with commas, half with tabs: the separator is found file by file."""
+    rows = b.readings(spark, sf).drop("production")
+    odd = F.pmod(F.xxhash64("ts", "area", "mw"), F.lit(2)) == 1
+    folders = [_fed(spark, rows.where(odd), "load", ","), _fed(spark, rows.where(~odd), "load", "\t")]
+    return market.read_feed(spark, "load", market.expand_paths(spark, [f"{f}/*.csv" for f in folders]))
+
+
+@query("s3_price_text_scan", "SELECT o_orderdate AS ts, n_name AS zone, o_totalprice AS price FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
+def price_text_scan(spark, sf):
+    folder = _fed(spark, b.prices(spark, sf).select("ts", "zone", "price"), "price", ",")
+    return market.read_feed(spark, "price", market.expand_paths(spark, [f"{folder}/*.csv"]))
+
+
+@query("s4_generation_forecast_text_scan", """SELECT l_shipdate AS ts, r_name AS area, round(l_extendedprice * (1 - l_discount), 6) AS mw
+FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def generation_forecast_text_scan(spark, sf):
+    folder = _fed(spark, b.generation_forecast(spark, sf), "generation_forecast", "\t")
+    return rounded(market.read_feed(spark, "generation_forecast", market.expand_paths(spark, [f"{folder}/*.csv"])), 6, "mw")
+
+
+@query("s5_load_forecast_text_scan", """SELECT o_orderdate AS ts, r_name AS area, o_totalprice AS mw FROM orders
+JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""")
+def load_forecast_text_scan(spark, sf):
+    folder = _fed(spark, b.load_forecast(spark, sf), "load_forecast", "\t")
+    return market.read_feed(spark, "load_forecast", market.expand_paths(spark, [f"{folder}/*.csv"]))
+
+
+@query("s6_s7_capacity_folder_scan", f"""WITH {TRANSFERS} SELECT datetime, from_code::VARCHAR AS from_code, from_map,
+to_code::VARCHAR AS to_code, to_map, capacity_mw, contract_type, resolution FROM raw""")
+def capacity_folder_scan(spark, sf):
+    rows = b.transfers(spark, sf).drop(*b.CAPACITY_ORDER).withColumn("from_name", F.col("from_map")).withColumn("to_name", F.col("to_map"))
+    scanned = market.read_capacity_dir(spark, _fed(spark, rows, "transfer_capacity", "\t"))
+    return scanned.select("datetime", "from_code", "from_map", "to_code", "to_map", "capacity_mw", "contract_type", "resolution")
+
+
 @query("p2_area_filter", "SELECT ts, 'A' || (user_id % 10) AS area, value AS mw FROM events WHERE user_id % 10 <> 9")
 def area_filter(spark, sf):
     rows = b.readings(spark, sf)

@@ -82,7 +82,7 @@ def expand_paths(spark: SparkSession, patterns: list[str]) -> list[str]:
 
 def read_feed(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     """Scan files of one kind. Columns are found by header name; other columns are never parsed."""
-    return reduce(DataFrame.unionByName, [_read_file(spark, kind, p) for p in paths])
+    return _scan(spark, kind, paths).drop("source_file", "source_block", "source_row")
 
 
 def read_capacity_dir(spark: SparkSession, folder: str) -> DataFrame:
@@ -90,25 +90,30 @@ def read_capacity_dir(spark: SparkSession, folder: str) -> DataFrame:
     paths = list_paths(spark, f"{folder}/*.csv")
     if not paths:
         raise FileNotFoundError(f"no CSV file in {folder}")
-    return reduce(DataFrame.unionByName, [
-        _read_file(spark, "transfer_capacity", p)
-        .withColumn("source_file", F.lit(k))
-        .withColumn("source_row", F.monotonically_increasing_id())
-        for k, p in enumerate(paths)
-    ])
+    return _scan(spark, "transfer_capacity", paths)
 
 
-def _read_file(spark: SparkSession, kind: str, path: str) -> DataFrame:
+def _scan(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
+    """One scan for all files of the same header line, however many there are.
+
+    Source order: file (by name), place of the split in it, row within the task.
+    """
+    by_header: dict[str, list[str]] = {}
+    for path in paths:
+        first = spark.read.text(path).first()
+        if first is None:
+            raise ValueError(f"empty file: {path}")
+        by_header.setdefault(first[0].lstrip("\ufeff"), []).append(path)
+    return reduce(DataFrame.unionByName, [_read_files(spark, kind, h, p) for h, p in by_header.items()])
+
+
+def _read_files(spark: SparkSession, kind: str, header: str, paths: list[str]) -> DataFrame:
     feed = FEEDS[kind]
-    header = spark.read.text(path).first()
-    if header is None:
-        raise ValueError(f"empty file: {path}")
-    text = header[0].lstrip("﻿")
-    sep = "\t" if not feed.sniff or "\t" in text else ","
-    names = [n.strip('"') for n in text.split(sep)]
+    sep = "\t" if not feed.sniff or "\t" in header else ","
+    names = [n.strip('"') for n in header.split(sep)]
     missing = [n for n in feed.columns if n not in names]
     if missing:
-        raise ValueError(f"{path}: missing columns {missing}")
+        raise ValueError(f"{paths[0]}: missing columns {missing}")
     types = [
         T.StructField(feed.columns[n][0] if n in feed.columns else f"_skip{k}",
                       T.TimestampType() if feed.columns.get(n, ("", ""))[1] == "timestamp"
@@ -116,8 +121,8 @@ def _read_file(spark: SparkSession, kind: str, path: str) -> DataFrame:
                       else T.StringType())
         for k, n in enumerate(names)
     ]
-    scan = spark.read.schema(T.StructType(types)).option("sep", sep).option("header", True).csv(path)
-    return scan.select(*[
-        clean(alias).alias(alias) if kind_ == "double" else F.col(alias)
-        for alias, kind_ in feed.columns.values()
-    ])
+    scan = spark.read.schema(T.StructType(types)).option("sep", sep).option("header", True).csv(paths)
+    return scan.select(
+        *[clean(alias).alias(alias) if kind_ == "double" else F.col(alias) for alias, kind_ in feed.columns.values()],
+        F.col("_metadata.file_path").alias("source_file"), F.col("_metadata.file_block_start").alias("source_block"),
+        F.monotonically_increasing_id().alias("source_row"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from voltweave.operators.draws import check_chains
 from voltweave.operators.ingest import pivot_daily
 
 
@@ -21,11 +22,15 @@ def read_panel_csv(spark: SparkSession, path: str, date_col: int = 0) -> DataFra
     return scan.withColumnRenamed(names[date_col], "date").orderBy("date")
 
 
-def write_matrix_csv(cells: DataFrame, value: str, path: str) -> None:
-    """Square matrix with row labels, one column per node (nodes are a small dimension)."""
-    names = sorted(r[0] for r in cells.select("dst").distinct().collect())
-    wide = cells.groupBy("src").pivot("dst", names).agg(F.first(value))
-    wide.orderBy("src").write.mode("overwrite").option("header", True).csv(path)
+def write_matrix_csv(cells: DataFrame, value: str, path: str, order: tuple[str, str] | None = None) -> None:
+    """Square matrix with row labels, one column per node (nodes are a small dimension).
+
+    Rows and columns go by label, or by the columns of ``order`` (of the row, of the column).
+    """
+    row, column = order or ("src", "dst")
+    names = [r[1] for r in sorted(cells.select(column, "dst").distinct().collect())]
+    wide = cells.groupBy(F.col(row).alias("_order"), "src").pivot("dst", names).agg(F.first(value))
+    wide.orderBy("_order").drop("_order").write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_matrix_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -67,15 +72,19 @@ def write_wide(long: DataFrame, path: str) -> None:
     wide.write.mode("overwrite").parquet(path)
 
 
-def write_draws(draws: DataFrame, path: str, mode: str = "append") -> None:
-    draws.write.mode(mode).partitionBy("chain").parquet(path)
+def write_draws(draws: DataFrame, path: str) -> None:
+    """Draws by chain; a chain that is written again replaces the stored one."""
+    draws.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain").parquet(path)
 
 
 def read_draws(spark: SparkSession, path: str, n_chains: int, skip: tuple[str, ...] = ("mu_h", "phi_h")) -> DataFrame:
-    """Packed draws of all chains; excluded quantities are never read."""
+    """Packed draws of all chains; excluded quantities are never read.
+
+    An error when a chain is absent, the chains differ in length or a draw is there twice.
+    """
     found = spark.read.parquet(path)
-    present = {r.chain for r in found.select("chain").distinct().collect()}
-    missing = sorted(set(range(n_chains)) - present)
-    if missing:
-        raise FileNotFoundError(f"chains without draws: {missing}")
+    check_chains(found, n_chains)
+    twice = found.groupBy("chain", "draw").count().where("count > 1")
+    if not twice.isEmpty():
+        raise ValueError(f"draws stored twice: {twice.limit(5).collect()}")
     return found.drop(*skip)
