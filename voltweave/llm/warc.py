@@ -29,6 +29,8 @@ SEEKABLE = 0x8F92EAB1
 #: Equal payloads from this size on are stored once.
 REVISIT_BYTES = 1000
 FRAME_BYTES = 256 * 1024
+#: Frames read by a task.
+TASK_FRAMES = 48
 BUNDLE_BYTES = 512 * 1024 * 1024
 LEVEL = 3
 DATE = "1970-01-01T00:00:00Z"
@@ -218,7 +220,9 @@ def read(index: DataFrame, folder: str) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_pylist(out, _READ)
 
-    sorted_ = index.repartition("bundle", "frame").sortWithinPartitions("bundle", "frame", "place")
+    # By number of frames: the index is small, and its size says nothing of the work behind it.
+    tasks = max(1, index.select("bundle", "frame").distinct().count() // TASK_FRAMES)
+    sorted_ = index.repartition(tasks, "bundle", "frame").sortWithinPartitions("bundle", "frame", "place")
     return sorted_.select("bundle", "frame", "place", "length").mapInArrow(run, READ)
 
 
