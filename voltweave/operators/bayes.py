@@ -74,11 +74,16 @@ def gram(rows: DataFrame, keys: list[str], d: str = "d", weight: str | None = No
                 continue
             x = batch.column("_d").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
             w = batch.column("_w").to_numpy(zero_copy_only=False)
-            owners = list(zip(*[batch.column(k).to_pylist() for k in keys])) or [()] * batch.num_rows
-            for owner in set(owners):
-                mine = np.array([o == owner for o in owners])
-                part = (x[mine] * w[mine, None]).T @ x[mine]
-                sums[owner] = sums.get(owner, 0) + part
+            # One number per key, from the codes of its columns; a batch has few different keys.
+            code = np.zeros(batch.num_rows, np.int64)
+            for k in keys:
+                own = batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                code = code * (own.max() + 1) + own
+            kinds, at, which = np.unique(code, return_index=True, return_inverse=True)
+            for kind in range(len(kinds)):
+                owner = tuple(batch.column(k)[int(at[kind])].as_py() for k in keys)
+                mine = slice(None) if len(kinds) == 1 else which == kind
+                sums[owner] = sums.get(owner, 0) + (x[mine] * w[mine, None]).T @ x[mine]
         for owner, g in sums.items():
             yield pa.RecordBatch.from_arrays(
                 [pa.array([v], type=pa_type(schema, k)) for v, k in zip(owner, keys)]

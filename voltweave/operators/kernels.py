@@ -142,14 +142,15 @@ def spectral_radius(phi: np.ndarray) -> np.ndarray:
 
 def structural(sigma: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Regression of each node on its parents implied by a covariance: coefficients and residual
-    variances per draw."""
-    b0 = np.zeros_like(sigma)
-    eps = np.einsum("bii->bi", sigma).copy()
-    for b, i in np.argwhere((g != 0).any(axis=2)):
-        pa = np.flatnonzero(g[b, i])
-        pa = pa[pa != i]
-        if pa.size:
-            coef = np.linalg.solve(sigma[b][np.ix_(pa, pa)], sigma[b, i, pa])
-            b0[b, i, pa] = coef
-            eps[b, i] = sigma[b, i, i] - coef @ sigma[b, i, pa]
-    return b0, eps
+    variances per draw.
+
+    All nodes of all draws are solved at once: rows and columns of non-parents become those of the unit
+    matrix, so their coefficients are 0.
+    """
+    n = sigma.shape[1]
+    parents = (g != 0) & ~np.eye(n, dtype=bool)
+    both = parents[:, :, :, None] & parents[:, :, None, :]
+    system = np.where(both, sigma[:, None, :, :], np.eye(n))
+    right = np.where(parents, sigma, 0.0)
+    b0 = np.linalg.solve(system, right[..., None])[..., 0]
+    return b0, np.einsum("bii->bi", sigma) - np.einsum("bij,bij->bi", b0, right)

@@ -42,19 +42,23 @@ def common_calendar(panels: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.join(b, "date", "left_semi"), days)
 
 
+#: Days that a calendar may have.
+MAX_DAYS = 20_000
+
+
 def on_calendar(panel: DataFrame, calendar: DataFrame) -> DataFrame:
     """Reindex each series to the calendar: absent days become NULL, other days are dropped.
 
-    Every series unfolds the calendar's span of days (two scalars) and keeps the listed ones, so
-    the grid is built per series and no pairwise join is needed.
+    Every series unfolds the days of the calendar, which are read once (``MAX_DAYS`` at most, else an
+    error), so the grid is built per series, no pairwise join is needed, and a stray date adds one day.
     """
     keys = [c for c in panel.columns if c not in ("date", "value")]
-    first, last = calendar.agg(F.min("date"), F.max("date")).first()
-    days = F.sequence(F.lit(first), F.lit(last), F.expr("INTERVAL 1 DAY"))
-    grid = (
-        panel.select(*keys).distinct().withColumn("date", F.explode(days))
-        .join(calendar.select("date").distinct(), "date", "left_semi")
-    )
+    days = sorted(r[0] for r in calendar.select("date").distinct().limit(MAX_DAYS + 1).collect() if r[0] is not None)
+    if len(days) > MAX_DAYS:
+        raise ValueError(f"a calendar of more than {MAX_DAYS} days")
+    # One literal, not one for each day.
+    listed = F.split(F.lit(",".join(map(str, days))), ",").cast("array<date>") if days else F.array().cast("array<date>")
+    grid = panel.select(*keys).distinct().withColumn("date", F.explode(listed))
     return grid.join(panel, [*keys, "date"], "left")
 
 

@@ -46,26 +46,29 @@ def regions(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "region").select(F.col("r_regionkey").alias("idx"), F.col("r_name").alias("country"))
 
 
-def prices(spark: SparkSession, sf: str) -> DataFrame:
-    """ts, zone, price."""
+def zone_prices(spark: SparkSession, sf: str) -> DataFrame:
+    """ts, zone, country, price."""
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderdate", "o_totalprice")
     customers = table(spark, sf, "customer").select("c_custkey", "c_nationkey")
-    zones = zone_dim(spark, sf).select("n_nationkey", "zone")
     return (
         orders.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .join(zones, F.col("c_nationkey") == F.col("n_nationkey"))
-        .select(F.col("o_orderdate").alias("ts"), "zone", F.col("o_totalprice").alias("price"))
+        .join(zone_dim(spark, sf), F.col("c_nationkey") == F.col("n_nationkey"))
+        .select(F.col("o_orderdate").alias("ts"), "zone", "country", F.col("o_totalprice").alias("price"))
     )
 
 
+def prices(spark: SparkSession, sf: str) -> DataFrame:
+    """ts, zone, price, as a price feed has them."""
+    return zone_prices(spark, sf).drop("country")
+
+
 def zones(spark: SparkSession, sf: str) -> DataFrame:
     return zone_dim(spark, sf).select("zone", "country")
 
 
 def load_forecast(spark: SparkSession, sf: str) -> DataFrame:
     """ts, area, mw."""
-    return prices(spark, sf).join(zones(spark, sf), "zone").select(
-        "ts", F.col("country").alias("area"), F.col("price").alias("mw"))
+    return zone_prices(spark, sf).select("ts", F.col("country").alias("area"), F.col("price").alias("mw"))
 
 
 def generation_forecast(spark: SparkSession, sf: str) -> DataFrame:
@@ -110,9 +113,9 @@ def transfers(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def spread_gaps(spark: SparkSession, sf: str) -> DataFrame:
-    """Every user's daily mean purchase value; days without a purchase are gaps."""
-    buys = table(spark, sf, "events").where("event_type = 'purchase'")
-    return buys.groupBy(F.to_date("ts").alias("date"), F.col("user_id").alias("series")).agg(
+    """Daily mean value of every user and event type; days without such an event are gaps."""
+    series = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")
+    return table(spark, sf, "events").groupBy(F.to_date("ts").alias("date"), series.alias("series")).agg(
         F.avg("value").alias("value"))
 
 

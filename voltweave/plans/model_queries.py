@@ -10,13 +10,13 @@ from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import cut
 
-# Ten areas: daily purchases are the endogenous series, daily browsing the exogenous ones.
+# Ten areas: daily purchases are the endogenous series, all other events the exogenous ones.
 DIMS = bayes.Dims(ny=10, nz=10, lags=(1, 7))
 
 MODEL_SQL = """
 raw AS (SELECT ts::DATE AS date, (user_id % 10)::INT AS idx,
                CASE event_type WHEN 'purchase' THEN 'endo' ELSE 'exog' END AS block, sum(value) AS v
-        FROM events WHERE event_type IN ('view', 'click', 'purchase') GROUP BY ALL),
+        FROM events GROUP BY ALL),
 days AS (SELECT date, row_number() OVER (ORDER BY date) - 1 AS t FROM (SELECT DISTINCT ts::DATE AS date FROM events)),
 bal AS (SELECT t, s.idx, s.block, coalesce(v, 0) AS v FROM (SELECT DISTINCT idx, block FROM raw) s CROSS JOIN days
         LEFT JOIN raw ON raw.date = days.date AND raw.idx = s.idx AND raw.block = s.block),
@@ -31,7 +31,7 @@ gram AS (SELECT a.col AS a, b.col AS b, sum(a.x * b.x) AS s FROM design a JOIN d
 
 def _series(spark, sf):
     """Balanced standardised panel: date, block, idx, value."""
-    ev = b.table(spark, sf, "events").where("event_type IN ('view', 'click', 'purchase')")
+    ev = b.table(spark, sf, "events")
     daily = ev.groupBy(
         F.to_date("ts").alias("date"), (F.col("user_id") % 10).cast("int").alias("idx"),
         F.when(F.col("event_type") == "purchase", "endo").otherwise("exog").alias("block"),

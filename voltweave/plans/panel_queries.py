@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from voltweave.functions.columns import country_of, day, kind_of, volatility
 from voltweave.operators import impute, ingest, network, panel
-from voltweave.plans import assemble
+from voltweave.plans import assemble, reports
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import scratch_path
@@ -60,8 +60,8 @@ edges AS (SELECT from_map AS src, to_map AS dst, avg(capacity_mw) AS capacity_mw
 NETWORK_NODES = [f"NATION_{k}" for k in range(25) if k not in (7, 8)]
 
 GAPS = """
-buys AS (SELECT ts::DATE AS date, user_id AS series, avg(value) AS value
-         FROM events WHERE event_type = 'purchase' GROUP BY ALL),
+buys AS (SELECT ts::DATE AS date, user_id || '-' || event_type AS series, avg(value) AS value
+         FROM events GROUP BY ALL),
 days AS (SELECT DISTINCT ts::DATE AS date FROM events),
 grid AS (SELECT series, date, value FROM (SELECT DISTINCT series FROM buys) CROSS JOIN days
          LEFT JOIN buys USING (series, date)),
@@ -268,7 +268,7 @@ def _generation(spark, sf):
 
 
 def _price(spark, sf):
-    return ingest.price_daily(ingest.price_rows(b.prices(spark, sf), b.zones(spark, sf)))
+    return ingest.price_daily(b.zone_prices(spark, sf).withColumn("date", day("ts")))
 
 
 def _load_forecast(spark, sf):
@@ -458,6 +458,36 @@ def expanded_mask(spark, sf):
     return network.expand_mask(network.submatrix(matrix, final), 4, 2)
 
 
+@query("k4_filtered_network", _FINAL + """ SELECT src, dst, g0::DOUBLE AS value FROM g0 JOIN final a ON src = a.country
+JOIN final c ON dst = c.country""")
+def filtered_network(spark, sf):
+    """Matrix and country list written, filtered, written in list order and read again."""
+    path = scratch_path(spark, "filtered")
+    tables.write_matrix_csv(network.binarise(_matrix(spark, sf), 25.5), "g0", f"{path}/matrix")
+    tables.write_countries(_final_countries(spark, sf), f"{path}/countries")
+    matrix, countries = tables.read_matrix_csv(spark, f"{path}/matrix"), tables.read_countries(spark, f"{path}/countries")
+    network.check_countries(matrix, countries)
+    tables.write_matrix_csv(network.submatrix(matrix, countries), "value", f"{path}/filtered", ("i", "j"))
+    return tables.read_matrix_csv(spark, f"{path}/filtered")
+
+
+@query("k6_report_folder", f"""WITH {TRANSFERS} SELECT 'nodes' AS sheet, node AS label, NULL::DOUBLE AS value
+FROM (SELECT src AS node FROM edges UNION SELECT dst FROM edges)
+UNION ALL SELECT 'months', date_trunc('month', datetime)::DATE::VARCHAR, count(*)::DOUBLE FROM inside GROUP BY ALL""")
+def report_folder(spark, sf):
+    """Report tables written as one folder and read again."""
+    path = scratch_path(spark, "report")
+    inside = _inside(spark, sf)
+    reports.write_sheets({
+        "nodes": network.node_list(network.capacity_edges(inside)).select(F.col("node").alias("label"), F.lit(None).cast("double").alias("value")),
+        "months": network.monthly_counts(inside).select(F.col("month").cast("string").alias("label"), F.col("n").cast("double").alias("value")),
+    }, path)
+    sheets = [
+        spark.read.schema("label string, value double").option("header", True).csv(f"{path}/{name}").withColumn("sheet", F.lit(name))
+        for name in ("nodes", "months")]
+    return sheets[0].unionByName(sheets[1])
+
+
 # ---- panel --------------------------------------------------------------------------------------
 
 
