@@ -43,7 +43,9 @@ def test_odd_rows(docs_of, odd_texts):
 
 
 def test_labels_of_one_kind_or_none(docs_of):
-    rows = docs_of(["a b", "c d"]).withColumn("label", F.lit(0))
-    for df in (rows, rows.limit(0)):
-        model = tx.learn(df)
+    rows = docs_of(["a b", "c d", None])
+    one_kind = rows.select("doc_id", F.lit(0).alias("label"))
+    no_text = rows.select("doc_id", F.when(F.col("doc_id") == 2, 1).otherwise(0).alias("label"))
+    for labels in (one_kind, one_kind.limit(0), no_text):
+        model = tx.learn(rows, labels)
         assert [r.predicted for r in tx.score(docs_of(["a b"]), model, ["doc_id"]).collect()] == [0]

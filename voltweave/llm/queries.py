@@ -46,7 +46,7 @@ def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", fold(3, 1).alias("held_out"))
     labels = table(spark, sf_dir, "labels").where(~fold(3, 1)).where("toxic IS NOT NULL")
     labels = labels.groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    model = toxicity.learn(docs.join(labels, "doc_id"))
+    model = toxicity.learn(docs.select("doc_id", "text"), labels)
     return toxicity.score(docs, model, ["doc_id", "held_out"])
 
 

@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from voltweave.llm.tables import slices
+from voltweave.runtime import cut
 
 #: Function words of the grammar in English, German, French and Spanish.
 TARGETS = ["you", "your", "you're", "youre", "he", "she", "they", "him", "her", "them", "his", "their",
@@ -159,22 +160,32 @@ def clause_weights(text: str, lexicon: _Lexicon, table: Table) -> list[float]:
     return [*out, total] if total else out
 
 
-def learn(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
-    """Fit on rows with ``text`` and ``label`` (1: toxic); without rows of both labels nothing is toxic."""
-    rows = rows.where("text IS NOT NULL AND label IN (0, 1)")
-    counts = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+def learn(docs: DataFrame, labels: DataFrame, per_label: int = SAMPLE_PER_LABEL, key: str = "doc_id") -> Model:
+    """Fit on the texts of ``docs`` that ``labels`` (the key and ``label``, 1: toxic) names.
+
+    The sample is drawn from the labels alone, about ``per_label`` of each, so only its texts are moved.
+    Labels other than 0 and 1, NULL texts and NULL keys don't count; without texts of both labels nothing
+    is toxic.
+    """
+    labels = labels.where(F.col("label").isin(0, 1) & F.col(key).isNotNull()).select(key, "label")
+    counts = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
     if len(counts) < 2:
         return Model({}, {}, 1.0, -4.0)
     million = F.lit(1_000_000)
     share = F.when(F.col("label") == 1, int(min(1, per_label / counts[1]) * 1e6)).otherwise(int(min(1, per_label / counts[0]) * 1e6))
-    picked = rows.where(F.pmod(F.xxhash64("text", F.lit("tox")), million) < share)
+    drawn = labels.where(F.pmod(F.xxhash64(key, F.lit("tox")), million) < share).limit(4 * per_label)
+    # A local table of bounded size: it goes to the documents, not they to it.
+    drawn = docs.sparkSession.createDataFrame(drawn.toArrow())
+    picked = cut(docs.join(drawn, key).where("text IS NOT NULL").select("text", "label"))
+    counts = {r[0]: r[1] for r in picked.groupBy("label").count().collect()}
+    if len(counts) < 2:
+        return Model({}, {}, 1.0, -4.0)
     words = F.filter(F.split(F.lower("text"), r"[\s\p{Punct}«»„“”…]+"), lambda w: F.length(w) > 1)
     units = [F.transform(words, lambda w: F.concat(F.lit("0"), w)), *[_stems(words, n) for n in STEMS]]
     unit = picked.select("label", F.explode(F.array_distinct(F.concat(*units))).alias("unit"))
     seen = unit.groupBy("unit").agg(F.sum("label").alias("bad"), F.count("*").alias("all"))
     seen = seen.where("bad >= 2 AND all <= 2 * bad").selectExpr("int(left(unit, 1)) AS n", "substr(unit, 2) AS unit", "bad", "all")
-    n1 = min(per_label, counts[1])
-    n0 = min(per_label, counts[0])
+    n1, n0 = counts[1], counts[0]
     words_, stems, spread = {}, {}, Counter()
     found = seen.collect()  # units of the bounded sample
     for r in found:
@@ -187,8 +198,10 @@ def learn(rows: DataFrame, per_label: int = SAMPLE_PER_LABEL) -> Model:
         if r.bad >= MIN_DOCS and weight >= MIN_WEIGHT and (not r.n or spread[r.unit] >= STEM_WORDS):
             (stems if r.n else words_)[r.unit] = min(weight, 6.0)
     model = Model(words_, stems, 1.0, -4.0)
-    scored = weigh(picked.select("label", "text"), model, ["label"]).select("label", "weight").toPandas()
-    model.slope, model.offset = _curve(np.log1p(scored["weight"].to_numpy()), scored["label"].to_numpy())
+    # Counted by label and weight: a group of copies is one row of the bounded sample.
+    scored = weigh(picked.select("label", "text"), model, ["label"]).groupBy("label", "weight").count().toPandas()
+    model.slope, model.offset = _curve(
+        np.log1p(scored["weight"].to_numpy(float)), scored["label"].to_numpy(float), scored["count"].to_numpy(float))
     return model
 
 
@@ -197,7 +210,7 @@ def _stems(words: Column, n: int) -> Column:
     return F.transform(long_enough, lambda w: F.concat(F.lit(str(n)), F.substring(w, 1, n)))
 
 
-def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float]:
+def _curve(x: np.ndarray, y: np.ndarray, times: np.ndarray, rounds: int = 40) -> tuple[float, float]:
     """Logistic fit of two parameters by Newton steps, with a weak pull to (1, -2)."""
     if not len(x):
         return 1.0, -4.0
@@ -205,8 +218,8 @@ def _curve(x: np.ndarray, y: np.ndarray, rounds: int = 40) -> tuple[float, float
     design = np.stack([x, np.ones_like(x)], axis=1)
     for _ in range(rounds):
         q = 1 / (1 + np.exp(-design @ p))
-        slope = design.T @ (y - q) - 0.05 * (p - [1.0, -2.0])
-        curve = (design * (q * (1 - q))[:, None]).T @ design + 0.05 * np.eye(2)
+        slope = design.T @ ((y - q) * times) - 0.05 * (p - [1.0, -2.0])
+        curve = (design * (q * (1 - q) * times)[:, None]).T @ design + 0.05 * np.eye(2)
         p = p + np.clip(np.linalg.solve(curve, slope), -1, 1)
     return float(max(p[0], 0.1)), float(p[1])
 
