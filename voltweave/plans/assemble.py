@@ -40,7 +40,7 @@ def assemble(
     generation, load, price, reserve = (
         cut(f.select("date", *SERIES, "value")) for f in (generation, load, price, reserve))
     included = panel.included_countries(countries, price, load)
-    calendar = panel.common_calendar([generation, load, price, reserve])
+    calendar = cut(panel.common_calendar([generation, load, price, reserve]))
 
     def aligned(feed: DataFrame) -> DataFrame:
         inside = feed.join(included.select("country"), "country", "left_semi")
