@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from voltweave.llm.tables import slices, text_bytes
+from voltweave.llm.tables import row_hash, slices, text_bytes
 
 BUCKETS = 1 << 15
 ORDERS = (2, 3)
@@ -108,9 +108,10 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def sample(docs: DataFrame, label: str, per_label: int) -> tuple[DataFrame, list]:
-    """About ``per_label`` rows of every label at most, chosen by a hash of the text, and the labels.
+    """About ``per_label`` rows of every label at most, chosen by a hash of the row, and the labels.
 
-    Only one count per label reaches the driver.
+    The hash covers all columns, so that a group of copies with different ids counts by its size. Only
+    one count per label reaches the driver.
     """
     counts = {r[0]: r[1] for r in docs.groupBy(label).count().limit(MAX_LANGUAGES + 1).collect()}
     if len(counts) > MAX_LANGUAGES:
@@ -118,13 +119,13 @@ def sample(docs: DataFrame, label: str, per_label: int) -> tuple[DataFrame, list
     share = F.lit(0)
     for value, n in counts.items():
         share = F.when(F.col(label) == F.lit(value), F.lit(int(min(1.0, per_label / n) * 1_000_000))).otherwise(share)
-    return docs.where(F.pmod(F.xxhash64("text", F.lit("sample")), F.lit(1_000_000)) < share), sorted(counts)
+    return docs.where(F.pmod(row_hash(docs, "sample"), F.lit(1_000_000)) < share), sorted(counts)
 
 
 def train(docs: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Fit on rows with text and ``lang``; a table without such rows gives a model without languages."""
-    rows = docs.where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang")
-    picked, languages = sample(rows, "lang", per_language)
+    picked, languages = sample(docs.where("text IS NOT NULL AND lang IS NOT NULL"), "lang", per_language)
+    picked = picked.select("text", "lang")
     index = {lang: k for k, lang in enumerate(languages)}
     width = BUCKETS * len(ORDERS)
 

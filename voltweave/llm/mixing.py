@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from voltweave.llm.tables import row_hash
+
 #: Slots of a period at least; weights are multiples of one part in so many.
 GRAIN = 2048
 BLOCK = 64
@@ -70,8 +72,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     repeated rows follow each other. Columns of the same names are replaced; an empty table stays empty.
     """
     # A hash of the whole row, salted: neither the order of ids nor of texts shows in the mixture.
-    row = F.xxhash64(F.lit("mix"), *[F.col(f"`{c}`") for c in docs.columns])
-    docs = docs.withColumn("_vw_row", row).drop(*names)
+    docs = docs.withColumn("_vw_row", row_hash(docs, "mix")).drop(*names)
     columns = [c for c in docs.columns if c != "_vw_row"]
     docs = docs.withColumn("_vw_source", F.coalesce(F.col(f"`{source}`"), F.lit("")))
     sizes = {r[0]: r[1] for r in docs.groupBy("_vw_source").count().limit(MAX_SOURCES + 1).collect()}

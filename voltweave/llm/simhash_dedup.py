@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from voltweave.llm.components import components
-from voltweave.llm.tables import slices
+from voltweave.llm.tables import row_hash, slices
 from voltweave.runtime import cut
 
 SEED = 42
@@ -219,7 +219,7 @@ def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group: that with the smallest doc_id (one without an id only if no other is there);
     of repeated rows one. All columns of ``docs`` stay as they are."""
     names = docs.columns
-    row = F.xxhash64(*[F.col(f"`{c}`") for c in names]).alias("_vw_row")
+    row = row_hash(docs).alias("_vw_row")
     own = cut(fingerprints(docs.select("doc_id", "text", row), ["doc_id", "_vw_row"]))
     known = own.join(cut(groups(own, radius)), "fp", "left").withColumn("_vw_group", F.coalesce("component", "fp"))
     first = known.groupBy("_vw_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_vw_row")).alias("_vw_first"))
