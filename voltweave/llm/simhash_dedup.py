@@ -218,11 +218,15 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 def deduplicate(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """One row of each group: that with the smallest doc_id (one without an id only if no other is there);
     of repeated rows one. All columns of ``docs`` stay as they are."""
-    names = docs.columns
     row = row_hash(docs).alias("_vw_row")
     own = cut(fingerprints(docs.select("doc_id", "text", row), ["doc_id", "_vw_row"]))
-    known = own.join(cut(groups(own, radius)), "fp", "left").withColumn("_vw_group", F.coalesce("component", "fp"))
+    return one_each(docs, own.join(cut(groups(own, radius)), "fp", "left").withColumn("_vw_group", F.coalesce("component", "fp")))
+
+
+def one_each(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """The row of ``docs`` with the smallest doc_id of each ``_vw_group`` that ``known`` gives by doc_id and row hash."""
+    names = docs.columns
     first = known.groupBy("_vw_group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_vw_row")).alias("_vw_first"))
     first = first.select(F.col("_vw_first.doc_id").alias("_vw_id"), F.col("_vw_first._vw_row").alias("_vw_row")).distinct()
-    kept = docs.withColumn("_vw_row", row).join(first, "_vw_row").where(F.col("doc_id").eqNullSafe(F.col("_vw_id")))
+    kept = docs.withColumn("_vw_row", row_hash(docs)).join(first, "_vw_row").where(F.col("doc_id").eqNullSafe(F.col("_vw_id")))
     return kept.dropDuplicates(["_vw_row"]).select(*[F.col(f"`{c}`") for c in names])
