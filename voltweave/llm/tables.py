@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from voltweave.runtime import cut
+
 #: Bytes of text handled at once inside a Python worker; bounds the numpy arrays built per character.
 SLICE_BYTES = 2_000_000
 
@@ -24,6 +28,28 @@ def row_hash(df: DataFrame, salt: str = "") -> Column:
     return F.xxhash64(F.lit(salt), *columns)
 
 
+def file_order(docs: DataFrame, file: str, row: str) -> DataFrame:
+    """``docs`` with the file and the row in it that each row was read from.
+
+    A scan deals files out by size, so this is what is left of the order in which they were written. Rows
+    that don't come straight from files are written first.
+    """
+    try:
+        return docs.select("*", F.col("_metadata.file_name").alias(file), F.col("_metadata.row_index").alias(row))
+    except AnalysisException:
+        return file_order(cut(docs), file, row)
+
+
+def positions(rows: DataFrame, sizes: DataFrame, file: str, row: str, name: str = "position") -> DataFrame:
+    """``rows`` with their place in the order of the files instead of ``file`` and ``row``; ``sizes`` are the rows of each file."""
+    sizes = sizes.toPandas().to_dict("records")  # a row for each file
+    number = lambda f: int((re.search(r"part-(\d+)", f) or [0, 0])[1])
+    sizes.sort(key=lambda r: (number(r[file]), r[file]))
+    before = np.cumsum([0, *[r["count"] for r in sizes]])[:-1]
+    offsets = rows.sparkSession.createDataFrame(pa.table({file: pa.array([r[file] for r in sizes], pa.string()), "_vw_before": pa.array(before, pa.int64())}))
+    return rows.join(offsets, file).withColumn(name, F.col("_vw_before") + F.col(row)).drop(file, row, "_vw_before")
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` bytes of text; a longer text is a run of its own."""
     col = batch.column(column)
