@@ -5,23 +5,30 @@ floor((i - 1) / w) and due by slot ceil(i / w); each slot goes to the released b
 deadline. With weights that sum to one every deadline is met, so after any number t of slots a source
 has had w * t blocks, give or take less than one.
 
-Weights are whole multiples of 1 / ``GRAIN``, so the schedule repeats after ``GRAIN`` slots: one period is
-planned once, and the slot of any block follows from it by arithmetic. The slots of a source that has
-run out stay empty; the others go on in their proportions, and every document appears once.
+Weights are taken as they are, as exact fractions, and the schedule never repeats, so the bound holds for
+any number of slots. The slots of a source that has run out stay empty; the others go on in their
+proportions, and every document appears once.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
+from collections.abc import Iterator
+from fractions import Fraction
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from voltweave.llm.tables import row_hash
+from voltweave.runtime import cut
 
-#: Slots of a period at least; weights are multiples of one part in so many.
+#: Slots of a period of whole shares (``shares``, ``period``); a mixture has none.
 GRAIN = 2048
+#: Blocks of the plan in one batch.
+PLAN_ROWS = 50_000
 BLOCK = 64
 #: Sources that a mixture may have; counts and weights of all pass through the driver.
 MAX_SOURCES = 20_000
@@ -45,22 +52,48 @@ def shares(weights: dict[str, float], grain: int) -> dict[str, int]:
     return out
 
 
-def period(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
-    """One period: source, block in the period, its slot, release and deadline."""
-    grain = sum(slots.values())
-    waiting = [(0, s, 0) for s in slots]
+def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
+    """Source, block, slot, release and deadline of the first ``blocks`` of every source, by slot.
+
+    The time is that of all slots up to the last block; memory is that of the sources.
+    """
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    unit = math.lcm(*[w.denominator for w in exact.values()])
+    part = {s: int(w * unit) for s, w in exact.items()}
+    total, left, slot = sum(part.values()), sum(blocks.values()), 0
+    waiting = [(0, s, 0) for s in part]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
-    out = []
-    for slot in range(grain):
+    while left:
         while waiting and waiting[0][0] <= slot:
             release, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * grain // slots[s]), s, i, release))
+            heapq.heappush(ready, (-(-(i + 1) * total // part[s]), s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
-        out.append((s, i, slot, release, deadline))
-        if i + 1 < slots[s]:
-            heapq.heappush(waiting, ((i + 1) * grain // slots[s], s, i + 1))
-    return out
+        if i < blocks[s]:
+            yield s, i, slot, release, deadline
+            left -= 1
+        heapq.heappush(waiting, ((i + 1) * total // part[s], s, i + 1))
+        slot += 1
+
+
+def period(slots: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
+    """One period of whole slots: source, block in the period, its slot, release and deadline."""
+    return list(schedule(slots, slots))
+
+
+def _plan(spark: SparkSession, weights: dict[str, float], blocks: dict[str, int]) -> DataFrame:
+    """Slot of every block, written by one task: its rows are blocks, not documents."""
+    names = ["_vw_source", "_vw_block", "_vw_slot"]
+    kinds = [pa.string(), pa.int64(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = schedule(weights, blocks) if batch.num_rows else iter(())
+            while some := [r[:3] for r in islice(rows, PLAN_ROWS)]:
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*some), kinds)], names)
+
+    # Written, so that it is planned once and the planner knows its size.
+    return cut(spark.range(1, numPartitions=1).mapInArrow(run, "_vw_source string, _vw_block long, _vw_slot long"))
 
 
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = BLOCK, source: str = "source",
@@ -83,11 +116,8 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     if bad := sorted(s for s in sizes if weights.get(s, 0) <= 0):
         raise ValueError(f"sources without a positive weight: {bad[:20]}")
     spark = docs.sparkSession
-    grain = max(GRAIN, 1 << (16 * len(sizes)).bit_length())
-    share = shares({s: weights[s] for s in sizes}, grain) if sizes else {}
-    dim = _local(spark, [(s, -(-n // PART_ROWS), share[s]) for s, n in sizes.items()], ["_vw_source", "_vw_parts", "_vw_share"])
-    plan = [b[:3] for b in period(share)] if share else []
-    table = _local(spark, plan, ["_vw_source", "_vw_in_period", "_vw_slot"])
+    dim = _local(spark, [(s, -(-n // PART_ROWS)) for s, n in sizes.items()], ["_vw_source", "_vw_parts"])
+    plan = _plan(spark, {s: weights[s] for s in sizes}, {s: -(-n // block) for s, n in sizes.items()})
 
     dealt = docs.join(dim, "_vw_source").withColumn("_vw_part", F.pmod("_vw_row", "_vw_parts"))
     counts = docs.select("_vw_source", "_vw_row").join(dim, "_vw_source").groupBy("_vw_source", F.pmod("_vw_row", "_vw_parts").alias("_vw_part")).count()
@@ -98,19 +128,17 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, block: int = B
     placed = (
         ranked.withColumn("_vw_index", F.col("_vw_before") + F.col("_vw_rank") - 1)
         .withColumn("_vw_block", F.expr(f"_vw_index div {block}"))
-        .withColumn("_vw_in_period", F.pmod("_vw_block", "_vw_share"))
-        .join(table, ["_vw_source", "_vw_in_period"])
+        .join(plan, ["_vw_source", "_vw_block"])
     )
-    slot = F.expr("_vw_block div _vw_share") * grain + F.col("_vw_slot")
     place = F.pmod("_vw_index", F.lit(block)).cast("int")
     return placed.select(
-        *[F.col(f"`{c}`") for c in columns], F.col("_vw_block").alias(names[0]), slot.alias(names[1]), place.alias(names[2]))
+        *[F.col(f"`{c}`") for c in columns], F.col("_vw_block").alias(names[0]), F.col("_vw_slot").alias(names[1]), place.alias(names[2]))
 
 
 def _local(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
-    """A small table of (text, number, number), of a size that the planner knows."""
-    columns = list(zip(*rows)) or [(), (), ()]
-    kinds = [pa.string(), pa.int64(), pa.int64()]
+    """A small table of (text, number), of a size that the planner knows."""
+    columns = list(zip(*rows)) or [(), ()]
+    kinds = [pa.string(), pa.int64()]
     return spark.createDataFrame(pa.table([pa.array(c, k) for c, k in zip(columns, kinds)], names=names))
 
 
