@@ -49,6 +49,7 @@ THREAT_WEIGHT = 1.5
 TARGETED, NEGATED, REPORTED = 1.3, 0.6, 0.7
 
 NEUTRAL, INSULT, THREAT, TARGET, NEGATION, REPORT = range(6)
+MIXED = 6  # a chunk of several words, one of them of the grammar: it is taken apart
 END = 8  # added to a code: the clause ends behind this word
 
 
@@ -104,10 +105,22 @@ class Model:
 
 _EDGES = ".,;:!?\"'()[]{}<>*_`«»„“”…-"
 _CLAUSE_ENDS = ".;:!?…"
+#: What ``learn`` splits words at besides white space.
+_MARKS = r"!-/:-@\[-`{-~«»„“”…"
+_END = re.compile(f"[{_MARKS}]*\\Z")
+_EITHER = re.compile(f"\\A[{_MARKS}]+|[{_MARKS}]+\\Z")
+#: A word with the marks behind it; in the first an apostrophe is part of the word.
+_PART = re.compile(f"(?:[^{_MARKS}]|(?<=[^{_MARKS}])'(?=[^{_MARKS}]))+[{_MARKS}]*")
+_APOSTROPHE = re.compile(f"[^{_MARKS}]+[{_MARKS}]*")
+
+
+def _word(part: str) -> str:
+    return _EITHER.sub("", part.lower())
+
 
 
 class _Lexicon(dict):
-    """Code and weight of every chunk between white space, looked up once per worker."""
+    """Code and weight of every chunk between white space, and of the words in it, looked up once per worker."""
 
     def __init__(self, model: Model, limit: int = 400_000):
         super().__init__()
@@ -118,15 +131,30 @@ class _Lexicon(dict):
     def __missing__(self, chunk: str) -> int:
         if len(self) >= self.limit:
             self.clear()
-        word = chunk.lower().strip(_EDGES)
-        code = INSULT if self.weight(chunk) else self.classes.get(word, NEUTRAL)
-        if chunk[-1] in _CLAUSE_ENDS or len(chunk) > 1 and chunk[-2] in _CLAUSE_ENDS:
+        parts = self.parts(chunk)
+        codes = [self.one(p) for p in parts]
+        code = MIXED if len(parts) > 1 and any(codes) else codes[0]
+        if code != MIXED and (len(chunk) > 1 and chunk[-2] in _CLAUSE_ENDS or any(c in _CLAUSE_ENDS for c in _END.search(chunk).group())):
             code += END
         self[chunk] = code
         return code
 
+    def one(self, part: str) -> int:
+        return INSULT if self.weight(part) else self.classes.get(part.lower().strip(_EDGES), self.classes.get(_word(part), NEUTRAL))
+
+    def parts(self, chunk: str) -> list[str]:
+        """Words of a chunk as ``learn`` splits them, each with the marks behind it; one at least.
+
+        A word of the grammar with an apostrophe ("isn't") stays one.
+        """
+        out = []
+        for word in _PART.findall(chunk):
+            whole = "'" not in word or word.lower().strip(_EDGES) in self.classes
+            out += [word] if whole else _APOSTROPHE.findall(word)
+        return out or [chunk]
+
     def weight(self, chunk: str) -> float:
-        word = chunk.lower().strip(_EDGES)
+        word = _word(chunk)
         best = self.model.words.get(word, 0.0)
         for n in STEMS:
             if len(word) >= n:
@@ -141,6 +169,9 @@ def clause_weights(text: str, lexicon: _Lexicon, table: Table) -> list[float]:
     """Weight of every clause with a match, in order."""
     chunks = text.split()
     codes = bytes(map(lexicon.__getitem__, chunks))
+    if MIXED in codes:
+        chunks = [p for chunk, c in zip(chunks, codes) for p in (lexicon.parts(chunk) if c == MIXED else [chunk])]
+        codes = bytes(map(lexicon.__getitem__, chunks))
     if not any(c in codes for c in (INSULT, THREAT, INSULT + END, THREAT + END)):
         return []
     out, state, total = [], 0, 0.0
