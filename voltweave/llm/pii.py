@@ -3,8 +3,9 @@
 The base patterns mark what they match. Around every token with a digit or an at sign a window of tokens
 is cut out, and the random field scores each run of up to ``MAX_TOKENS`` tokens as a whole (shape,
 digits, separators, checksum, the token before it) for each kind; dynamic programming over bounded
-runs chooses boundaries and kinds together. Its spans are added where they overlap no base span:
-numbers in local forms, written-out separators, credentials.
+runs chooses boundaries and kinds together, over the whole of a row of windows that touch. Its spans are
+added where they overlap no base span: numbers in local forms, credentials. Fixed patterns add what has
+neither digit nor at sign: written-out addresses and values of named credentials.
 
 The field is trained where the job starts: on windows of a bounded sample of documents, marked by the
 base patterns, and on made windows of the kinds and of look-alikes (dates, versions, amounts).
@@ -14,8 +15,10 @@ from __future__ import annotations
 
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +42,7 @@ MADE_WINDOWS = 60
 MAX_TOKENS = 6
 CONTEXT = 2
 EPOCHS = 12
-#: Tokens of a window, and characters of a run, at most.
+#: Tokens of a training window, and characters of a run of several tokens, at most.
 WINDOW = 48
 MAX_CHARS = 120
 #: A span is added when its score exceeds that of plain text by so much.
@@ -76,6 +79,38 @@ def emails(text: str) -> list[tuple[int, int]]:
     return out
 
 
+#: Fixed patterns of what has neither digit nor at sign: written-out addresses, credentials given by name;
+#: and web tokens.
+_AT = re.compile(r"(?i)\s*[(\[{]\s*at\s*[)\]}]\s*")
+_DOT_PARTS = re.compile(r"(?i)[a-z0-9-]+(?:(?:\s*[(\[{]\s*dot\s*[)\]}]\s*|\.)[a-z0-9-]+)+")
+_LOCAL_PARTS = re.compile(r"(?i)[a-z0-9._%+-]+(?:\s*[(\[{]\s*dot\s*[)\]}]\s*[a-z0-9._%+-]+)*\Z")
+_NAMED = re.compile(r"(?i)\b(?:(?:pass(?:word|wd|phrase)|pwd|api[_-]?key)\s*[=:]|(?:token|secret)\s*=)\s*[\"']?([^\s\"'\[\]<>]{4,})")
+_BEARER = re.compile(r"\bBearer\s+([A-Za-z0-9._~+/=-]{16,})|\b(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)")
+#: Characters before a written-out at in which its local part is looked for (an address has 64 there).
+LOCAL_REACH = 160
+
+
+def spelled(text: str) -> list[tuple[int, int, str]]:
+    """Written-out addresses ("john (at) example (dot) com") and values of named credentials, apart and in order."""
+    out = []
+    for m in _AT.finditer(text):
+        floor = max(0, m.start() - LOCAL_REACH)
+        local, domain = _LOCAL_PARTS.search(text[floor: m.start()]), _DOT_PARTS.match(text, m.end())
+        if local and domain:
+            out.append((floor + local.start(), domain.end(), "email"))
+    for m in [*_NAMED.finditer(text), *_BEARER.finditer(text)]:
+        s, e = m.span(m.lastindex)
+        while e > s and text[e - 1] in TRIM:
+            e -= 1
+        if e - s >= 4:
+            out.append((s, e, "secret"))
+    kept: list[tuple[int, int, str]] = []
+    for x in sorted(out):
+        if not kept or x[0] >= kept[-1][1]:
+            kept.append(x)
+    return kept
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end, kind of every base match, by start and then kind."""
     found = [(s, e, "email") for s, e in emails(text)] if "@" in text else []
@@ -112,7 +147,14 @@ class Window:
 
 
 def windows(text: str) -> Iterator[Window]:
-    """Windows of a text, in order and apart; a long row of anchors goes on in the next window."""
+    """Training windows of a text, in order and apart; a long row of anchors goes on in the next window."""
+    for w in whole_areas(text):
+        for k in range(0, len(w.tokens), WINDOW):
+            yield Window(text, w.tokens[k: k + WINDOW])
+
+
+def whole_areas(text: str) -> Iterator[Window]:
+    """Areas around the anchors of a text, in order and apart, each whole."""
     areas: list[list[int]] = []
     m = _ANCHOR.search(text)
     while m:
@@ -125,9 +167,7 @@ def windows(text: str) -> Iterator[Window]:
             areas.append(area)
         m = _ANCHOR.search(text, stop)
     for start, stop in areas:
-        tokens = [t.span() for t in _TOKEN.finditer(text, start, stop)]
-        for k in range(0, len(tokens), WINDOW):
-            yield Window(text, tokens[k: k + WINDOW])
+        yield Window(text, [t.span() for t in _TOKEN.finditer(text, start, stop)])
 
 
 def _left(text: str, pos: int, words: int, floor: int) -> int:
@@ -151,19 +191,22 @@ def _right(text: str, pos: int, words: int) -> int:
     return pos
 
 
-def runs(w: Window) -> list[tuple[int, int, int, int]]:
-    """First and last-plus-one token and trimmed place of every run that may be a span (with a digit or @)."""
+def runs(w: Window, first: int = 0, last: int | None = None) -> list[tuple[int, int, int, int]]:
+    """First and last-plus-one token and trimmed place of every run that may be a span (with a digit or @).
+
+    ``first`` and ``last`` bound the tokens at which runs start; they may end behind ``last``.
+    """
     out = []
-    for i in range(len(w.tokens)):
+    for i in range(first, len(w.tokens) if last is None else min(last, len(w.tokens))):
         for j in range(i + 1, min(len(w.tokens), i + MAX_TOKENS) + 1):
             start, end = w.tokens[i][0], w.tokens[j - 1][1]
-            if end - start > MAX_CHARS:
+            if end - start > MAX_CHARS and j > i + 1:  # a single token may have any length
                 break
-            while start < end and w.text[start] in TRIM and not w.text[start: end].startswith("("):
+            while start < end and w.text[start] in TRIM and w.text[start] != "(":
                 start += 1
             while start < end and w.text[end - 1] in TRIM:
                 end -= 1
-            if _ANCHOR.search(w.text, start, end) and w.text[start:end].count("\n") == 0:
+            if _ANCHOR.search(w.text, start, end) and "\n" not in w.text[start:end]:
                 out.append((i, j, start, end))
     return out
 
@@ -247,29 +290,37 @@ def marginals(n: int, found: list, scores: np.ndarray) -> np.ndarray:
 
 
 def decode(w: Window, weights: np.ndarray, margin: float = MARGIN) -> list[tuple[int, int, str]]:
-    """Best segmentation of a window: its spans with start, end and kind."""
-    found, _, scores = lattice(w, weights)
-    if not found:
-        return []
+    """Best segmentation of a window or a whole area: its spans with start, end and kind.
+
+    Runs are scored by those that start in ``WINDOW`` tokens, and only those above the margin are kept:
+    the others can't be in the best segmentation.
+    """
     n = len(w.tokens)
-    kind, value = scores.argmax(axis=1), scores.max(axis=1) - margin
-    best, back = np.zeros(n + 1), [-1] * (n + 1)
-    ends: list[list[int]] = [[] for _ in range(n + 1)]
-    for r, f in enumerate(found):
-        ends[f[1]].append(r)
+    ends: dict[int, list[tuple[int, float, tuple[int, int, str]]]] = {}
+    for k in range(0, n, WINDOW):
+        found = runs(w, k, k + WINDOW)
+        if not found:
+            continue
+        scores = np.array([features(w.text, s, e, j - i) for i, j, s, e in found]) @ weights
+        kind, value = scores.argmax(axis=1), scores.max(axis=1) - margin
+        for r in np.flatnonzero(value > 0):
+            i, j, s, e = found[r]
+            ends.setdefault(j, []).append((i, value[r], (s, e, KINDS[kind[r]])))
+    if not ends:
+        return []
+    best, back = np.zeros(n + 1), {}
     for t in range(1, n + 1):
         best[t] = best[t - 1]
-        for r in ends[t]:
-            if best[found[r][0]] + value[r] > best[t]:
-                best[t], back[t] = best[found[r][0]] + value[r], r
+        for i, value, span in ends.get(t, ()):
+            if best[i] + value > best[t]:
+                best[t], back[t] = best[i] + value, (i, span)
     out, t = [], n
     while t:
-        if back[t] < 0:
-            t -= 1
+        if t in back:
+            t, span = back[t]
+            out.append(span)
         else:
-            i, _, s, e = found[back[t]]
-            out.append((s, e, KINDS[kind[back[t]]]))
-            t = i
+            t -= 1
     return out[::-1]
 
 
@@ -320,6 +371,17 @@ def made_windows(seed: int = 11, each: int = MADE_WINDOWS) -> list[Window]:
                 if kind:
                     w.gold[(at, end)] = kind
                 out.append(w)
+    # Tokens longer than MAX_CHARS: keys, and addresses of pages and rows of numbers, which are none.
+    for k in range(each):
+        long = [mixed(r.randint(90, 220), lowhex) + digits(3), mixed(r.randint(90, 220), upper.lower() + upper) + digits(3),
+                "https://" + "/".join(low(6) for _ in range(20)) + digits(3), ",".join(digits(2) for _ in range(50)), digits(r.randint(90, 220)),
+                "-" * 90 + digits(1) + "-" * 40][k % 6]
+        text = f"{low(5)} {r.choice(['key', low(4)]) if k % 6 < 2 else low(4)} {long} {low(5)} {low(3)}"
+        for w in windows(text):
+            if k % 6 < 2:
+                at = text.index(long)
+                w.gold[(at, at + len(long))] = "secret"
+            out.append(w)
     return out
 
 
@@ -348,10 +410,14 @@ def spans(text: str, weights: np.ndarray) -> tuple[list, list]:
     base = base_spans(text)
     added = []
     taken = sorted((s, e) for s, e, _ in base)
-    for w in windows(text):
-        for s, e, kind in decode(w, weights):
-            if not any(s < b and a < e for a, b in taken):
-                added.append((s, e, kind))
+    # Base spans by start, with the furthest end so far: one look tells whether a span overlaps one.
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    free = lambda s, e: not (k := bisect_left(starts, e)) or reach[k - 1] <= s
+    for w in whole_areas(text):
+        added += [x for x in decode(w, weights) if free(x[0], x[1])]
+    taken = sorted([*taken, *[(s, e) for s, e, _ in added]])
+    starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    added += [x for x in spelled(text) if free(x[0], x[1])]
     return base, sorted(base + added, key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
