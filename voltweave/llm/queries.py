@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltweave.llm import bpe, chat, fingerprints, langid, mixing, pieces, pii, quality, simhash_dedup, toxicity, warc
+from voltweave.llm import bpe, chat, fingerprints, langid, mixing, pieces, pii, quality, runs, simhash_dedup, toxicity, warc
 from voltweave.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -98,6 +98,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@_register("op11_periodic_runs")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.find(runs.planted(table(spark, sf_dir, "documents"))))
+
+
 @_register("op12_sentencepiece_agenda")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
