@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltweave.llm import bpe, chat, fingerprints, langid, mixing, pieces, pii, quality, runs, simhash_dedup, toxicity, warc
+from voltweave.llm import bpe, chat, fingerprints, langid, mixing, pieces, pii, quality, runs, simhash_dedup, spelling, toxicity, warc
 from voltweave.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -107,3 +107,8 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return pieces.digests(pieces.encode_decode(docs, public_tokenizers.path(pieces.MODEL)))
+
+
+@_register("op13_spelling_variants")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
