@@ -26,15 +26,38 @@ def local_default(spark: SparkSession) -> None:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="voltweave-"))
 
 
+#: Has shuffle files removed when the execution that wrote them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise an intermediate result as a table in the shared folder and go on from its scan.
 
     A lost executor then replays nothing before this point, later reads are columnar and pruned, and
-    the planner knows the true size.
+    the planner knows the true size. The shuffle files behind the table are needed no more once it is written,
+    so they go at its end and don't pile up on the executors' disks.
     """
-    path = scratch_path(df.sparkSession, "cut")
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``cut`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        jvm = spark.sparkContext._jvm
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            if not folder.rsplit("/", 1)[1].startswith("cut-"):
+                raise ValueError(f"no intermediate table: {folder}")
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
