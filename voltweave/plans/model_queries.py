@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voltweave.functions.fixed import MODEL
-from voltweave.operators import bayes, panel
+from voltweave.operators import bayes, draws, graphs, panel, scores
 from voltweave.plans import bindings as b
+from voltweave.plans import draw_sql as q
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import cut
 
@@ -188,3 +190,124 @@ def innovation_posterior(spark, sf):
     table = bayes.innovation_posterior(path, ["chain"], MODEL["ig_shape"], MODEL["ig_scale"])
     return rounded(table.drop("chain"), 6, "scale")
 
+
+# ---- scores of whole graphs ---------------------------------------------------------------------
+
+# One series per node of the draws' graphs: all events of the users of a node.
+NODE_SQL = """
+nraw AS (SELECT ts::DATE AS date, (user_id % 8)::INT AS idx, sum(value) AS v FROM events GROUP BY ALL),
+nday AS (SELECT DISTINCT ts::DATE AS date FROM events),
+nbal AS (SELECT date, idx, coalesce(v, 0) AS v FROM (SELECT DISTINCT idx FROM nraw) CROSS JOIN nday LEFT JOIN nraw USING (date, idx)),
+nz AS (SELECT date, idx, (v - avg(v) OVER (PARTITION BY idx)) / stddev_samp(v) OVER (PARTITION BY idx) AS z FROM nbal),
+gram AS (SELECT a.idx AS a, b.idx AS b, sum(a.z * b.z) AS s FROM nz a JOIN nz b USING (date) GROUP BY ALL),
+al AS (SELECT count(*) AS n, greatest(10, count(*) // 4)::DOUBLE AS al FROM nday)"""
+
+OFFSET_SQL = """(-({m}) * n / 2.0 * ln(pi()) + coalesce(list_sum([lgamma((al + n) / 2 - k / 2.0) - lgamma(al / 2 - k / 2.0) for k in range({m})]), 0)
+  + al / 2 * ({m}) * ln(c0))"""
+
+
+def _pivots_sql(longest: int) -> str:
+    """Pivots of the elimination of every list in ``blocks`` (in its own order), CTE piv(block, p, s)."""
+    steps = [f"""
+m{t} AS (SELECT m.block, m.p, m.q, m.s - r.s * c.s / d.s AS s FROM m{t - 1} m
+  JOIN m{t - 1} r ON r.block = m.block AND r.p = {t} AND r.q = m.q JOIN m{t - 1} c ON c.block = m.block AND c.q = {t} AND c.p = m.p
+  JOIN m{t - 1} d ON d.block = m.block AND d.p = {t} AND d.q = {t} WHERE m.p > {t} AND m.q > {t})""" for t in range(1, longest)]
+    pivots = " UNION ALL ".join(f"SELECT block, p, s FROM m{t - 1} WHERE p = {t} AND q = {t}" for t in range(1, longest + 1))
+    return f"""
+e AS (SELECT block, unnest(block) AS v, unnest(range(1, len(block) + 1)) AS p FROM blocks),
+m0 AS (SELECT x.block, x.p, y.p AS q, g.s + CASE WHEN x.p = y.p THEN c0 ELSE 0 END AS s
+  FROM e x JOIN e y USING (block) JOIN gram g ON g.a = x.v AND g.b = y.v CROSS JOIN k),{",".join(steps)}{"," if steps else ""}
+piv AS ({pivots})"""
+
+
+BLOCK_SQL = f"""{q.DRAWS}, {NODE_SQL}, k AS (SELECT n, al, CASE WHEN al - 9 > 0 THEN al - 9 ELSE 1 END AS c0 FROM al),
+sets AS (SELECT chain, draw, i AS node, coalesce(list(j ORDER BY j) FILTER (WHERE g = 1 AND i <> j), []) AS parents FROM g0 GROUP BY ALL),
+blocks AS (SELECT parents AS block FROM sets WHERE len(parents) > 0 UNION SELECT list_sort(list_append(parents, node)) FROM sets),
+{_pivots_sql(8)},
+marginal AS (SELECT block, {OFFSET_SQL.format(m="len(block)")} - (al + n) / 2 * sum(ln(s)) AS lm FROM piv CROSS JOIN k GROUP BY block, n, al, c0)"""
+
+
+def _node_matrix(spark, sf):
+    """Cross products of the node series plus the prior scale, and the constants of the scores."""
+    ev = b.table(spark, sf, "events")
+    daily = ev.groupBy(F.to_date("ts").alias("date"), (F.col("user_id") % b.G0.rows).cast("int").alias("idx")).agg(F.sum("value").alias("value"))
+    z = panel.standardise(panel.on_calendar(daily, b.calendar(spark, sf)).fillna(0.0, ["value"]), ["idx"], strict=False)
+    rows = bayes.day_vectors(z.select("date", "idx", F.col("z").alias("value"))).withColumn("k", F.lit(0))
+    cells = bayes.gram_cells(bayes.gram(rows, ["k"], "v"), b.G0.rows, [])
+    score = bayes.BlockScore.contemporaneous(b.G0.rows, b.calendar(spark, sf).count())
+    return scores.matrix_of(cells, b.G0.rows) + score.c0 * np.eye(b.G0.rows), score
+
+
+@query("b6_block_marginals", f"""WITH {BLOCK_SQL} SELECT array_to_string(block, ',') AS block, len(block) AS n,
+round(lm, 6) AS log_marginal FROM marginal""")
+def block_marginals(spark, sf):
+    """Every block of variables that a draw's graph needs: each node's parents, with and without the node."""
+    post, score = _node_matrix(spark, sf)
+    sets = scores.parent_sets(b.draws(spark, sf), "g", b.G0.rows)
+    both = F.explode(F.array("parents", F.array_sort(F.array_append("parents", F.col("node")))))
+    found = scores.block_marginals(sets.select(both.alias("block")).where("size(block) > 0").distinct(), post, score)
+    return rounded(found.select(F.array_join("block", ",").alias("block"), F.size("block").cast("long").alias("n"), "log_marginal"), 6, "log_marginal")
+
+
+@query("b7_graph_scores", f"""WITH {BLOCK_SQL} SELECT chain, draw, node::INT AS node, len(parents) AS n_parents, round(f.lm - coalesce(o.lm, 0), 6) AS score
+FROM sets JOIN marginal f ON f.block = list_sort(list_append(parents, node)) LEFT JOIN marginal o ON o.block = parents""")
+def graph_scores(spark, sf):
+    """Local score of every node of every draw's graph."""
+    post, score = _node_matrix(spark, sf)
+    found = scores.local_scores(scores.parent_sets(b.draws(spark, sf), "g", b.G0.rows), post, score)
+    return rounded(found.select("chain", "draw", "node", F.size("parents").cast("long").alias("n_parents"), "score"), 6, "score")
+
+
+# Parents of a response: its strongest 0 to 3 cross products with a lagged column.
+TOGGLE_SQL = f"""{MODEL_SQL}, al AS (SELECT n, greatest(43, n // 4)::DOUBLE AS al FROM nobs),
+k AS (SELECT n, al, CASE WHEN al - 51 > 0 THEN al - 51 ELSE 1 END AS c0 FROM al),
+best AS (SELECT a, b, row_number() OVER (PARTITION BY a ORDER BY round(abs(s), 6) DESC, b) AS rn FROM gram WHERE a < 10 AND b >= 10),
+sets AS (SELECT a AS response, size, coalesce(list(b ORDER BY b) FILTER (WHERE rn <= size), []) AS parents
+         FROM best CROSS JOIN (SELECT unnest(range(4)) AS size) GROUP BY ALL),
+toggled AS (SELECT response, size, parents, c AS col, CASE WHEN list_contains(parents, c) THEN list_filter(parents, lambda x: x <> c)
+            ELSE list_sort(list_append(parents, c)) END AS other FROM sets CROSS JOIN (SELECT unnest(range(10, 50)) AS c)),
+blocks AS (SELECT list_append(parents, response) AS block FROM sets UNION SELECT list_append(other, response) FROM toggled),
+{_pivots_sql(5)},
+own AS (SELECT block, {OFFSET_SQL.format(m="len(block)")} - {OFFSET_SQL.format(m="(len(block) - 1)")} - (al + n) / 2 * ln(s) AS score
+        FROM piv CROSS JOIN k WHERE p = len(block))"""
+
+
+@query("b10_toggle_gains", f"""WITH {TOGGLE_SQL} SELECT response::INT AS response, size, col::INT AS col, list_contains(parents, col) AS leaves,
+round(t.score - o.score, 6) AS gain FROM toggled JOIN own t ON t.block = list_append(other, response) JOIN own o ON o.block = list_append(parents, response)""")
+def toggle_gains(spark, sf):
+    """Gain of every lagged column's toggle for parent sets of 0 to 3 columns per response."""
+    score = bayes.BlockScore.temporal(DIMS, _days(spark, sf))
+    cells = cut(_cells(_design(spark, sf)))
+    ranked = cells.where((F.col("a") < DIMS.ny) & (F.col("b") >= DIMS.ny)).groupBy(F.col("a").alias("response")).agg(
+        F.array_sort(F.collect_list(F.struct((-F.round(F.abs("s"), 6)).alias("_s"), "b"))).alias("_best"))
+    sets = ranked.select("response", F.col("_best.b").alias("_best"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(4)])).alias("size"))
+    sets = sets.select("response", "size", F.array_sort(F.slice("_best", F.lit(1), F.col("size").cast("int"))).alias("parents"))
+    post = scores.matrix_of(cells, DIMS.width) + score.c0 * np.eye(DIMS.width)
+    gains = scores.toggle_gains(sets, post, score, range(DIMS.ny, DIMS.width))
+    return rounded(gains.select(
+        "response", "size", F.col("column").alias("col"), F.array_contains("parents", F.col("column")).alias("leaves"), "gain"), 6, "gain")
+
+
+# Contemporaneous edges of a draw run along an order of the nodes that turns with the draw, so there is no cycle.
+_REDUCED = "".join(f""",
+t{k} AS (SELECT nw.chain, nw.draw, nw.i, t.m, sum(nw.v * t.v) AS v FROM nw JOIN t{k - 1} t ON t.chain = nw.chain AND t.draw = nw.draw AND t.i = nw.j GROUP BY ALL)"""
+                   for k in range(1, 8))
+
+
+@query("b11_reduced_form", f"""WITH {q.DRAWS}, nw AS (SELECT chain, draw, i, j, g * x AS v FROM g0 WHERE (j + draw) % 8 < (i + draw) % 8),
+t0 AS (SELECT chain, draw, i, j AS m, g * x AS v FROM g0){_REDUCED},
+every AS ({" UNION ALL ".join(f"SELECT chain, i, m, v FROM t{k}" for k in range(8))})
+SELECT chain, i::INT AS i, m::INT AS j, round(sum(v) / max(n_keep), 6) AS mean FROM every CROSS JOIN nk GROUP BY chain, i, m""")
+def reduced_form(spark, sf):
+    """Mean reduced-form coefficients per chain, from the contemporaneous and the lagged part of every draw."""
+    n = b.G0.rows
+    d = b.draws(spark, sf).withColumn("lagged", draws.masked("g", "x"))
+    ahead = lambda k, turn: (F.floor(k) + turn) % n
+    now = F.transform("lagged", lambda v, k: F.when(ahead(k % n, F.col("draw")) < ahead(k / n, F.col("draw")), v).otherwise(0.0))
+
+    def work(contemporaneous, lagged):
+        return [scores.reduced_form(contemporaneous.reshape(-1, n, n), lagged.reshape(-1, n, n)).reshape(len(lagged), -1).tolist()]
+
+    found = graphs.map_matrices(d.withColumn("now", now), ["now", "lagged"], "a array<double>", work)
+    cells = found.select("chain", F.posexplode("a").alias("cell", "value")).groupBy("chain", "cell").agg(F.avg("value").alias("mean"))
+    return rounded(b.G0.locate(cells).select("chain", "i", "j", "mean"), 6, "mean")
