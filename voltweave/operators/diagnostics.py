@@ -9,6 +9,7 @@ from voltweave.functions.columns import bernoulli_kl
 from voltweave.operators.series import (
     autocovariance_sums, centred, lag_products, monotone_tau,
 )
+from voltweave.operators.spectra import all_autocovariance_sums
 from voltweave.runtime import cut
 
 
@@ -48,10 +49,11 @@ def autocorrelations(pooled: DataFrame, x: str, max_lag: int) -> DataFrame:
 
 
 def autocovariances(draws: DataFrame, x: str, max_lag: int | None = None) -> DataFrame:
-    """Autocovariance per chain, cell and lag, divided by n; all lags unless a largest one is given."""
+    """Autocovariance per chain, cell and lag, divided by n; all lags (by Fourier transform) unless a largest one is given."""
     if max_lag is None:
-        max_lag = (draws.groupBy("chain").count().agg(F.max("count")).first()[0] or 1) - 1
-    sums = autocovariance_sums(draws, ["chain"], "draw", x, max_lag)
+        sums = all_autocovariance_sums(draws, ["chain"], "draw", x)
+    else:
+        sums = autocovariance_sums(draws, ["chain"], "draw", x, max_lag)
     return sums.select("chain", "cell", "lag", (F.col("s") / F.col("n")).alias("acov"))
 
 

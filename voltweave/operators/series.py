@@ -1,7 +1,7 @@
 """Ordered analytics over long series whose position is a dense 0-based integer.
 
 A posterior chain can be arbitrarily long, so no operator here gathers a whole series. (Lags up to the
-length of a series cost its square, in blocks; truncation ends most far earlier.) A series is
+length of a series cost its square here, in blocks; ``spectra`` has all of them at once.) A series is
 cut into blocks of consecutive positions; rows near a block edge are copied to the neighbouring
 block that needs them, every block is reduced on its own, and the block results are summed.
 Rows carry one array per position (all cells of a draw), so one block serves every cell at once.
