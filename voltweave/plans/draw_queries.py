@@ -21,7 +21,7 @@ from voltweave.plans import draw_sql as q
 from voltweave.plans.reports import with_notes
 from voltweave.plans.registry import query, rounded
 from voltweave.runtime import cut, scratch_path
-from voltweave.sources import tables
+from voltweave.sources import chunks, npy, tables
 
 OFF_DIAGONAL = "i <> j"
 NODES = list(range(8))
@@ -78,6 +78,42 @@ def draw_store(spark, sf):
         F.count("*").alias("draws"), F.sum(dr.array_sum("x")).alias("total")), 4, "total")
 
 
+@query("s12_npy_scan", f"""WITH {q.DRAWS} SELECT chain, draw, round(sum(x), 6) AS total, round(sqrt(sum(x * x)), 6) AS norm,
+count(*) FILTER (WHERE g > 0) AS edges FROM c GROUP BY ALL""")
+def npy_scan(spark, sf):
+    """Draws written as .npy files of every chain and scanned by chain and range of draws; mu_h is there, but isn't read."""
+    path = scratch_path(spark, "npy")
+    d = b.draws(spark, sf).select("chain", "draw", "x", "g", dr.norm("x").alias("norm"), F.lit(0.0).alias("mu_h"))
+    npy.write_samples(d, path, {"x": (8, 8), "g": (4, 2, 8), "norm": (), "mu_h": ()}).collect()  # a row for each file
+    kept = npy.read_samples(spark, path, b.N_CHAINS)
+    return rounded(kept.select(
+        "chain", "draw", dr.array_sum("x").alias("total"), "norm", dr.array_sum("g").cast("long").alias("edges")), 6, "total", "norm")
+
+
+@query("s14_npy_quantity", f"""WITH {q.DRAWS} SELECT pos, chain, round(sqrt(sum(x * x)), 6) AS norm FROM c GROUP BY ALL""")
+def npy_quantity(spark, sf):
+    """One quantity of a sample store, pooled over chains; the files of the others stay shut."""
+    path = scratch_path(spark, "npy")
+    d = b.draws(spark, sf).select("chain", "draw", "x", dr.norm("x").alias("norm"))
+    npy.write_samples(d, path, {"x": (8, 8), "norm": ()}, "<f8").collect()  # a row for each file
+    kept = npy.read_samples(spark, path, b.N_CHAINS, ["norm"])
+    return rounded(dr.pooled(kept, b.n_keep(spark, sf)).select("pos", "chain", "norm"), 6, "norm")
+
+
+@query("k5_resumed_store", f"""WITH {q.DRAWS} SELECT chain, draw, round(sum(x), 6) AS total FROM c GROUP BY ALL""")
+def resumed_store(spark, sf):
+    """Draws stored in chunks by a run that ends in its third chunk and by one that goes on behind the second."""
+    path = scratch_path(spark, "chunks")
+    d, n = b.draws(spark, sf).select("chain", "draw", "x"), b.n_keep(spark, sf)
+    make = lambda first, stop: d.where((F.col("draw") >= first) & (F.col("draw") < stop))
+    every = -(-n // 5)
+    store = chunks.ChunkStore(spark, path)
+    store.run(make, n, every, b.N_CHAINS, until=every + 1)
+    make(2 * every, 2 * every + 1).write.parquet(f"{path}/chunk-000002")  # never committed
+    chunks.ChunkStore(spark, path).run(make, n, every, b.N_CHAINS)
+    return rounded(store.read().select("chain", "draw", dr.array_sum("x").alias("total")), 6, "total")
+
+
 @query("p18_threshold_mask", f"""WITH {q.DRAWS}, m AS (SELECT lag, i, j, avg(x) AS mean FROM gam GROUP BY ALL)
 SELECT lag, i, j, round(CASE WHEN abs(mean) > 0.003 THEN abs(mean) ELSE 0 END, 8) AS w FROM m""")
 def threshold_mask(spark, sf):
