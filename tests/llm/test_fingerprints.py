@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from voltweave.llm import fingerprints as fp
@@ -54,3 +55,39 @@ def test_block_tables_find_every_pair(spark):
     assert got == {(a, b) for a in fps for b in fps if 0 < bin(a ^ b).count("1") <= 3}
     plan = fp.compare(spark.createDataFrame([(1, "a b c")], "doc_id long, text string"))._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "InPandas" not in plan and "Arrow" not in plan
+
+
+def signed(values):
+    return [(f - (1 << 64) if f >> 63 else f,) for f in values]
+
+
+def test_near_counts_in_large_groups(spark):
+    """Groups filed anew at every level count each neighbour once."""
+    r = random.Random(9)
+    base = r.getrandbits(64)
+    dense = {base ^ sum(1 << k for k in r.sample(range(0, 64, 5), r.randint(0, 5))) for _ in range(500)}
+    fps = dense | {r.getrandbits(64) for _ in range(100)} | {base ^ sum(1 << k for k in r.sample(range(64), 3)) for _ in range(300)}
+    df = spark.createDataFrame(signed(fps), "fp long")
+    known = {a: n for a in fps if (n := sum(0 < bin(a ^ b).count("1") <= 3 for b in fps))}
+    for members in (2, 20, 512):
+        got = {x.fp % (1 << 64): x.n_near for x in fp.near_counts(df, members=members).collect()}
+        assert got == known, members
+
+
+def test_near_counts_of_a_cluster(spark):
+    """One cluster of 5000 different fingerprints."""
+    r = random.Random(10)
+    base, fps = r.getrandbits(64), set()
+    while len(fps) < 5000:
+        fps.add(base ^ sum(1 << k for k in r.sample(range(64), r.randint(0, 4))))
+    x = np.array(sorted(fps), np.uint64)
+    known = [int((np.bitwise_count(v ^ x) <= 3).sum()) - 1 for v in x]
+    df = spark.createDataFrame(signed(fps), "fp long")
+    got = {y.fp % (1 << 64): y.n_near for y in fp.near_counts(df).collect()}
+    assert got == {int(v): n for v, n in zip(x, known) if n}
+
+
+def test_parts_cut_all_bits():
+    for radius in (1, 2, 3, 5):
+        for masks in fp.parts(radius):
+            assert len(masks) == radius + 1 and sum(masks) == (1 << 64) - 1

@@ -22,6 +22,8 @@ RADIUS = 3
 #: Ids of a bucket in which the next document is looked up; buckets of a group above it.
 BUCKET_ROWS = 500
 GROUP_BUCKETS = 10_000
+#: Fingerprints of a group that are compared with each other; larger groups are filed anew.
+MEMBERS = 512
 #: One in either half of a sum. A half holds votes of up to 2^32, a text of over a gigabyte.
 HALVES = (1 << 32) | 1
 SPACES = " \t\n\x0b\x0c\r"
@@ -156,23 +158,86 @@ def compare(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"))
 
 
-def block_keys(fp: str, radius: int = RADIUS) -> Column:
-    """Array of the fingerprint's keys, one for each table: three blocks of radius + 3, the rest blanked."""
+def table_masks(radius: int = RADIUS) -> list[int]:
+    """The bits of each table's keys: three blocks of radius + 3."""
     n = radius + 3
     bounds = [64 * k // n for k in range(n + 1)]
-    masks = [sum((1 << bounds[b + 1]) - (1 << bounds[b]) for b in chosen) for chosen in combinations(range(n), 3)]
-    return F.array(*[F.col(fp).bitwiseAND(F.lit(m - (1 << 64) if m >> 63 else m)) for m in masks])
+    return [sum((1 << bounds[b + 1]) - (1 << bounds[b]) for b in chosen) for chosen in combinations(range(n), 3)]
+
+
+def _signed(mask: int) -> int:
+    return mask - (1 << 64) if mask >> 63 else mask
+
+
+def block_keys(fp: str, radius: int = RADIUS) -> Column:
+    """Array of the fingerprint's keys, one for each table: its bits in the table's blocks."""
+    return F.array(*[F.col(fp).bitwiseAND(F.lit(_signed(m))) for m in table_masks(radius)])
+
+
+def parts(radius: int = RADIUS) -> list[list[int]]:
+    """Levels at which a large group is filed anew: masks that cut the 64 bits in radius + 1 parts, each time across
+    the parts before (by the digits of the bit's number, then by their sum)."""
+    k, digits = radius + 1, 1
+    while k ** digits < 64:
+        digits += 1
+    digit = [lambda bit, d=d: bit // k ** d % k for d in range(digits)]
+    digit.append(lambda bit: sum(f(bit) for f in digit[:digits]) % k)
+    return [[sum(1 << bit for bit in range(64) if f(bit) == p) for p in range(k)] for f in digit]
+
+
+def near_counts(fps: DataFrame, radius: int = RADIUS, members: int = MEMBERS) -> DataFrame:
+    """``fp, n_near`` for every fingerprint (column fp, distinct) with another one within the radius.
+
+    A group under a table key of at most ``members`` fingerprints is one array, in which each of them counts those near it. A larger group
+    is filed anew under the parts of its remaining bits, one of which two near fingerprints share. Two that share
+    several keys count each other under the first: the tables and parts before must tell them apart, which
+    their difference alone decides. So no pair is ever a row. Behind the last level a group's fingerprints differ in a
+    few bits only, which bounds it.
+    """
+    tables = F.array(*[F.lit(_signed(m)) for m in table_masks(radius)])
+    filed = fps.select("fp", F.posexplode(block_keys("fp", radius)).alias("path", "key"))
+    found, levels = [], parts(radius)
+    for level in range(len(levels) + 1):
+        sizes = filed.groupBy("path", "key").agg(F.count("*").alias("_n")).where("_n > 1")
+        filed = filed.join(sizes, ["path", "key"])
+        if not level:
+            # The bits of the key and, for each table before, its own: said by the path, so not shuffled.
+            filed = filed.withColumns({"mask": F.get(tables, "path"), "before": F.slice(tables, F.lit(1), F.col("path"))})
+        filed = cut(filed)
+        last = level == len(levels)
+        small = filed if last else filed.where(F.col("_n") <= members)
+        grouped = small.groupBy("path", "key").agg(F.collect_list("fp").alias("_all"), F.first("before").alias("before"))
+        found.append(grouped.select(F.explode("_all").alias("fp"), "_all", "before").select("fp", _near("_all", "before", radius).alias("n_near")))
+        large = filed.where(F.col("_n") > members)
+        if last or large.isEmpty():
+            break
+        masks = F.array(*[F.lit(_signed(m)) for m in levels[level]])
+        filed = large.select("fp", "path", "before", "mask", F.posexplode(masks).alias("_p", "_part")).select(
+            "fp", (F.col("path") * (radius + 1) + F.col("_p")).alias("path"),
+            F.col("fp").bitwiseAND(F.col("mask").bitwiseOR(F.col("_part"))).alias("key"),
+            F.concat("before", F.slice(masks, F.lit(1), F.col("_p"))).alias("before"),
+            F.col("mask").bitwiseOR(F.col("_part")).alias("mask"))
+    counts = reduce(DataFrame.unionByName, found).where("n_near > 0")
+    return counts.groupBy("fp").agg(F.sum("n_near").alias("n_near"))
+
+
+def _near(group: str, before: str, radius: int) -> Column:
+    """How many of a group's fingerprints are near ``fp`` and not under a key before."""
+
+    def counts(x: Column) -> Column:
+        difference = x.bitwiseXOR(F.col("fp"))
+        return (F.bit_count(difference) <= radius) & (difference != 0) & F.forall(before, lambda m: difference.bitwiseAND(m) != 0)
+
+    return F.size(F.filter(group, counts)).cast("long")
 
 
 def near_pairs(fps: DataFrame, other: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """All pairs ``a, b`` of different fingerprints of the two tables (column fp, distinct) within the radius."""
+    """All pairs ``a, b`` of different fingerprints of the two tables (column fp, distinct) within the radius.
+
+    For searches of some fingerprints in a table; what lies near in one table is told by ``near_counts``.
+    """
     left = fps.select(F.col("fp").alias("a"), F.posexplode(block_keys("fp", radius)).alias("block", "key"))
     right = other.select(F.col("fp").alias("b"), F.posexplode(block_keys("fp", radius)).alias("block", "key"))
     close = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius
     pairs = left.join(right, ["block", "key"]).where(close & (F.col("a") != F.col("b")))
     return pairs.select("a", "b").distinct()
-
-
-def near_counts(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fp, n_near`` for every fingerprint with another one within the radius."""
-    return near_pairs(fps, fps, radius).groupBy(F.col("a").alias("fp")).agg(F.count("*").alias("n_near"))
