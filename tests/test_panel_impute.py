@@ -98,6 +98,27 @@ def test_cascade_reclassifies_after_forward_fill(spark):
     assert [(r.total_null, r.n_blocks, r.max_block_len, len(r.dates)) for r in report] == [(17, 1, 17, 17)]
 
 
+@pytest.mark.parametrize("seed", range(4))
+def test_one_pass_equals_the_three_fills(spark, seed):
+    r = np.random.default_rng(seed)
+    named = {}
+    for k in range(12):
+        n = 70 if k else 3
+        x = np.cumsum(r.normal(size=n))
+        for _ in range(int(r.integers(0, 7))):
+            a = int(r.integers(0, n))
+            x[a: a + int(r.choice([1, 2, 3, 7, 9, 10, 17, 19, 30]))] = np.nan
+        named[f"s{k}"] = x
+    named |= {"none": np.full(20, np.nan), "one": np.r_[1.0, np.full(25, np.nan)], "late": np.r_[np.full(12, np.nan), 1.0, 2.0]}
+    df = series(spark, **named).repartition(3)
+    cascade = impute.seasonal_fill(impute.spline_fill(impute.forward_fill(df, ["series"]), ["series"]), ["series"])
+    got = impute.impute(df, ["series"])
+    assert got.columns == df.columns and got.count() == df.count()
+    for name in named:
+        np.testing.assert_allclose(back(got, name), back(cascade, name), atol=1e-9, err_msg=name)
+    assert impute.impute(df.limit(0), ["series"]).collect() == []
+
+
 def test_countries_calendar_and_standardise(spark):
     c = spark.createDataFrame([(0, "AT"), (1, "BE"), (2, "CH")], "idx int, country string")
     price = spark.createDataFrame([("AT",), ("BE",)], "country string")

@@ -5,6 +5,7 @@ import itertools
 import numpy as np
 import pytest
 
+from voltweave.operators import kernels
 from voltweave.operators import scores as sc
 from voltweave.operators.bayes import BlockScore
 
@@ -110,3 +111,31 @@ def test_reduced_form_with_cycles():
     assert sc.topological(now)[1].tolist() == [False, False, True]
     np.testing.assert_allclose(got[0], np.linalg.solve([[1, -0.5], [-0.5, 1]], lagged[0]))
     assert (got[1] == lagged[1]).all() and (got[2] == lagged[2]).all()
+
+
+def test_structural_coefficients_of_draws(spark):
+    """Against solving every node's normal equations."""
+    r = np.random.default_rng(6)
+    x = r.normal(size=(90, 5))
+    sigma = x.T @ x / 90
+    g = (r.random((12, 5, 5)) < 0.5).astype(float)
+    g[0], g[1] = 0, 1
+    draws = spark.createDataFrame([(0, k, m.ravel().tolist()) for k, m in enumerate(g)], "chain int, draw long, g array<double>")
+    known, left = kernels.structural(np.repeat(sigma[None], 12, axis=0), g)
+    rows = sc.structural(sc.parent_sets(draws, "g", 5), sigma).collect()
+    assert len(rows) == 60
+    for row in rows:
+        np.testing.assert_allclose(row.coefs, known[row.draw, row.node, row.parents], atol=1e-10)
+        assert abs(row.variance - left[row.draw, row.node]) < 1e-10
+
+
+def test_spectral_radius_equals_the_eigenvalues():
+    r = np.random.default_rng(7)
+    phi = r.normal(size=(200, 2, 3, 3)) * 0.4
+    phi[0] = 0
+    phi[1, 1] = phi[1, 0] = np.diag([1.0, 1.0], 1)
+    known = []
+    for a, b in phi:
+        known.append(np.abs(np.linalg.eigvals(np.block([[a, b], [np.eye(3), np.zeros((3, 3))]]))).max())
+    np.testing.assert_allclose(kernels.spectral_radius(phi)[2:], known[2:], rtol=2e-6)
+    assert (kernels.spectral_radius(phi)[:2] == 0).all()

@@ -129,9 +129,67 @@ def seasonal_fill(df: DataFrame, keys: list[str], max_gap: int = 16) -> DataFram
     ).select(*df.columns)
 
 
+def _runs(missing: np.ndarray) -> np.ndarray:
+    """For each day the length of the run of missing days it lies in, 0 for the others."""
+    edges = np.flatnonzero(np.diff(np.concatenate(([0], missing.astype(np.int8), [0]))))
+    out = np.zeros(len(missing), np.int64)
+    for start, stop in edges.reshape(-1, 2):
+        out[start:stop] = stop - start
+    return out
+
+
+def _last_seen(seen: np.ndarray) -> np.ndarray:
+    """Index of the last seen day up to each day, -1 before the first."""
+    return np.maximum.accumulate(np.where(seen, np.arange(len(seen)), -1)) if len(seen) else np.zeros(0, np.int64)
+
+
+def repaired(t: np.ndarray, y: np.ndarray, ffill: int, spline: int, seasonal: int, min_points: int = 4) -> np.ndarray:
+    """The cascade on one series: ``t`` are day numbers in order, ``y`` its values, NaN in gaps."""
+    y, at = y.copy(), np.arange(len(y))
+    last = _last_seen(~np.isnan(y))
+    near = np.isnan(y) & (last >= 0) & (at - last <= ffill)
+    y[near] = y[last[near]]
+    missing = np.isnan(y)
+    todo = (_runs(missing) <= spline) & missing
+    if todo.any() and (~missing).sum() >= min_points:
+        y[todo] = not_a_knot(t[~missing], y[~missing], t[todo])
+    missing = np.isnan(y)
+    todo = (_runs(missing) <= seasonal) & missing
+    if todo.any():
+        weekday = (t.astype(np.int64) + 3) % 7
+        season = np.array([np.median(y[own]) if (own := (weekday == d) & ~missing).any() else np.nan for d in range(7)])[weekday]
+        rest = y - season
+        before, behind = _last_seen(~missing), len(y) - 1 - _last_seen(~missing[::-1])[::-1]
+        level = (before >= 0) & (at - before <= seasonal)
+        a, b = before[todo & level], np.minimum(behind[todo & level], len(y) - 1)
+        inside = behind[todo & level] < len(y)
+        own = t[todo & level]
+        line = rest[a] + (rest[b] - rest[a]) * (own - t[a]) / np.where(inside, t[b] - t[a], 1)
+        y[todo & level] = np.where(inside, line, rest[a]) + season[todo & level]
+    return y
+
+
 def impute(df: DataFrame, keys: list[str], ffill: int = 2, spline: int = 7, seasonal: int = 16) -> DataFrame:
-    """The whole cascade; each stage measures the gaps the previous one left."""
-    return seasonal_fill(spline_fill(forward_fill(df, keys, ffill), keys, spline), keys, seasonal)
+    """The whole cascade of ``forward_fill``, ``spline_fill`` and ``seasonal_fill``; each stage measures the gaps the
+    previous one left. A NaN counts as a gap.
+
+    A series has one row per calendar day, so it is packed into arrays once and passes the three fills together:
+    one shuffle and one sort instead of those of nine windows.
+    """
+    packed = df.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("date", "value"))).alias("_days")).select(
+        *keys, F.col("_days.date").alias("date"), F.col("_days.value").alias("value"),
+        F.transform("_days", lambda d: F.unix_date(d["date"]).cast("double")).alias("_t"))
+    schema = T.StructType(packed.schema.fields[:-1])
+
+    def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            filled = [
+                pa.array(repaired(np.asarray(t.values), v.values.to_numpy(zero_copy_only=False), ffill, spline, seasonal), from_pandas=True)
+                for t, v in zip(batch.column("_t"), batch.column("value"))]
+            keep = [batch.column(c) for c in schema.names[:-1]]
+            yield pa.RecordBatch.from_arrays([*keep, pa.array(filled, type=pa.list_(pa.float64()))], names=schema.names)
+
+    return packed.mapInArrow(fill, schema).select(*keys, F.inline(F.arrays_zip("date", "value"))).select(*df.columns)
 
 
 def gap_report(df: DataFrame, keys: list[str]) -> DataFrame:

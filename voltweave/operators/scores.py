@@ -163,6 +163,30 @@ def toggle_gains(
     return found.select(*sets.columns, F.inline(F.arrays_zip("column", "gain")))
 
 
+def structural(sets: DataFrame, sigma: np.ndarray) -> DataFrame:
+    """``coefs`` of each row's node on its parents (in their order) and the ``variance`` left, as a covariance implies them.
+
+    A covariance that is singular on the parents gives values that aren't finite.
+    """
+    schema = T.StructType([*sets.schema.fields, T.StructField("coefs", T.ArrayType(T.DoubleType())), T.StructField("variance", T.DoubleType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            coefs, variances = [], []
+            step = max(1, CELLS // len(sigma) ** 2)
+            for k in range(0, batch.num_rows, step):
+                part = batch.slice(k, step)
+                i, parents = part.column("node").to_numpy(), _lists(part.column("parents"))
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    s = swept(sigma, _padded(parents))
+                coefs += [s[row, node, p] for row, (node, p) in enumerate(zip(i, parents))]
+                variances.append(s[np.arange(len(i)), i, i])
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(coefs, pa.list_(pa.float64())), pa.array(np.concatenate([np.zeros(0), *variances]))], names=schema.names)
+
+    return sets.mapInArrow(run, schema)
+
+
 def topological(g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For graphs (batch, driven, driver): orders in which drivers stand before what they drive (the smallest
     ready node first), and which graphs have one."""

@@ -547,23 +547,23 @@ def selected_reachability(spark, sf):
     return gr.reachability(pips.select(F.col("j").alias("src"), F.col("i").alias("dst")), [])
 
 
-@query("g17_spectral_radius")
+# The companion matrix of the lags and its scaled squares, as rows; a square of norm 0 ends a draw.
+COMPANION_SQL = """
+s0 AS (SELECT chain, draw, i, ([0, 1, 2, NULL, NULL, NULL, 3])[lag] * 4 + j AS j, x FROM phi
+       UNION ALL SELECT chain, draw, k + 4, k, 1.0 FROM (SELECT DISTINCT chain, draw FROM c) CROSS JOIN (SELECT unnest(range(12)) AS k)),
+n0 AS (SELECT chain, draw, sqrt(sum(x * x)) AS nu FROM s0 GROUP BY ALL)""" + "".join(f""",
+s{k} AS MATERIALIZED (SELECT a.chain, a.draw, a.i, b.j, sum(a.x / nu * (b.x / nu)) AS x FROM s{k - 1} a JOIN s{k - 1} b ON b.chain = a.chain AND b.draw = a.draw AND b.i = a.j
+  JOIN n{k - 1} n ON n.chain = a.chain AND n.draw = a.draw WHERE nu > 0 GROUP BY ALL),
+n{k} AS (SELECT chain, draw, sqrt(sum(x * x)) AS nu FROM s{k} GROUP BY ALL)""" for k in range(1, kernels.SQUARINGS + 1)) + """,
+norms AS (""" + " UNION ALL ".join(f"SELECT chain, draw, nu, {k} AS k FROM n{k}" for k in range(kernels.SQUARINGS + 1)) + ")"
+
+
+@query("g17_spectral_radius", f"""WITH {q.DRAWS}, {COMPANION_SQL} SELECT chain, draw,
+round(CASE WHEN min(nu) > 0 THEN exp(sum(ln(nullif(nu, 0)) / 2.0 ** k)) ELSE 0 END, 5) AS radius FROM norms GROUP BY ALL""")
 def spectral_radius(spark, sf):
+    """Radius of each draw's companion matrix, by repeated squaring."""
     work = lambda x: [kernels.spectral_radius(x.reshape(-1, 4, 4, 4))]
-    return rounded(gr.map_matrices(b.draws(spark, sf), ["x"], "radius double", work), 6, "radius")
-
-
-@query("g18_structural_coefficients")
-def structural_coefficients(spark, sf):
-    """Mean structural coefficients; the covariance of a draw is x x' + I over its 8 x 8 cells."""
-
-    def work(x, g):
-        m = x.reshape(-1, 8, 8)
-        b0, eps = kernels.structural(m @ m.transpose(0, 2, 1) + np.eye(8), g.reshape(-1, 8, 8))
-        return [b0.reshape(len(m), -1).tolist(), eps.tolist()]
-
-    per_draw = gr.map_matrices(b.draws(spark, sf), ["x", "g"], "b0 array<double>, eps array<double>", work)
-    return rounded(dr.cell_average(per_draw, "b0", b.G0).select("i", "j", F.col("mean").alias("b0")), 6, "b0")
+    return rounded(gr.map_matrices(b.draws(spark, sf), ["x"], "radius double", work), 5, "radius")
 
 
 # ---- posterior summaries of graph metrics -------------------------------------------------------

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from voltweave.functions.fixed import MODEL
@@ -227,11 +228,16 @@ blocks AS (SELECT parents AS block FROM sets WHERE len(parents) > 0 UNION SELECT
 marginal AS (SELECT block, {OFFSET_SQL.format(m="len(block)")} - (al + n) / 2 * sum(ln(s)) AS lm FROM piv CROSS JOIN k GROUP BY block, n, al, c0)"""
 
 
-def _node_matrix(spark, sf):
-    """Cross products of the node series plus the prior scale, and the constants of the scores."""
+def _node_series(spark, sf):
+    """Balanced standardised series of the nodes: date, idx, z."""
     ev = b.table(spark, sf, "events")
     daily = ev.groupBy(F.to_date("ts").alias("date"), (F.col("user_id") % b.G0.rows).cast("int").alias("idx")).agg(F.sum("value").alias("value"))
-    z = panel.standardise(panel.on_calendar(daily, b.calendar(spark, sf)).fillna(0.0, ["value"]), ["idx"], strict=False)
+    return panel.standardise(panel.on_calendar(daily, b.calendar(spark, sf)).fillna(0.0, ["value"]), ["idx"], strict=False)
+
+
+def _node_matrix(spark, sf):
+    """Cross products of the node series plus the prior scale, and the constants of the scores."""
+    z = _node_series(spark, sf)
     rows = bayes.day_vectors(z.select("date", "idx", F.col("z").alias("value"))).withColumn("k", F.lit(0))
     cells = bayes.gram_cells(bayes.gram(rows, ["k"], "v"), b.G0.rows, [])
     score = bayes.BlockScore.contemporaneous(b.G0.rows, b.calendar(spark, sf).count())
@@ -311,3 +317,54 @@ def reduced_form(spark, sf):
     found = graphs.map_matrices(d.withColumn("now", now), ["now", "lagged"], "a array<double>", work)
     cells = found.select("chain", F.posexplode("a").alias("cell", "value")).groupBy("chain", "cell").agg(F.avg("value").alias("mean"))
     return rounded(b.G0.locate(cells).select("chain", "i", "j", "mean"), 6, "mean")
+
+
+# Residuals of every node series about its own first lag, and their covariance.
+RESIDUAL_SQL = f"""{q.DRAWS}, {NODE_SQL},
+np AS (SELECT date, idx, z, lag(z) OVER (PARTITION BY idx ORDER BY date) AS z1 FROM nz),
+ns AS (SELECT idx, sum(z * z1) / sum(z1 * z1) AS slope FROM np WHERE z1 IS NOT NULL GROUP BY idx),
+nu AS (SELECT date, idx, z - slope * z1 AS u FROM np JOIN ns USING (idx) WHERE z1 IS NOT NULL),
+sigma AS (SELECT a.idx AS a, b.idx AS b, sum(a.u * b.u) / max(al.n - 1) AS s FROM nu a JOIN nu b USING (date) CROSS JOIN al GROUP BY a.idx, b.idx),
+sets AS (SELECT chain, draw, i AS node, list_append(coalesce(list(j ORDER BY j) FILTER (WHERE g = 1 AND i <> j), []), i) AS block FROM g0 GROUP BY chain, draw, i),
+e AS (SELECT block, unnest(block) AS v, unnest(range(1, len(block) + 1)) AS p FROM (SELECT DISTINCT block FROM sets)),
+m0 AS (SELECT x.block, x.p, x.v, y.p AS q, s FROM e x JOIN e y USING (block) JOIN sigma g ON g.a = x.v AND g.b = y.v),""" + ",".join(f"""
+m{t} AS (SELECT m.block, m.p, m.v, m.q, CASE WHEN m.p = {t} THEN m.s / d.s ELSE m.s - c.s * r.s / d.s END AS s
+  FROM m{t - 1} m JOIN m{t - 1} d ON d.block = m.block AND d.p = {t} AND d.q = {t} JOIN m{t - 1} r ON r.block = m.block AND r.p = {t} AND r.q = m.q
+  JOIN m{t - 1} c ON c.block = m.block AND c.p = m.p AND c.q = {t} WHERE m.q > {t} AND len(m.block) > {t})""" for t in range(1, 8)) + """,
+solved AS (""" + " UNION ALL ".join(f"SELECT block, p, v, s FROM m{t} WHERE len(block) = {t + 1} AND q = {t + 1}" for t in range(8)) + """)"""
+
+
+def _structural(spark, sf):
+    """Different parent sets of the draws' graphs with their number of draws, coefficients and variance."""
+    z = _node_series(spark, sf)
+    pairs = z.withColumn("x", F.lag("z").over(Window.partitionBy("idx").orderBy("date"))).where("x IS NOT NULL")
+    slopes = pairs.groupBy("idx").agg((F.sum(F.col("z") * F.col("x")) / F.sum(F.col("x") ** 2)).alias("slope"))
+    u = pairs.join(slopes, "idx").select("date", "idx", (F.col("z") - F.col("slope") * F.col("x")).alias("value"))
+    cells = bayes.gram_cells(bayes.gram(bayes.day_vectors(u).withColumn("k", F.lit(0)), ["k"], "v"), b.G0.rows, [])
+    sigma = scores.matrix_of(cells, b.G0.rows) / (b.calendar(spark, sf).count() - 1)
+    sets = scores.parent_sets(b.draws(spark, sf), "g", b.G0.rows).groupBy("node", "parents").agg(F.count("*").alias("n"))
+    return scores.structural(sets, sigma)
+
+
+@query("g18_structural_coefficients", f"""WITH {RESIDUAL_SQL}, summed AS (SELECT node AS i, v AS j, sum(s) AS total FROM sets JOIN solved USING (block)
+WHERE p < len(block) GROUP BY ALL)
+SELECT i::INT AS i, j::INT AS j, round(coalesce(total, 0) / (SELECT count(*) FROM embeddings), 6) AS b0
+FROM (SELECT DISTINCT i, j FROM g0) LEFT JOIN summed USING (i, j)""")
+def structural_coefficients(spark, sf):
+    """Mean structural coefficient per cell over all draws; a cell without its edge counts as 0."""
+    found = _structural(spark, sf)
+    edges = found.select("node", "n", F.inline(F.arrays_zip(F.col("parents").alias("j"), F.col("coefs").alias("b"))))
+    sums = edges.groupBy(F.col("node").alias("i"), "j").agg(F.sum(F.col("n") * F.col("b")).alias("total"))
+    total = b.draws(spark, sf).count()
+    cells = b.G0.locate(spark.range(b.G0.slice_size).select(F.col("id").alias("cell"))).select("i", "j")
+    return rounded(cells.join(sums, ["i", "j"], "left").select("i", "j", (F.coalesce("total", F.lit(0.0)) / total).alias("b0")), 6, "b0")
+
+
+@query("g18_structural_variances", f"""WITH {RESIDUAL_SQL} SELECT node::INT AS i, round(avg(s), 6) AS eps, round(min(s), 6) AS low, round(max(s), 6) AS high
+FROM sets JOIN solved USING (block) WHERE p = len(block) GROUP BY node""")
+def structural_variances(spark, sf):
+    """Variance that the parents of each node leave, over all draws."""
+    found = _structural(spark, sf)
+    return rounded(found.groupBy(F.col("node").alias("i")).agg(
+        (F.sum(F.col("n") * F.col("variance")) / F.sum("n")).alias("eps"), F.min("variance").alias("low"), F.max("variance").alias("high")),
+        6, "eps", "low", "high")

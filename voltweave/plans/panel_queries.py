@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from voltweave.functions.columns import country_of, day, kind_of, volatility
+from voltweave.functions.fixed import DROPPED_VARIABLES
 from voltweave.operators import impute, ingest, network, panel
 from voltweave.plans import assemble, reports
 from voltweave.plans import bindings as b
@@ -78,23 +79,60 @@ def gap_cte(source: str, name: str) -> str:
              THEN count(*) OVER (PARTITION BY series, run) ELSE 0 END AS gap FROM {name}_run)"""
 
 
-SEASONAL = GAPS + "," + gap_cte("ff", "g") + """,
-med AS (SELECT series, isodow(date) AS dow, median(value) AS season FROM g GROUP BY ALL),
-res AS (SELECT g.*, season, value - season AS r,
+def seasonal_cte(source: str, name: str) -> str:
+    return gap_cte(source, f"{name}_g") + f""",
+{name}_med AS (SELECT series, isodow(date) AS dow, median(value) AS season FROM {name}_g GROUP BY ALL),
+{name}_res AS (SELECT g.*, season, value - season AS r,
                row_number() OVER (PARTITION BY g.series ORDER BY date) AS rn
-        FROM g LEFT JOIN med ON g.series = med.series AND isodow(g.date) = med.dow),
-spots AS (SELECT *,
+        FROM {name}_g g LEFT JOIN {name}_med med ON g.series = med.series AND isodow(g.date) = med.dow),
+{name}_spots AS (SELECT *,
   last_value(CASE WHEN r IS NOT NULL THEN date END IGNORE NULLS) OVER p AS d0,
   last_value(r IGNORE NULLS) OVER p AS r0,
   last_value(CASE WHEN r IS NOT NULL THEN rn END IGNORE NULLS) OVER p AS n0,
   first_value(CASE WHEN r IS NOT NULL THEN date END IGNORE NULLS) OVER f AS d1,
   first_value(r IGNORE NULLS) OVER f AS r1
-  FROM res WINDOW p AS (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
+  FROM {name}_res WINDOW p AS (PARTITION BY series ORDER BY date ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW),
                   f AS (PARTITION BY series ORDER BY date ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
-filled AS (SELECT series, date, CASE WHEN gap BETWEEN 1 AND 16 THEN
+{name} AS (SELECT series, date, CASE WHEN gap BETWEEN 1 AND 16 THEN
     CASE WHEN rn - n0 <= 16 THEN season + CASE WHEN d1 IS NULL THEN r0
          WHEN d1 = d0 THEN r0 ELSE r0 + (r1 - r0) * (date - d0) / (d1 - d0) END END
-    ELSE value END AS value FROM spots)"""
+    ELSE value END AS value FROM {name}_spots)"""
+
+
+SEASONAL = GAPS + "," + seasonal_cte("ff", "filled")
+
+
+def spline_cte(source: str, name: str) -> str:
+    """Not-a-knot spline through the known days for gaps of up to 7; the tridiagonal sweep runs as two recursions."""
+    return gap_cte(source, f"{name}_g") + f""",
+{name}_k AS (SELECT series, date, date - DATE '1970-01-01' AS x, value AS y,
+  row_number() OVER w - 1 AS k, count(*) OVER (PARTITION BY series) AS n FROM {source} WHERE value IS NOT NULL WINDOW w AS (PARTITION BY series ORDER BY date)),
+{name}_h AS (SELECT *, lead(x) OVER w - x AS h, (lead(y) OVER w - y) / (lead(x) OVER w - x) AS slope
+  FROM {name}_k WHERE n >= 4 WINDOW w AS (PARTITION BY series ORDER BY k)),
+{name}_w AS (SELECT *, lag(h) OVER w AS h0, lag(slope) OVER w AS slope0, lead(h) OVER w AS h2, lag(h, 2) OVER w AS hb
+  FROM {name}_h WINDOW w AS (PARTITION BY series ORDER BY k)),
+{name}_c AS (SELECT series, k, n,
+  h0 - CASE WHEN k = n - 2 THEN h * h / h0 ELSE 0 END AS low,
+  2.0 * (h0 + h) + CASE WHEN k = 1 THEN h0 * (1 + h0 / h) ELSE 0 END + CASE WHEN k = n - 2 THEN h * (1 + h / h0) ELSE 0 END AS diag,
+  h - CASE WHEN k = 1 THEN h0 * h0 / h ELSE 0 END AS up, 6.0 * (slope - slope0) AS rhs
+  FROM {name}_w WHERE k BETWEEN 1 AND n - 2),
+{name}_f AS (SELECT series, k, n, up, diag::DOUBLE AS dg, rhs::DOUBLE AS rh FROM {name}_c WHERE k = 1
+  UNION ALL SELECT c.series, c.k, c.n, c.up, c.diag - c.low / f.dg * f.up, c.rhs - c.low / f.dg * f.rh
+  FROM {name}_f f JOIN {name}_c c ON c.series = f.series AND c.k = f.k + 1),
+{name}_b AS (SELECT series, k, n, rh / dg AS m FROM {name}_f WHERE k = n - 2
+  UNION ALL SELECT f.series, f.k, f.n, (f.rh - f.up * b.m) / f.dg FROM {name}_b b JOIN {name}_f f ON f.series = b.series AND f.k = b.k - 1),
+{name}_e AS (SELECT a.series, a.k, a.m, a.n, w.h0 / w.h AS r, w.h / w.h0 AS s FROM {name}_b a JOIN {name}_w w USING (series, k)),
+{name}_m AS (SELECT series, k, m FROM {name}_e
+  UNION ALL SELECT a.series, 0, (1 + a.r) * a.m - a.r * b.m FROM {name}_e a JOIN {name}_e b ON b.series = a.series AND b.k = 2 WHERE a.k = 1
+  UNION ALL SELECT a.series, a.n - 1, (1 + a.s) * a.m - a.s * b.m FROM {name}_e a JOIN {name}_e b ON b.series = a.series AND b.k = a.n - 3 WHERE a.k = a.n - 2),
+{name}_at AS (SELECT g.series, g.date, g.value, g.gap, g.date - DATE '1970-01-01' AS at,
+  last_value(k.k IGNORE NULLS) OVER (PARTITION BY g.series ORDER BY g.date) AS k FROM {name}_g g LEFT JOIN {name}_k k ON k.series = g.series AND k.date = g.date),
+{name} AS (SELECT p.series, p.date, CASE WHEN p.gap BETWEEN 1 AND 7 THEN
+  (a.m * (r.x - p.at) ** 3 + b.m * (p.at - l.x) ** 3) / (6.0 * l.h) + (l.y / l.h - a.m * l.h / 6.0) * (r.x - p.at) + (r.y / l.h - b.m * l.h / 6.0) * (p.at - l.x)
+  ELSE p.value END AS value
+  FROM {name}_at p LEFT JOIN {name}_h l ON l.series = p.series AND l.k = p.k LEFT JOIN {name}_h r ON r.series = p.series AND r.k = p.k + 1
+  LEFT JOIN {name}_m a ON a.series = p.series AND a.k = p.k LEFT JOIN {name}_m b ON b.series = p.series AND b.k = p.k + 1)"""
+
 
 PANEL = """
 panel AS (SELECT ts::DATE AS date, 'A' || (user_id % 10) AS series, sum(value) AS value FROM events GROUP BY ALL)"""
@@ -589,7 +627,7 @@ def gap_lengths(spark, sf):
     return impute.gap_lengths(_grid(spark, sf), ["series"]).select("series", "date", "gap")
 
 
-@query("w3_spline_fill")
+@query("w3_spline_fill", f"WITH RECURSIVE {GAPS}, {spline_cte('ff', 'sp')} SELECT series, date, round(value, 6) AS value FROM sp")
 def spline_fill(spark, sf):
     return rounded(impute.spline_fill(impute.forward_fill(_grid(spark, sf), ["series"]), ["series"]), 6, "value")
 
@@ -599,7 +637,8 @@ def seasonal_fill(spark, sf):
     return rounded(impute.seasonal_fill(impute.forward_fill(_grid(spark, sf), ["series"]), ["series"]), 6, "value")
 
 
-@query("w3_full_imputation")
+@query("w3_full_imputation", f"""WITH RECURSIVE {GAPS}, {spline_cte('ff', 'sp')}, {seasonal_cte('sp', 'filled')}
+SELECT series, date, round(value, 6) AS value FROM filled""")
 def full_imputation(spark, sf):
     return rounded(impute.impute(_grid(spark, sf), ["series"]), 6, "value")
 
@@ -746,7 +785,27 @@ def _assembled(spark, sf):
         named(_reserve(spark, sf), "RM"), b.regions(spark, sf))
 
 
-@query("k3_assembled_panel")
+# The feeds on their common calendar, repaired and standardised; series are named as wide columns are.
+ASSEMBLED = RESERVE + f""",
+made AS (SELECT l_shipdate::DATE AS date, country, CASE l_returnflag WHEN 'A' THEN 'Wind' WHEN 'N' THEN 'Solar' ELSE 'Hydro' END AS variable,
+           sum(l_quantity) AS value FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN zone ON s_nationkey = n_nationkey GROUP BY ALL),
+feeds AS (SELECT date, country, 'Price' AS variable, value FROM price UNION ALL SELECT date, country, 'Load', value FROM lf
+          UNION ALL SELECT date, country, variable, value FROM made UNION ALL SELECT date, country, 'RM', value FROM rm),
+common AS (SELECT date FROM price INTERSECT SELECT date FROM lf INTERSECT SELECT date FROM made INTERSECT SELECT date FROM rm),
+listed AS (SELECT DISTINCT country, variable FROM feeds WHERE country IN (SELECT r_name FROM region)
+           AND country IN (SELECT country FROM price) AND country IN (SELECT country FROM lf)),
+grid AS (SELECT country || '_' || variable AS series, date, CASE WHEN variable IN ('Price', 'RM') THEN value ELSE coalesce(value, 0) END AS value
+         FROM listed CROSS JOIN common LEFT JOIN feeds USING (country, variable, date)),
+ff AS (SELECT series, date, last_value(value IGNORE NULLS) OVER (
+         PARTITION BY series ORDER BY date ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS value FROM grid),
+{spline_cte('ff', 'sp')}, {seasonal_cte('sp', 'filled')},
+scaled AS (SELECT date, split_part(series, '_', 1) AS country, split_part(series, '_', 2) AS variable, value,
+             avg(value) OVER w AS mean, CASE WHEN stddev_samp(value) OVER w < 1e-10 THEN 1 ELSE stddev_samp(value) OVER w END AS std
+           FROM filled WHERE series NOT IN ({", ".join(f"'{v}'" for v in DROPPED_VARIABLES)}) WINDOW w AS (PARTITION BY series))"""
+
+
+@query("k3_assembled_panel", f"""WITH RECURSIVE {ASSEMBLED} SELECT date, country, variable, round(value, 6) AS value,
+round((value - mean) / std, 6) AS z FROM scaled""")
 def assembled_panel(spark, sf):
     """The whole way from the daily feeds to the standardised panel."""
     done = _assembled(spark, sf)
@@ -754,7 +813,8 @@ def assembled_panel(spark, sf):
     return rounded(both.select("date", "country", "variable", "value", "z"), 6, "value", "z")
 
 
-@query("k3_scaling_vectors")
+@query("k3_scaling_vectors", f"""WITH RECURSIVE {ASSEMBLED} SELECT country, variable, round(max(mean), 4) AS mean, round(max(std), 4) AS std
+FROM scaled WHERE variable IN ('Price', 'Load') GROUP BY ALL""")
 def scaling_vectors(spark, sf):
     done = _assembled(spark, sf)
     return rounded(assemble.scaling(done.endogenous), 4, "mean", "std")
