@@ -73,3 +73,32 @@ def test_clean_conversations_stay_as_they_are(spark):
     assert [r.edit for r in got] == ["keep"] * 3
     assert "".join(r.rendered for r in got) == (
         "<|im_start|>system\n5.0<|im_end|>\n<|im_start|>user\n5.1<|im_end|>\n<|im_start|>assistant\n5.2<|im_end|>\n")
+
+
+def roles_of(codes, block):
+    """The operator's parts, put together without Spark."""
+    parts = [codes[k: k + block] for k in range(0, len(codes), block)]
+    before = chat.prefixes([chat.matrix(p) for p in parts])
+    lasts = chat.cuts([chat.traced(p, b) for p, b in zip(parts, before)], before[-1])
+    return [r for p, b, last in zip(parts, before, lasts) for r in chat.resolve(p, b, last)[1:]]
+
+
+def test_ties_do_not_depend_on_the_blocks():
+    """All sequences of 4 and 6 turns: the cheapest repair whose roles, read from the end, come first."""
+    for n in (4, 6):
+        for codes in itertools.product((-1, 0, 1, 2), repeat=n):
+            whole = roles_of(list(codes), 10)
+            assert all(roles_of(list(codes), block) == whole for block in (1, 2, 3)), codes
+            if n == 4:
+                ways = [w for w in itertools.product(range(3), repeat=n) if cost_of(codes, w) == best(codes)]
+                assert tuple(whole) == min(ways, key=lambda w: w[::-1]), codes
+
+
+def test_ties_in_blocks_of_rows(spark, monkeypatch):
+    r = random.Random(9)
+    conversations = {c: [r.choice(["system", "user", "assistant", "x"]) for _ in range(r.randint(1, 11))] for c in range(80)}
+    whole = {c: [x.new_role for x in v] for c, v in by_conversation(chat.repair(turns(spark, conversations)).collect()).items()}
+    for block in (1, 3):
+        monkeypatch.setattr(chat, "BLOCK", block)
+        got = by_conversation(chat.repair(turns(spark, conversations)).collect())
+        assert {c: [x.new_role for x in v] for c, v in got.items()} == whole

@@ -7,8 +7,10 @@ sequence is rendered piece by piece, one for each row, so that the pieces of a c
 ``position`` are its text and no conversation, however long, has to come together.
 
 Long conversations are cut into blocks. A block is summed up by its (min, +) matrix from the role before
-it to its last role; the matrices of a conversation decide the roles at the cuts, and each block is
-resolved between them.
+it to its last role; the matrices of a conversation give every block the true costs before it. With these a block
+tells which role stands before it for each role at its end, and these maps, put together from the end, fix
+the roles at the cuts. So the repair is that of one block, ties included: of all cheapest ones that with
+the first role (in order of ROLES) at the last row, then at the row before, and so on.
 """
 
 from __future__ import annotations
@@ -88,29 +90,46 @@ def matrix(codes: list[int]) -> list[list[int]]:
     return out
 
 
-def cuts(matrices: list[list[list[int]]]) -> list[int]:
-    """The last role of every block on the cheapest way; on ties that which comes first in ROLES."""
-    cost, back = matrices[0][_START], []
-    for m in matrices[1:]:
-        ways = [[cost[p] + m[p][r] for p in range(len(ROLES))] for r in range(len(ROLES))]
+def prefixes(matrices: list[list[list[int]]]) -> list[list[int]]:
+    """For each block and behind the last one the cheapest cost of each role (START last) that may stand there."""
+    out = [[_FAR] * len(ROLES) + [0]]
+    for m in matrices:
+        cost = out[-1]
+        out.append([min(cost[p] + m[p][r] for p in range(len(ROLES) + 1)) for r in range(len(ROLES))] + [_FAR])
+    return out
+
+
+def _back(codes: list[int], before: list[int]) -> list[list[int]]:
+    """For each row and role the role before it on the cheapest way, the first one on ties."""
+    cost, back = before, []
+    for code in codes:
+        ways = [[c + STEP[p][r] for p, c in enumerate(cost)] for r in range(len(ROLES))]
         back.append([w.index(min(w)) for w in ways])
-        cost = [min(w) for w in ways]
-    total = [c + e for c, e in zip(cost, END)]
+        cost = [min(w) + LABEL[code][r] for r, w in enumerate(ways)]
+    return back
+
+
+def traced(codes: list[int], before: list[int]) -> list[int]:
+    """For each last role of a block the role before the block; ``before`` are the costs there."""
+    at = list(range(len(ROLES)))
+    for b in reversed(_back(codes, before)):
+        at = [b[r] for r in at]
+    return at
+
+
+def cuts(maps: list[list[int]], behind: list[int]) -> list[int]:
+    """The last role of every block, from the blocks' maps and the costs behind the last one."""
+    total = [c + e for c, e in zip(behind, END)]
     out = [total.index(min(total))]
-    for b in reversed(back):
-        out.append(b[out[-1]])
+    for m in reversed(maps[1:]):
+        out.append(m[out[-1]])
     return out[::-1]
 
 
-def resolve(codes: list[int], before: int, last: int) -> list[int]:
-    """Roles of the rows of a block between the role before it and its last role."""
-    cost, back = [STEP[before][r] + LABEL[codes[0]][r] for r in range(len(ROLES))], []
-    for code in codes[1:]:
-        ways = [[cost[p] + STEP[p][r] for p in range(len(ROLES))] for r in range(len(ROLES))]
-        back.append([w.index(min(w)) for w in ways])
-        cost = [min(w) + LABEL[code][r] for r, w in enumerate(ways)]
+def resolve(codes: list[int], before: list[int], last: int) -> list[int]:
+    """Roles of the rows of a block with the costs before it and its last role; before them the role it stands behind."""
     out = [last]
-    for b in reversed(back):
+    for b in reversed(_back(codes, before)):
         out.append(b[out[-1]])
     return out[::-1]
 
@@ -175,30 +194,54 @@ def repair(turns: DataFrame) -> DataFrame:
     kind = turns.schema["conv_id"].dataType.simpleString()
     sums = blocks.mapInArrow(sum_up, f"conv_id {kind}, block long, m array<long>")
     ways = sums.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "m"))).alias("blocks"))
+    n = len(ROLES)
 
-    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(ROLES)
+    def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Costs before every block, and behind a conversation's last one."""
         for batch in batches:
-            conv, number, before, last, end = [], [], [], [], []
+            conv, places, costs, behind = [], [], [], []
             for c, found in zip(batch.column("conv_id").to_pylist(), batch.column("blocks").to_pylist()):
-                lasts = cuts([[b["m"][k: k + n] for k in range(0, n * n + n, n)] for b in found])
-                conv += [c] * len(lasts)
-                number += [b["block"] for b in found]
-                before += [_START, *lasts[:-1]]
-                last += lasts
-                end += [False] * (len(lasts) - 1) + [True]
+                known = prefixes([[b["m"][k: k + n] for k in range(0, n * n + n, n)] for b in found])
+                conv += [c] * len(found)
+                places += [b["block"] for b in found]
+                costs += known[:-1]
+                behind += [None] * (len(found) - 1) + [known[-1]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(conv, batch.schema.field("conv_id").type), pa.array(number, pa.int64()),
-                 pa.array(before, pa.int32()), pa.array(last, pa.int32()), pa.array(end)], ["_conv", "_block", "before", "last", "end"])
+                [pa.array(conv, batch.schema.field("conv_id").type), pa.array(places, pa.int64()),
+                 pa.array(costs, pa.list_(pa.int64())), pa.array(behind, pa.list_(pa.int64()))], ["_conv", "_block", "before", "behind"])
 
-    decided = ways.mapInArrow(decide, f"_conv {kind}, _block long, before int, last int, end boolean")
+    weighed = ways.mapInArrow(weigh, f"_conv {kind}, _block long, before array<long>, behind array<long>")
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("block") == F.col("_block"))
+    # Written: its costs are read twice.
+    blocks = cut(blocks.join(weighed, same).select("conv_id", "block", "codes", "before", "behind"))
+
+    def trace(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            maps = [traced(c, b) for c, b in zip(batch.column("codes").to_pylist(), batch.column("before").to_pylist())]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("conv_id"), batch.column("block"), batch.column("behind"), pa.array(maps, pa.list_(pa.int64()))],
+                ["conv_id", "block", "behind", "map"])
+
+    maps = blocks.mapInArrow(trace, f"conv_id {kind}, block long, behind array<long>, map array<long>")
+    maps = maps.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("block", "map", "behind"))).alias("blocks"))
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            conv, places, last = [], [], []
+            for c, found in zip(batch.column("conv_id").to_pylist(), batch.column("blocks").to_pylist()):
+                conv += [c] * len(found)
+                places += [b["block"] for b in found]
+                last += cuts([b["map"] for b in found], found[-1]["behind"])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(conv, batch.schema.field("conv_id").type), pa.array(places, pa.int64()), pa.array(last, pa.int32())], ["_conv", "_block", "last"])
+
+    decided = maps.mapInArrow(decide, f"_conv {kind}, _block long, last int")
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             conv, place, role, head, tail, edit = [], [], [], [], [], []
             for r in batch.to_pylist():
-                roles, before = resolve(r["codes"], r["before"], r["last"]), r["before"]
+                before, *roles = resolve(r["codes"], r["before"], r["last"])
                 for k, (code, new) in enumerate(zip(r["codes"], roles)):
                     conv.append(r["conv_id"])
                     place.append(r["block"] * BLOCK + k)
@@ -208,13 +251,13 @@ def repair(turns: DataFrame) -> DataFrame:
                     inserts = before != new and PATHS[(before, new)]
                     edit.append(("merge" if before == new else "keep" if code == new else "relabel") + ("+insert" if inserts else ""))
                     before = new
-                if r["end"]:
+                if r["behind"] is not None:
                     tail[-1] = AFTER[before]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(conv, batch.schema.field("conv_id").type), pa.array(place, pa.int64()),
                  *[pa.array(x, pa.string()) for x in (role, head, tail, edit)]], ["_conv", "_place", "new_role", "_head", "_tail", "edit"])
 
-    settled = blocks.join(decided, same).select("conv_id", "block", "codes", "before", "last", "end").mapInArrow(
+    settled = blocks.join(decided, same).select("conv_id", "block", "codes", "before", "behind", "last").mapInArrow(
         settle, f"_conv {kind}, _place long, new_role string, _head string, _tail string, edit string")
     here = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("position") == F.col("_place"))
     return rows.join(settled, here).select(
