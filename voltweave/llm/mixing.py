@@ -6,8 +6,8 @@ deadline. With weights that sum to one every deadline is met, so after any numbe
 has had w * t blocks, give or take less than one.
 
 Weights are taken as they are, as exact fractions, and the schedule never repeats, so the bound holds for
-any number of slots. The slots of a source that has run out stay empty; the others go on in their
-proportions, and every document appears once.
+any number of slots. A source that has run out leaves its slots free; the others go on at their own release times, which
+a slot without a released block jumps to, so the plan takes a step for each block, whatever the weights. Every document appears once.
 """
 
 from __future__ import annotations
@@ -55,24 +55,26 @@ def shares(weights: dict[str, float], grain: int) -> dict[str, int]:
 def schedule(weights: dict[str, float], blocks: dict[str, int]) -> Iterator[tuple[str, int, int, int, int]]:
     """Source, block, slot, release and deadline of the first ``blocks`` of every source, by slot.
 
-    The time is that of all slots up to the last block; memory is that of the sources.
+    The time is that of the blocks, not of the slots between them; memory is that of the sources.
     """
     exact = {s: Fraction(w) for s, w in weights.items()}
     unit = math.lcm(*[w.denominator for w in exact.values()])
     part = {s: int(w * unit) for s, w in exact.items()}
     total, left, slot = sum(part.values()), sum(blocks.values()), 0
-    waiting = [(0, s, 0) for s in part]
+    waiting = [(0, s, 0) for s in part if blocks[s]]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int, int]] = []
     while left:
+        if not ready and waiting[0][0] > slot:
+            slot = waiting[0][0]
         while waiting and waiting[0][0] <= slot:
             release, s, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * total // part[s]), s, i, release))
         deadline, s, i, release = heapq.heappop(ready)
-        if i < blocks[s]:
-            yield s, i, slot, release, deadline
-            left -= 1
-        heapq.heappush(waiting, ((i + 1) * total // part[s], s, i + 1))
+        yield s, i, slot, release, deadline
+        left -= 1
+        if i + 1 < blocks[s]:
+            heapq.heappush(waiting, ((i + 1) * total // part[s], s, i + 1))
         slot += 1
 
 
