@@ -59,7 +59,8 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-_LOCAL = re.compile(r"[A-Za-z0-9._%+-]+\Z")
+#: ``IP`` without looking at any run of digits more than four times: a match starts where one starts.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 
@@ -81,25 +82,67 @@ def emails(text: str) -> list[tuple[int, int]]:
 
 #: Fixed patterns of what has neither digit nor at sign: written-out addresses, credentials given by name;
 #: and web tokens.
-_AT = re.compile(r"(?i)\s*[(\[{]\s*at\s*[)\]}]\s*")
+_AT = re.compile(r"(?i)[(\[{]\s*at\s*[)\]}]\s*")
 _DOT_PARTS = re.compile(r"(?i)[a-z0-9-]+(?:(?:\s*[(\[{]\s*dot\s*[)\]}]\s*|\.)[a-z0-9-]+)+")
-_LOCAL_PARTS = re.compile(r"(?i)[a-z0-9._%+-]+(?:\s*[(\[{]\s*dot\s*[)\]}]\s*[a-z0-9._%+-]+)*\Z")
 _NAMED = re.compile(r"(?i)\b(?:(?:pass(?:word|wd|phrase)|pwd|api[_-]?key)\s*[=:]|(?:token|secret)\s*=)\s*[\"']?([^\s\"'\[\]<>]{4,})")
-_BEARER = re.compile(r"\bBearer\s+([A-Za-z0-9._~+/=-]{16,})|\b(eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*)")
-#: Characters before a written-out at in which its local part is looked for (an address has 64 there).
-LOCAL_REACH = 160
+_BEARER = re.compile(r"\bBearer\s+([A-Za-z0-9._~+/=-]{16,})")
+#: A part of a web token and, seen ahead, the two behind it; parts are runs, so none is read more than three times.
+_WEB_PARTS = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)(?=\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+))")
+_WEB_HEAD = re.compile(r"\beyJ[A-Za-z0-9_-]")
+
+
+def local_start(text: str, stop: int) -> int:
+    """Start of the written-out local part that ends at ``stop``, ``stop`` if there is none: local characters,
+    and before them a written-out dot with more, as far as they go."""
+    start = stop
+    while True:
+        pos = start
+        while pos and text[pos - 1] in _LOCAL_CHARS:
+            pos -= 1
+        if pos == start:
+            return stop  # only at the first turn: behind a dot there is such a character
+        start = pos
+        while pos and text[pos - 1].isspace():
+            pos -= 1
+        before = _dot_before(text, pos)
+        if before is None or not before or text[before - 1] not in _LOCAL_CHARS:
+            return start
+        start = before
+
+
+def _dot_before(text: str, pos: int) -> int | None:
+    """Where a written-out dot that ends at ``pos`` begins, with the blanks before it; None if there is none."""
+    def blanks(p: int) -> int:
+        while p and text[p - 1].isspace():
+            p -= 1
+        return p
+
+    if not pos or text[pos - 1] not in ")]}":
+        return None
+    pos = blanks(pos - 1)
+    if text[max(0, pos - 3): pos].lower() != "dot":
+        return None
+    pos = blanks(pos - 3)
+    return blanks(pos - 1) if pos and text[pos - 1] in "([{" else None
 
 
 def spelled(text: str) -> list[tuple[int, int, str]]:
     """Written-out addresses ("john (at) example (dot) com") and values of named credentials, apart and in order."""
     out = []
     for m in _AT.finditer(text):
-        floor = max(0, m.start() - LOCAL_REACH)
-        local, domain = _LOCAL_PARTS.search(text[floor: m.start()]), _DOT_PARTS.match(text, m.end())
-        if local and domain:
-            out.append((floor + local.start(), domain.end(), "email"))
-    for m in [*_NAMED.finditer(text), *_BEARER.finditer(text)]:
-        s, e = m.span(m.lastindex)
+        stop = m.start()
+        while stop and text[stop - 1].isspace():
+            stop -= 1
+        start, domain = local_start(text, stop), _DOT_PARTS.match(text, m.end())
+        if start < stop and domain:
+            out.append((start, domain.end(), "email"))
+    found = [m.span(1) for r in (_NAMED, _BEARER) for m in r.finditer(text)]
+    if "eyJ" in text:
+        for m in _WEB_PARTS.finditer(text):
+            head = _WEB_HEAD.search(text, *m.span(1))
+            if head:
+                found.append((head.start(), m.end(3)))
+    for s, e in found:
         while e > s and text[e - 1] in TRIM:
             e -= 1
         if e - s >= 4:
@@ -114,7 +157,7 @@ def spelled(text: str) -> list[tuple[int, int, str]]:
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """Start, end, kind of every base match, by start and then kind."""
     found = [(s, e, "email") for s, e in emails(text)] if "@" in text else []
-    for m in IP.finditer(text):
+    for m in _IP.finditer(text):
         if all(len(p.lstrip("0")) < 4 and int(p[-4:]) <= 255 for p in m.group().split(".")):
             found.append((*m.span(), "ip"))
     for m in CARD.finditer(text):
@@ -426,7 +469,8 @@ def listed(found: list[tuple[int, int, str]]) -> str:
 
 
 def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id") -> DataFrame:
-    """``n_email, n_ip, n_card, n_phone`` (base matches), ``base`` and ``spans`` as kind:start:end lists.
+    """``n_email, n_ip, n_card, n_phone`` (base matches), ``base`` and ``spans`` as kind:start:end lists, and
+    ``n_added``, the number of spans beside the base.
 
     Places are code points, ends exclusive. NULL and empty texts have no spans; repeated rows stay;
     columns other than the key and text are left out; an empty table gives an empty result.
@@ -440,11 +484,12 @@ def find(docs: DataFrame, weights: np.ndarray, key: str = "doc_id") -> DataFrame
                 counts = [pa.array([sum(s[2] == k for s in b) for b, _ in both], pa.int64()) for k in BASE_KINDS]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(key), *counts, pa.array([listed(b) for b, _ in both], pa.string()),
-                     pa.array([listed(a) for _, a in both], pa.string())], [key, *[f"n_{k}" for k in BASE_KINDS], "base", "spans"])
+                     pa.array([listed(a) for _, a in both], pa.string()), pa.array([len(a) - len(b) for b, a in both], pa.int64())],
+                    [key, *[f"n_{k}" for k in BASE_KINDS], "base", "spans", "n_added"])
 
     counted = ", ".join(f"n_{k} long" for k in BASE_KINDS)
     kind = docs.schema[key].dataType.simpleString()
-    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {counted}, base string, spans string")
+    return docs.select(key, "text").mapInArrow(run, f"`{key}` {kind}, {counted}, base string, spans string, n_added long")
 
 
 def masked(text: str, found: list[tuple[int, int, str]]) -> str:
