@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from voltweave.operators.quantiles import exact_quantiles
 from voltweave.runtime import cut
@@ -20,11 +21,36 @@ def normalise_codes(df: DataFrame, prefix: str = "DE_", merged: str = "DE") -> D
     return df.withColumns({c: merged_code(c, prefix, merged) for c in ("from_map", "to_map")})
 
 
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.BooleanType, T.DecimalType)
+
+
+def _packed(first: str, second: str | None) -> Column:
+    """Two numbers from 0 on as one that orders as both do; NULL comes first. Below 2^127, so of 38 digits."""
+    one = lambda c: F.coalesce(F.col(c).cast("decimal(19,0)") + 1, F.lit(0)).cast("decimal(20,0)")
+    if second is None:
+        return one(first).cast("decimal(38,0)")
+    return (one(first).cast("decimal(20,0)") * F.lit(str((1 << 63) + 1)).cast("decimal(19,0)")).cast("decimal(38,0)") + one(second)
+
+
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of every key in source order (an aggregate, combined before the shuffle)."""
+    """Keep the first row of every key in source order (an aggregate, combined before the shuffle).
+
+    With whole numbers from 0 on as order and all else of fixed width, the order is packed two columns at a time, last ones
+    first, and every step is a hash aggregate, without a sort. Other types are compared as a struct, which sorts. Rows that agree
+    in keys and order are taken for repeated ones.
+    """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    first = F.min(F.struct(*order, *rest)).alias("_first")
-    return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
+    kinds = {f.name: f.dataType for f in df.schema}
+    if not (all(isinstance(kinds[c], _WHOLE) for c in order) and all(isinstance(kinds[c], _FIXED) for c in rest)):
+        first = F.min(F.struct(*order, *rest)).alias("_first")
+        return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
+    pairs = [(order[k], order[k + 1] if k + 1 < len(order) else None) for k in range(0, len(order), 2)]
+    rows = df.withColumns({f"_o{k}": _packed(*pair) for k, pair in enumerate(pairs)})
+    for k in reversed(range(len(pairs))):
+        by = [*keys, *[f"_o{j}" for j in range(k)]]
+        rows = rows.groupBy(*by).agg(*[F.min_by(c, f"_o{k}").alias(c) for c in [*order, *rest]])
+    return rows.select(*keys, *order, *rest)
 
 
 def clean_capacity(df: DataFrame, order: list[str], prefix: str = "DE_", merged: str = "DE") -> DataFrame:

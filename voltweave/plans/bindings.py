@@ -90,28 +90,39 @@ def region_names() -> list[str]:
 CAPACITY_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 
 
-def transfers(spark: SparkSession, sf: str) -> DataFrame:
-    """Transfer records: from the supplier's nation to the customer's, capacity = quantity."""
+def transfer_codes(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfer records from the supplier's nation to the customer's by code, capacity = quantity; the resolution is a
+    character's number, so that all but the keys is of fixed width."""
     items = table(spark, sf, "lineitem").select(
-        *CAPACITY_ORDER, "l_quantity", "l_returnflag", "l_linestatus")
+        *CAPACITY_ORDER, "l_quantity", "l_returnflag", F.ascii("l_linestatus").alias("resolution_code"))
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
-    nations = table(spark, sf, "nation").select("n_nationkey", F.col("n_name").alias("zone"))
-    sellers = table(spark, sf, "supplier").join(nations, F.col("s_nationkey") == F.col("n_nationkey")).select(
-        "s_suppkey", F.col("s_nationkey").alias("from_code"), F.col("zone").alias("from_map"))
-    buyers = table(spark, sf, "customer").join(nations, F.col("c_nationkey") == F.col("n_nationkey")).select(
-        "c_custkey", F.col("c_nationkey").alias("to_code"), F.col("zone").alias("to_map"))
+    sellers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from_code"))
+    buyers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("to_code"))
     # Orders meet their buyers first, so the line items are shuffled by order key only.
     placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
     return (
         items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
-            F.col("o_orderdate").alias("datetime"), "from_code", "from_map", "to_code", "to_map",
-            F.col("l_quantity").alias("capacity_mw"), F.col("l_returnflag").alias("contract_type"),
-            F.col("l_linestatus").alias("resolution"), *CAPACITY_ORDER)
+            F.col("o_orderdate").alias("datetime"), "from_code", "to_code", F.col("l_quantity").alias("capacity_mw"),
+            F.col("l_returnflag").alias("contract_type"), "resolution_code", *CAPACITY_ORDER)
     )
 
 
+def with_names(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
+    """Rows of ``transfer_codes`` with the names behind their codes: from_map, to_map, resolution."""
+    nations = table(spark, sf, "nation")
+    for end in ("from", "to"):
+        rows = rows.join(nations.select(F.col("n_nationkey").alias(f"{end}_code"), F.col("n_name").alias(f"{end}_map")), f"{end}_code")
+    return rows.withColumn("resolution", F.char("resolution_code")).drop("resolution_code")
+
+
+def transfers(spark: SparkSession, sf: str) -> DataFrame:
+    """Transfer records with all their columns."""
+    return with_names(spark, sf, transfer_codes(spark, sf)).select(
+        "datetime", "from_code", "from_map", "to_code", "to_map", "capacity_mw", "contract_type", "resolution", *CAPACITY_ORDER)
+
+
 def spread_gaps(spark: SparkSession, sf: str) -> DataFrame:
     """Daily mean value of every user and event type; days without such an event are gaps."""
     series = F.concat_ws("-", F.col("user_id").cast("string"), "event_type")

@@ -401,7 +401,10 @@ def reserve_join(spark, sf):
 
 
 def _clean(spark, sf):
-    return network.clean_capacity(b.transfers(spark, sf), b.CAPACITY_ORDER, "NATION_2", "NATION_2")
+    """Records are deduplicated by their codes; names are joined to those that are left."""
+    rows = network.first_per_key(b.transfer_codes(spark, sf), network.DEDUPE_KEYS, b.CAPACITY_ORDER)
+    named = b.with_names(spark, sf, rows.where(F.col("capacity_mw") > 0))
+    return network.normalise_codes(named, "NATION_2", "NATION_2")
 
 
 def _inside(spark, sf):
