@@ -49,6 +49,26 @@ def test_exact_quantiles_without_keys(spark):
     assert exact_quantiles(df.where("v < 0"), [], "v", {"q": 0.9}).collect() == []
 
 
+@pytest.mark.parametrize("small", [1, 7, 200_000])
+def test_large_intervals_are_counted_again(spark, monkeypatch, small):
+    from voltweave.operators import quantiles
+
+    monkeypatch.setattr(quantiles, "SMALL", small)
+    monkeypatch.setattr(quantiles, "PARTS", 3)
+    rng = np.random.default_rng(8)
+    data = {
+        "narrow": 1000 + rng.random(400), "same": np.full(300, 1e-300), "signs": np.concatenate([-rng.random(90), np.zeros(50), rng.random(60)]),
+        "wide": np.exp(rng.uniform(-700, 700, 200)) * rng.choice([-1, 1], 200), "two": np.r_[np.full(99, 3.0), np.full(99, np.nextafter(3.0, 4.0))], None: -rng.random(80) * 1e-310,
+    }
+    rows = [(k, float(v)) for k, vs in data.items() for v in vs] + [("none", None), ("none", None)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(3)
+    got = {r.k: r for r in exact_quantiles(df, ["k"], "v", {"lo": 0.05, "med": 0.5, "hi": 0.95}, "mean", empty=True).collect()}
+    assert set(got) == {*data, "none"} and got["none"].asDict() == {"k": "none", "mean": None, "lo": None, "med": None, "hi": None}
+    for k, vs in data.items():
+        assert np.allclose([got[k].lo, got[k].med, got[k].hi], np.quantile(vs, [0.05, 0.5, 0.95]), rtol=1e-12, atol=0), k
+    assert exact_quantiles(df.limit(0), ["k"], "v", {"q": 0.5}, empty=True).collect() == []
+
+
 @pytest.mark.parametrize("block,lo,hi", [(4, 0, 4), (4, 3, 7), (16, 0, 9), (4, 9, 12), (64, 0, 40), (4, 0, 37), (5, 2, 31)])
 def test_lag_products_across_blocks(spark, block, lo, hi):
     rng = np.random.default_rng(5)

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from voltweave.operators.quantiles import exact_quantiles, matched_left
+from voltweave.operators.quantiles import exact_quantiles
 
 CREDIBLE = {"median": 0.5, "ci_low": 0.05, "ci_high": 0.95}
 
@@ -114,8 +114,7 @@ def cell_summary(draws: DataFrame, x: str, layout: Layout) -> DataFrame:
 
 def summarise(long: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, median, 5 % and 95 % quantile per group; NULL (undefined) values are skipped."""
-    found = exact_quantiles(long, keys, value, CREDIBLE, "mean")
-    return matched_left(long.select(*keys).distinct(), found, keys, ["mean", *CREDIBLE])
+    return exact_quantiles(long, keys, value, CREDIBLE, "mean", empty=True)
 
 
 def scalars_long(df: DataFrame, names: list[str]) -> DataFrame:
