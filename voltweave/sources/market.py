@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import reduce
+from urllib.parse import unquote, urlparse
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -99,14 +103,50 @@ def _scan(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     Source order: file (by name), place of the split in it, row within the task.
     """
     by_header: dict[str, list[str]] = {}
-    for path in paths:
-        first = spark.read.text(path).first()
-        if first is None:
-            raise ValueError(f"empty file: {path}")
-        by_header.setdefault(first[0].lstrip("\ufeff"), []).append(path)
+    for path, first in headers(spark, paths).items():
+        by_header.setdefault(first, []).append(path)
     return reduce(DataFrame.unionByName, [_read_files(spark, kind, h, p) for h, p in by_header.items()])
 
 
+def headers(spark: SparkSession, paths: list[str]) -> dict[str, str]:
+    """The first line of every file, by path in the given order; one job, in which each file is a task of its own that
+    stops behind the first lines it is handed. An empty file is an error."""
+    if not paths:
+        return {}
+    lines = spark.read.text(paths).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                if batch.column("start")[0].as_py() == 0:
+                    yield batch.slice(0, 1).select(["path", "value"])
+                return
+
+    # A split that costs as much to open as a partition holds isn't put together with others.
+    cost, most = "spark.sql.files.openCostInBytes", spark.conf.get("spark.sql.files.maxPartitionBytes")
+    before = spark.conf.get(cost)
+    spark.conf.set(cost, most)
+    try:
+        rows = lines.mapInArrow(first, "path string, value string").collect()  # a row for each file
+    finally:
+        spark.conf.set(cost, before)
+    found = {unquote(urlparse(r.path).path): r.value for r in rows}
+    places = {p: _place(spark, p) for p in paths}
+    empty = [p for p, place in places.items() if place not in found]
+    if empty:
+        raise ValueError(f"empty file: {empty[0]}")
+    return {p: found[place].lstrip("\ufeff") for p, place in places.items()}
+
+
+def _place(spark: SparkSession, path: str) -> str:
+    """The absolute path without its scheme."""
+    if not re.match("[a-z0-9]+:|/", path):
+        named = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        path = named.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(named).toString()
+    return re.sub("/+", "/", re.sub("^[a-z0-9]+:(//[^/]*)?", "", path))
+
+
 def _read_files(spark: SparkSession, kind: str, header: str, paths: list[str]) -> DataFrame:
     feed = FEEDS[kind]
     sep = "\t" if not feed.sniff or "\t" in header else ","
