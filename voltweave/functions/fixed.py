@@ -22,12 +22,6 @@ NETWORK_CODES = [
     "HU", "IE", "IT", "LT", "LU", "LV", "MD", "ME", "NL", "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK",
 ]
 
-# Countries considered for the panel, in panel order.
-PANEL_COUNTRIES = [
-    "AT", "BA", "BE", "BG", "CH", "CZ", "DE", "DK", "EE", "ES", "FI", "FR", "GR", "HR", "HU", "IE", "IT",
-    "LT", "LV", "MD", "ME", "NL", "NO", "PL", "PT", "RO", "RS", "SE", "SI", "SK",
-]
-
 # Price zones and their country.
 ZONE_TO_COUNTRY = {
     "AT": "AT",
@@ -92,10 +86,6 @@ MODEL = {
     "selected_lags": [1, 7],
     "exog_suffixes": ["wind", "solar"],
     "n_chains": 4,
-    "sweeps": 20000,
-    "burn_in": 15000,
-    "checkpoint_every": 2000,
-    "base_seed": 42,
     "pi_shrink": 0.001,
     "lag_decay": 2.0,
     "exog_weight": 0.5,
@@ -105,8 +95,4 @@ MODEL = {
     "ig_scale": 0.01,
     "v_h0": 10.0,
     "sigma_h2_start": 0.1,
-    "proposal_sd": 0.2,
-    "adapt_sweeps": 1000,
-    "target_accept": 0.44,
-    "adapt_step": 0.05,
 }

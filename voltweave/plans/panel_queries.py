@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from voltweave import jobs
 from voltweave.functions.columns import country_of, day, kind_of, volatility
-from voltweave.functions.fixed import DROPPED_VARIABLES
+from voltweave.functions.fixed import AREA_CODES, DROPPED_VARIABLES
 from voltweave.operators import impute, ingest, network, panel
 from voltweave.plans import assemble, reports
 from voltweave.plans import bindings as b
@@ -724,14 +725,34 @@ def area_filter(spark, sf):
     return rows.where(F.col("area").isin(b.AREAS)).select("ts", "area", "mw")
 
 
-@query("p5_canonical_columns", f"""WITH {TRANSFERS} SELECT datetime, from_code, from_map, to_code, to_map, capacity_mw,
-contract_type, resolution FROM raw""")
+@query("p5_canonical_columns", f"""WITH {TRANSFERS} SELECT datetime, from_code::VARCHAR AS from_code, from_map AS from_name, from_map,
+to_code::VARCHAR AS to_code, to_map AS to_name, to_map, capacity_mw, contract_type, resolution FROM raw""")
 def canonical_columns(spark, sf):
-    """Records given under the feed's header names, renamed to the canonical columns."""
+    """A feed that was written as a table, under header names in another order and among columns of its own, renamed."""
     headers = {canonical: header for header, (canonical, _) in FEEDS["transfer_capacity"].columns.items()}
-    rows = b.transfers(spark, sf).drop(*b.CAPACITY_ORDER)
-    foreign = rows.withColumnsRenamed({c: headers[c] for c in rows.columns})
-    return foreign.withColumnsRenamed({h: c for c, h in headers.items()})
+    rows = b.transfers(spark, sf).withColumn("from_name", F.col("from_map")).withColumn("to_name", F.col("to_map"))
+    foreign = rows.select(
+        F.lit("v1").alias("Version"), *[F.col(c).alias(headers[c]) for c in sorted(headers, reverse=True)], F.col("l_partkey").alias("capacity_mw"))
+    path = scratch_path(spark, "table")
+    foreign.write.parquet(path)
+    return market.canonical(spark.read.parquet(path), "transfer_capacity")
+
+
+_COMMAND_AREAS = AREA_CODES[:10]
+
+
+@query("s15_load_command", "SELECT ts::DATE AS date, " + ", ".join(
+    f'coalesce(round(avg(value) FILTER (WHERE user_id % 10 = {k}), 6), 0) AS "{code}_Load"' for k, code in enumerate(_COMMAND_AREAS)) + " FROM events GROUP BY ALL")
+def load_command(spark, sf):
+    """The load command as a user runs it: text files in, options, a panel file out, which is read back."""
+    code = F.get(F.array(*[F.lit(c) for c in _COMMAND_AREAS]), (F.col("user_id") % 10).cast("int"))
+    rows = b.table(spark, sf, "events").select("ts", code.alias("area"), F.col("value").alias("mw"))
+    # A code that the command leaves out.
+    other = b.table(spark, sf, "events").select("ts", F.lit("ZZ").alias("area"), F.col("value").alias("mw"))
+    folder, out = _fed(spark, rows.unionByName(other), "load", "\t"), scratch_path(spark, "command")
+    jobs.main(["load", f"{folder}/*.csv", "-o", out])
+    wide = tables.read_panel_csv(spark, out)
+    return rounded(wide, 6, *wide.columns[1:])
 
 
 @query("t1_sorted_panel", f"""WITH {EVENTS} SELECT date, country, variable, round(value, 4) AS value FROM gen""")

@@ -89,6 +89,16 @@ def read_feed(spark: SparkSession, kind: str, paths: list[str]) -> DataFrame:
     return _scan(spark, kind, paths).drop("source_file", "source_block", "source_row")
 
 
+def canonical(table: DataFrame, kind: str) -> DataFrame:
+    """A feed that came as a table, under its header names: canonical columns and types, in the feed's order. Other
+    columns go; an error names headers that are missing."""
+    feed = FEEDS[kind]
+    missing = [h for h in feed.columns if h not in table.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}")
+    return table.select(*[F.col(f"`{h}`").cast(type_).alias(name) for h, (name, type_) in feed.columns.items()])
+
+
 def read_capacity_dir(spark: SparkSession, folder: str) -> DataFrame:
     """All ``*.csv`` transfer-capacity files of a folder, with the source order kept as columns."""
     paths = list_paths(spark, f"{folder}/*.csv")
