@@ -12,11 +12,11 @@ def test_first_row_of_every_key(spark):
     for k in range(3000):
         order = [r.choice([None, 0, 1, 5, big]), r.choice([None, 0, 3, 2**31 - 1]), r.choice([0, 1, big]), r.choice([None, 0, 1, 2, big])]
         rows.append((f"k{r.randrange(200)}", r.randrange(3), *order, hash(tuple(order)) % 1000 / 7, None if order[3] == 2 else k % 2 == 0))
-    rows = [(*x[:7], None if x[5] == 2 else (x[2] or 0) % 2 == 0) for x in rows]  # what agrees in the order agrees in the rest
+    rows += [(*x[:6], r.choice([None, -1.0, 7.5]), r.choice([None, True, False])) for x in rows[::3]]  # ties in the order
     df = spark.createDataFrame(rows, "a string, b int, o0 long, o1 int, o2 long, o3 long, v double, w boolean").repartition(7)
     best = {}
     for x in rows:
-        rank = tuple(-1 if o is None else o for o in x[2:6])
+        rank = (*[-1 if o is None else o for o in x[2:6]], x[6] if x[6] is not None else float("-inf"), -1 if x[7] is None else x[7])
         if x[:2] not in best or rank < best[x[:2]][0]:
             best[x[:2]] = (rank, x)
     for order in (["o0", "o1", "o2", "o3"], ["o0", "o1", "o2"], ["o0"]):

@@ -34,11 +34,12 @@ def _packed(first: str, second: str | None) -> Column:
 
 
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of every key in source order (an aggregate, combined before the shuffle).
+    """Keep the first row of every key in source order, by aggregates.
+
+    Rows that agree in the order go by their other columns, NULL first.
 
     With whole numbers from 0 on as order and all else of fixed width, the order is packed two columns at a time, last ones
-    first, and every step is a hash aggregate, without a sort. Other types are compared as a struct, which sorts. Rows that agree
-    in keys and order are taken for repeated ones.
+    first, and every step is a hash aggregate, without a sort. Other types are compared as a struct, which sorts.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
     kinds = {f.name: f.dataType for f in df.schema}
@@ -46,13 +47,33 @@ def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
         first = F.min(F.struct(*order, *rest)).alias("_first")
         return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
     pairs = [(order[k], order[k + 1] if k + 1 < len(order) else None) for k in range(0, len(order), 2)]
-    rows = df.withColumns({f"_o{k}": _packed(*pair) for k, pair in enumerate(pairs)})
+    packs = [f"_o{k}" for k in range(len(pairs))]
+    rows = df.withColumns(dict(zip(packs, [_packed(*pair) for pair in pairs])))
+    if rest:
+        # Ties: dealt out once by keys and order, which all the groups below are parts of.
+        rows = rows.repartition(*keys, *packs)
+    for k in reversed(range(len(rest))):
+        least = [F.min_by(c, _lowest_null(rest[k], kinds[rest[k]])).alias(c) for c in [*order, *rest[k:]]]
+        rows = rows.groupBy(*keys, *packs, *rest[:k]).agg(*least)
     for k in reversed(range(len(pairs))):
-        by = [*keys, *[f"_o{j}" for j in range(k)]]
-        rows = rows.groupBy(*by).agg(*[F.min_by(c, f"_o{k}").alias(c) for c in [*order, *rest]])
+        rows = rows.groupBy(*keys, *packs[:k]).agg(*[F.min_by(c, packs[k]).alias(c) for c in [*order, *rest]])
     return rows.select(*keys, *order, *rest)
 
 
+def _lowest_null(name: str, kind: T.DataType) -> Column:
+    """What orders as the column does with NULL first, never NULL itself."""
+    c = F.col(name)
+    if isinstance(kind, T.DateType):
+        c = F.unix_date(c)
+    elif isinstance(kind, T.TimestampType):
+        c = F.unix_micros(c)
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        return F.coalesce(c.cast("double"), F.lit(float("-inf")))
+    elif isinstance(kind, T.DecimalType):
+        return F.coalesce(c, F.lit("-" + "9" * (kind.precision - kind.scale) + "." + "9" * kind.scale).cast(kind))
+    return F.coalesce(c.cast("decimal(20,0)"), F.lit("-" + "9" * 20).cast("decimal(20,0)"))
+
+
 def clean_capacity(df: DataFrame, order: list[str], prefix: str = "DE_", merged: str = "DE") -> DataFrame:
     """Merge split codes, keep the first of duplicated records, then drop non-positive capacities."""
     rows = first_per_key(normalise_codes(df, prefix, merged), DEDUPE_KEYS, order)
