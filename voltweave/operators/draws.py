@@ -6,7 +6,9 @@ per cell unfold the array and combine before the shuffle (cells are few, draws a
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -80,20 +82,33 @@ def unfold(draws: DataFrame, x: str, layout: Layout | None = None) -> DataFrame:
     return layout.locate(long) if layout else long
 
 
-def check_chains(draws: DataFrame, n_chains: int) -> int:
-    """Draws per chain; an error when a chain is absent or the chains differ in length."""
+def check_chains(draws: DataFrame, n_chains: int, uneven: bool = False) -> int:
+    """Draws per chain (of the longest); an error when a chain is absent or, unless ``uneven``, the chains differ in length."""
     counts = {r.chain: r.n for r in draws.groupBy("chain").agg(F.count("*").alias("n")).collect()}
     missing = [c for c in range(n_chains) if c not in counts]
     if missing:
         raise FileNotFoundError(f"chains without draws: {missing}")
-    if len(set(counts.values())) != 1:
+    if not uneven and len(set(counts.values())) != 1:
         raise ValueError(f"chains differ in length: {counts}")
-    return next(iter(counts.values()))
+    return max(counts.values())
 
 
-def pooled(draws: DataFrame, n_keep: int) -> DataFrame:
-    """Chain-major position of a draw in the pooled sample."""
-    return draws.withColumn("pos", F.col("chain") * F.lit(n_keep) + F.col("draw"))
+def chain_lengths(draws: DataFrame, n_chains: int) -> list[int]:
+    """Draws of every chain, 0 for an absent one."""
+    counts = {r.chain: r.n for r in draws.groupBy("chain").agg(F.count("*").alias("n")).collect()}
+    return [counts.get(c, 0) for c in range(n_chains)]
+
+
+def pooled(draws: DataFrame, n_keep: int | Sequence[int]) -> DataFrame:
+    """Chain-major position of a draw in the pooled sample.
+
+    ``n_keep`` is the number of draws of a chain, or one number for each chain where they differ: a chain
+    starts where the one before it ends, so no position is used twice or left out.
+    """
+    if isinstance(n_keep, int):
+        return draws.withColumn("pos", F.col("chain") * F.lit(n_keep) + F.col("draw"))
+    starts = F.array(*[F.lit(n).cast("long") for n in accumulate([0, *n_keep])])
+    return draws.withColumn("pos", F.get(starts, F.col("chain")) + F.col("draw"))
 
 
 def thinned(draws: DataFrame, step: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,15 +13,16 @@ from voltweave.operators.draws import Layout, cell_average, pooled
 
 
 def edge_table(
-    draws: DataFrame, g: str, layout: Layout, n_keep: int, n_chains: int,
+    draws: DataFrame, g: str, layout: Layout, n_keep: int | Sequence[int], n_chains: int,
     admissible: str = "true", alpha: float = 0.10, max_lag: int = 100,
 ) -> DataFrame:
     """One row per cell with edge probability, ESS, lower bound and both selections.
 
-    ``admissible`` is a SQL condition on (i, j); other cells get probability 0 and no ESS.
+    ``admissible`` is a SQL condition on (i, j); other cells get probability 0 and no ESS. ``n_keep`` is as in ``pooled``.
     """
+    n = n_keep * n_chains if isinstance(n_keep, int) else sum(n_keep)
     pips = cell_average(draws, g, layout)
-    ess = ess_initial_positive(pooled(draws, n_keep), g, n_keep * n_chains, max_lag)
+    ess = ess_initial_positive(pooled(draws, n_keep), g, n, max_lag)
     table = pips.join(ess, "cell").withColumn("admissible", F.expr(admissible))
     table = table.withColumns({
         "edge_prob": F.when(F.col("admissible"), F.col("mean")).otherwise(0.0),

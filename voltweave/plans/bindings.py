@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from voltweave.operators.draws import Layout, indicator
+from voltweave.operators.draws import Layout, chain_lengths, indicator
 
 AREAS = [f"A{k}" for k in range(9)]
 PRODUCTION = {"view": "Browse", "click": "Browse", "purchase": "Buy"}
@@ -149,8 +149,13 @@ def draws(spark: SparkSession, sf: str) -> DataFrame:
     return v.withColumn("g", indicator("x"))
 
 
+def lengths(spark: SparkSession, sf: str) -> list[int]:
+    """Draws of every chain; they differ by one where the vectors don't part evenly."""
+    return chain_lengths(draws(spark, sf), N_CHAINS)
+
+
 def n_keep(spark: SparkSession, sf: str) -> int:
-    """Draws per chain."""
+    """Draws that every chain has."""
     return table(spark, sf, "embeddings").count() // N_CHAINS
 
 

@@ -80,11 +80,14 @@ class Header:
         return np.ascontiguousarray(values, np.float64)
 
 
-def headers(path: str, n_chains: int, quantities: Sequence[str] = (), exclude: Sequence[str] = EXCLUDED) -> dict[str, list[Header]]:
+def headers(
+    path: str, n_chains: int, quantities: Sequence[str] = (), exclude: Sequence[str] = EXCLUDED, uneven: bool = False
+) -> dict[str, list[Header]]:
     """Headers by quantity and chain.
 
     Quantities are those of chain 0 without the excluded ones, or the named ones. An error if a chain's folder or one of its files is
-    absent, or if chains or quantities differ in length or in what they hold.
+    absent, or if chains or quantities differ in length or in what they hold. With ``uneven`` chains may differ in length, the
+    quantities of one chain may not.
     """
     fs, root = filesystem(path)
     folders = [f"{root}/chain_{c}" for c in range(n_chains)]
@@ -102,10 +105,11 @@ def headers(path: str, n_chains: int, quantities: Sequence[str] = (), exclude: S
         for path_ in files:
             with fs.open_input_file(path_) as file:
                 out.setdefault(name, []).append(Header.of(file))
-    if len({h.draws for found in out.values() for h in found}) > 1:
+    lengths = {tuple(h.draws for h in found) for found in out.values()}
+    if len(lengths) > 1 or not uneven and len({n for found in lengths for n in found}) > 1:
         raise ValueError("chains differ in length: " + str({n: [h.draws for h in f] for n, f in out.items()}))
     for name, found in out.items():
-        if len({h.shape for h in found}) > 1:
+        if len({h.shape[:-1] for h in found}) > 1:
             raise ValueError(f"chains differ in shape: {name}")
     return out
 
@@ -118,14 +122,15 @@ class Range(InputPartition):
 
 
 class NpySource(DataSource):
-    """Options: path, chains, quantities and exclude (comma-separated), rows (draws of a partition)."""
+    """Options: path, chains, quantities and exclude (comma-separated), rows (draws of a partition), uneven (chains may differ in length)."""
 
     def __init__(self, options):
         super().__init__(options)
         listed = lambda key, default="": tuple(q for q in self.options.get(key, default).split(",") if q)
         self.path, self.chains = self.options["path"], int(self.options["chains"])
         self.rows = int(self.options.get("rows", ROWS))
-        self.found = headers(self.path, self.chains, listed("quantities"), listed("exclude", ",".join(EXCLUDED)))
+        self.found = headers(self.path, self.chains, listed("quantities"), listed("exclude", ",".join(EXCLUDED)),
+                             self.options.get("uneven", "false") == "true")
 
     @classmethod
     def name(cls) -> str:
@@ -144,8 +149,8 @@ class _Reader(DataSourceReader):
         self.path, self.chains, self.rows, self.found = path, chains, rows, found
 
     def partitions(self) -> Sequence[InputPartition]:
-        draws = next((h[0].draws for h in self.found.values()), 0)
-        return [Range(c, k, min(k + self.rows, draws)) for c in range(self.chains) for k in range(0, draws, self.rows)] or [Range(0, 0, 0)]
+        draws = next(([h.draws for h in found] for found in self.found.values()), [0] * self.chains)
+        return [Range(c, k, min(k + self.rows, n)) for c, n in enumerate(draws) for k in range(0, n, self.rows)] or [Range(0, 0, 0)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         fs, root = filesystem(self.path)
@@ -162,13 +167,15 @@ class _Reader(DataSourceReader):
 
 
 def read_samples(
-    spark: SparkSession, path: str, n_chains: int, quantities: Sequence[str] = (), exclude: Sequence[str] = EXCLUDED, rows: int = ROWS
+    spark: SparkSession, path: str, n_chains: int, quantities: Sequence[str] = (), exclude: Sequence[str] = EXCLUDED, rows: int = ROWS,
+    uneven: bool = False,
 ) -> DataFrame:
     """``chain, draw`` and a column per quantity: a number, or the cells of a draw in C order. Files of quantities that
-    aren't wanted aren't opened."""
+    aren't wanted aren't opened. Chains may differ in length if ``uneven``."""
     spark.dataSource.register(NpySource)
     return spark.read.format("npy_draws").options(
-        path=path, chains=str(n_chains), quantities=",".join(quantities), exclude=",".join(exclude), rows=str(rows)).load()
+        path=path, chains=str(n_chains), quantities=",".join(quantities), exclude=",".join(exclude), rows=str(rows),
+        uneven=str(uneven).lower()).load()
 
 
 def write_samples(draws: DataFrame, path: str, shapes: dict[str, tuple[int, ...]], dtype: str = "<f8") -> DataFrame:

@@ -77,13 +77,13 @@ def write_draws(draws: DataFrame, path: str) -> None:
     draws.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chain").parquet(path)
 
 
-def read_draws(spark: SparkSession, path: str, n_chains: int, skip: tuple[str, ...] = ("mu_h", "phi_h")) -> DataFrame:
+def read_draws(spark: SparkSession, path: str, n_chains: int, skip: tuple[str, ...] = ("mu_h", "phi_h"), uneven: bool = False) -> DataFrame:
     """Packed draws of all chains; excluded quantities are never read.
 
-    An error when a chain is absent, the chains differ in length or a draw is there twice.
+    An error when a chain is absent, the chains differ in length (unless ``uneven``) or a draw is there twice.
     """
     found = spark.read.parquet(path)
-    check_chains(found, n_chains)
+    check_chains(found, n_chains, uneven)
     twice = found.groupBy("chain", "draw").count().where("count > 1")
     if not twice.isEmpty():
         raise ValueError(f"draws stored twice: {twice.limit(5).collect()}")
