@@ -8,7 +8,7 @@ them, replacing what an unfinished chunk has left.
 from __future__ import annotations
 
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Chunk:
-    """Draws [first, stop) of every chain, ``rows`` rows."""
+    """Draws [first, stop) of every chain that has them, ``rows`` rows."""
 
     number: int
     first: int
@@ -54,10 +54,11 @@ class ChunkStore:
             out.append(Chunk(**json.loads(bytes(said).decode())))
         return out
 
-    def append(self, draws: DataFrame, first: int, stop: int, n_chains: int) -> Chunk:
+    def append(self, draws: DataFrame, first: int, stop: int, n_chains: int, lengths: Sequence[int] | None = None) -> Chunk:
         """Write draws [first, stop) of all chains as the next chunk and commit it.
 
-        An error, and no commit, if a draw of a chain is missing, stands twice or lies outside.
+        Where chains 0, 1, ... differ in length, ``lengths`` gives the draws of each. An error, and no commit, if a draw of a chain is
+        missing, stands twice or lies outside.
         """
         done = self.chunks()
         expected = done[-1].stop if done else 0
@@ -68,7 +69,10 @@ class ChunkStore:
         kept = self.spark.read.parquet(self._folder(number))
         rows, keys, low, high = kept.agg(
             F.count("*"), F.countDistinct("chain", "draw"), F.min("draw"), F.max("draw")).first()
-        if rows != (stop - first) * n_chains or keys != rows or low != first or high != stop - 1:
+        ends = [stop] * n_chains if lengths is None else [max(first, min(stop, n)) for n in lengths]
+        beyond = lengths is not None and not kept.where(
+            F.col("draw") >= F.coalesce(F.get(F.array(*[F.lit(n) for n in lengths]), F.col("chain")), F.lit(0))).isEmpty()
+        if rows != sum(ends) - first * n_chains or keys != rows or low != first or high != max(ends) - 1 or beyond:
             raise ValueError(f"chunk {number} has {rows} rows of draws {low} to {high}")
         chunk = Chunk(number, first, stop, rows)
         self._commit(chunk)
@@ -82,16 +86,21 @@ class ChunkStore:
         if not self._fs.rename(written, self._path(self._entry(chunk.number))):
             raise OSError(f"chunk {chunk.number} is committed already")
 
-    def run(self, make: Callable[[int, int], DataFrame], total: int, every: int, n_chains: int, until: int | None = None) -> list[Chunk]:
+    def run(
+        self, make: Callable[[int, int], DataFrame], total: int | Sequence[int], every: int, n_chains: int, until: int | None = None
+    ) -> list[Chunk]:
         """Store draws 0 to ``total`` made by ``make(first, stop)`` in chunks of ``every``, behind those that are there.
 
-        ``until`` ends the run early, at the first chunk that reaches it.
+        ``total`` is one number, or one for each chain where they differ. ``until`` ends the run early, at the first chunk that
+        reaches it.
         """
+        lengths = None if isinstance(total, int) else list(total)
+        total = total if lengths is None else max(lengths)
         done = self.chunks()
         at = done[-1].stop if done else 0
         while at < min(total, until if until is not None else total):
             stop = min(at + every, total)
-            self.append(make(at, stop), at, stop, n_chains)
+            self.append(make(at, stop), at, stop, n_chains, lengths)
             at = stop
         return self.chunks()
 
