@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -124,7 +126,8 @@ def ess_geyer(series: DataFrame, keys: list[str], pos: str, x: str) -> DataFrame
 
 def ess_multichain(draws: DataFrame, x: str) -> DataFrame:
     """Combined ESS per cell: within-chain autocovariances averaged over chains and scaled by the
-    mixed variance, so chains that disagree count for less.
+    mixed variance, so chains that disagree count for less. A chain's autocovariances are divided by its own length;
+    n is the length of the longest one.
 
     Cells whose chains never move give m * n, and leave before any lag is computed. Fewer than two
     chains or four draws are one series, chain after chain.
@@ -134,18 +137,19 @@ def ess_multichain(draws: DataFrame, x: str) -> DataFrame:
     if shape.m is None:
         return mix.select("cell", F.lit(0.0).alias("total"), F.lit(0.0).alias("ess"))
     if shape.m < 2 or shape.n < 4:
-        chains = sorted(r[0] for r in draws.select("chain").distinct().collect())
-        at = F.array_position(F.array(*[F.lit(c) for c in chains]), F.col("chain")) - 1
-        alone = ess_geyer(draws.withColumn("_pos", at * shape.n + F.col("draw")), [], "_pos", x)
+        sizes = dict(sorted(map(tuple, draws.groupBy("chain").count().collect())))
+        starts = F.create_map(*[F.lit(v) for c, at in zip(sizes, accumulate([0, *sizes.values()])) for v in (c, at)])
+        alone = ess_geyer(draws.withColumn("_pos", starts[F.col("chain")] + F.col("draw")), [], "_pos", x)
         return alone.select("cell", F.col("n").cast("double").alias("total"), "ess")
     even = centred(draws, ["chain"], x)
     moving = mix.where("w > 0")
+    own = cut(draws.groupBy("chain").agg(F.count("*").alias("_own")))
 
     def rho_at(lo: int, hi: int) -> DataFrame:
-        mean_acov = lag_products(even, ["chain"], "draw", x, lo, hi).join(
+        mean_acov = lag_products(even, ["chain"], "draw", x, lo, hi).join(own, "chain").join(
             moving.select("cell", "n", "m", "w", "var_hat"), "cell"
         ).groupBy("cell", "n", "lag").agg(
-            (F.sum("s") / F.first("n") / F.first("m")).alias("_a"),
+            (F.sum(F.col("s") / F.col("_own")) / F.first("m")).alias("_a"),
             F.first("w").alias("w"), F.first("var_hat").alias("var_hat"))
         rho = 1.0 - (F.col("w") - F.col("_a")) / F.nullif("var_hat", F.lit(0.0))
         return mean_acov.select("cell", "n", "lag", rho.alias("rho"))
