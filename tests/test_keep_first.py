@@ -37,3 +37,17 @@ def test_text_columns_are_compared_as_a_struct(spark):
     got = sorted(map(tuple, network.first_per_key(df, ["k"], ["file", "row"]).collect()))
     assert got == [(1, "a", 2, "y"), (2, "a", 1, None)]
     assert network.first_per_key(df.limit(0), ["k"], ["row"]).collect() == []
+
+
+def test_orders_below_zero(spark):
+    df = spark.createDataFrame([(1, -5, 2.0), (1, -7, 3.0), (1, 0, 1.0)], "k int, o long, v double")
+    assert [tuple(r) for r in network.first_per_key(df, ["k"], ["o"]).collect()] == [(1, -7, 3.0)]
+
+
+def test_no_table_of_all_rows_in_a_task(spark):
+    """A key of all rows: one row for each task is shuffled, and no hash aggregate holds rows."""
+    df = spark.range(20_000, numPartitions=4).selectExpr("id % 2 AS k", "20000 - id AS o", "id * 0.5D AS v")
+    got = network.first_per_key(df, ["k"], ["o"])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("WindowGroupLimit") == 2 and "Aggregate" not in plan
+    assert sorted((r.k, r.o) for r in got.collect()) == [(0, 2), (1, 1)]

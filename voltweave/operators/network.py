@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from voltweave.operators.quantiles import exact_quantiles
 from voltweave.runtime import cut
@@ -21,57 +20,16 @@ def normalise_codes(df: DataFrame, prefix: str = "DE_", merged: str = "DE") -> D
     return df.withColumns({c: merged_code(c, prefix, merged) for c in ("from_map", "to_map")})
 
 
-_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
-_FIXED = (*_WHOLE, T.FloatType, T.DoubleType, T.DateType, T.TimestampType, T.BooleanType, T.DecimalType)
-
-
-def _packed(first: str, second: str | None) -> Column:
-    """Two numbers from 0 on as one that orders as both do; NULL comes first. Below 2^127, so of 38 digits."""
-    one = lambda c: F.coalesce(F.col(c).cast("decimal(19,0)") + 1, F.lit(0)).cast("decimal(20,0)")
-    if second is None:
-        return one(first).cast("decimal(38,0)")
-    return (one(first).cast("decimal(20,0)") * F.lit(str((1 << 63) + 1)).cast("decimal(19,0)")).cast("decimal(38,0)") + one(second)
-
-
 def first_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
-    """Keep the first row of every key in source order, by aggregates.
-
-    Rows that agree in the order go by their other columns, NULL first.
+    """Keep the first row of every key in source order.
 
-    With whole numbers from 0 on as order and all else of fixed width, the order is packed two columns at a time, last ones
-    first, and every step is a hash aggregate, without a sort. Other types are compared as a struct, which sorts.
+    Rows that agree in the order go by their other columns, NULL first. Only the first row of a key leaves a task that reads ``df``
+    (Spark puts the limit of a rank before the shuffle too), so a key of very many rows stays small; a task sorts its rows
+    once, which spills, and holds no table of them.
     """
     rest = [c for c in df.columns if c not in keys and c not in order]
-    kinds = {f.name: f.dataType for f in df.schema}
-    if not (all(isinstance(kinds[c], _WHOLE) for c in order) and all(isinstance(kinds[c], _FIXED) for c in rest)):
-        first = F.min(F.struct(*order, *rest)).alias("_first")
-        return df.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_first.{c}").alias(c) for c in [*order, *rest]])
-    pairs = [(order[k], order[k + 1] if k + 1 < len(order) else None) for k in range(0, len(order), 2)]
-    packs = [f"_o{k}" for k in range(len(pairs))]
-    rows = df.withColumns(dict(zip(packs, [_packed(*pair) for pair in pairs])))
-    if rest:
-        # Ties: dealt out once by keys and order, which all the groups below are parts of.
-        rows = rows.repartition(*keys, *packs)
-    for k in reversed(range(len(rest))):
-        least = [F.min_by(c, _lowest_null(rest[k], kinds[rest[k]])).alias(c) for c in [*order, *rest[k:]]]
-        rows = rows.groupBy(*keys, *packs, *rest[:k]).agg(*least)
-    for k in reversed(range(len(pairs))):
-        rows = rows.groupBy(*keys, *packs[:k]).agg(*[F.min_by(c, packs[k]).alias(c) for c in [*order, *rest]])
-    return rows.select(*keys, *order, *rest)
-
-
-def _lowest_null(name: str, kind: T.DataType) -> Column:
-    """What orders as the column does with NULL first, never NULL itself."""
-    c = F.col(name)
-    if isinstance(kind, T.DateType):
-        c = F.unix_date(c)
-    elif isinstance(kind, T.TimestampType):
-        c = F.unix_micros(c)
-    elif isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.coalesce(c.cast("double"), F.lit(float("-inf")))
-    elif isinstance(kind, T.DecimalType):
-        return F.coalesce(c, F.lit("-" + "9" * (kind.precision - kind.scale) + "." + "9" * kind.scale).cast(kind))
-    return F.coalesce(c.cast("decimal(20,0)"), F.lit("-" + "9" * 20).cast("decimal(20,0)"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy(*order, *rest))
+    return df.withColumn("_rank", first).where("_rank = 1").select(*keys, *order, *rest)
 
 
 def clean_capacity(df: DataFrame, order: list[str], prefix: str = "DE_", merged: str = "DE") -> DataFrame:
