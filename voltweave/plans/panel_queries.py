@@ -11,7 +11,7 @@ from voltweave.operators import impute, ingest, network, panel
 from voltweave.plans import assemble, reports
 from voltweave.plans import bindings as b
 from voltweave.plans.registry import query, rounded
-from voltweave.runtime import scratch_path
+from voltweave.runtime import cut, scratch_path
 from voltweave.sources import market, tables
 from voltweave.sources.market import FEEDS
 
@@ -166,7 +166,7 @@ SELECT a.n AS src, c.n AS dst, coalesce(round(capacity_mw, 6), 0) AS value
 FROM nodes a CROSS JOIN nodes c LEFT JOIN edges ON src = a.n AND dst = c.n""")
 def matrix_scan(spark, sf):
     """Dense capacity matrix written as a labelled CSV and read back as edges."""
-    edges = rounded(network.capacity_edges(_inside(spark, sf)), 6, "capacity_mw")
+    edges = cut(rounded(network.capacity_edges(_inside(spark, sf)), 6, "capacity_mw"))
     nodes = network.node_list(edges)
     path = scratch_path(spark, "matrix")
     tables.write_matrix_csv(network.dense_matrix(edges, nodes), "capacity_mw", path)
@@ -454,7 +454,8 @@ g0 AS (SELECT src, dst, capacity_mw, CASE WHEN capacity_mw >= 25.5 AND src <> ds
 
 
 def _matrix(spark, sf):
-    edges = network.capacity_edges(_inside(spark, sf))
+    # A row for each pair of nodes, read for the matrix and for its nodes.
+    edges = cut(network.capacity_edges(_inside(spark, sf)))
     return network.dense_matrix(edges, network.node_list(edges))
 
 
@@ -519,7 +520,8 @@ UNION ALL SELECT 'months', date_trunc('month', datetime)::DATE::VARCHAR, count(*
 def report_folder(spark, sf):
     """Report tables written as one folder and read again."""
     path = scratch_path(spark, "report")
-    inside = _inside(spark, sf)
+    # Both sheets read it; the joins and the deduplication behind it run only once.
+    inside = cut(_inside(spark, sf).select("datetime", "from_map", "to_map", "capacity_mw"))
     reports.write_sheets({
         "nodes": network.node_list(network.capacity_edges(inside)).select(F.col("node").alias("label"), F.lit(None).cast("double").alias("value")),
         "months": network.monthly_counts(inside).select(F.col("month").cast("string").alias("label"), F.col("n").cast("double").alias("value")),
