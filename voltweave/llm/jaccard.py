@@ -13,7 +13,7 @@ hub's task; large groups are dealt over several tasks, to which only the hub's t
 
 Two passes keep a group of many copies linear: first each set is compared with one hub per key and size
 band; then all sets under a key that the first pass has not joined, whose bitmaps travel with the key, so that
-only pairs that may be alike leave a task.
+only pairs that may be alike leave a task, and those under one of the first keys they share.
 """
 
 from __future__ import annotations
@@ -41,6 +41,8 @@ PAIRS = 100_000
 HUB_MEMBERS = 2048
 #: Bytes of bitmaps compared at once.
 PAIR_BYTES = 8_000_000
+#: Bits of a bitmap at least, and keys before its own that travel with a row of a key.
+BITS, AHEAD = 1024, 8
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -61,8 +63,8 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def bitmap(found: np.ndarray) -> bytes:
-    """Parity of the hashes that fall on each bit; a power of two of bits, 256 and half as many as hashes at least."""
-    width = max(256, 1 << max((len(found) - 1) // 2, 0).bit_length())
+    """Parity of the hashes that fall on each bit; a power of two of bits, ``BITS`` and half as many as hashes at least."""
+    width = max(BITS, 1 << max((len(found) - 1) // 2, 0).bit_length())
     odd = np.bincount((found & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
     return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
 
@@ -191,15 +193,22 @@ def _several(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.Rec
 
 
 def _apart(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Pairs ``hub, member`` of one key that are near enough in size and in bits and in different groups."""
+    """Pairs ``hub, member`` of one key that are near enough in size and in bits and in different groups.
+
+    A pair that shares one of the keys ahead of this one is left to that key, whose rows it is among too.
+    """
     node, n, group, bits = rows["set"], rows["n"], rows["component"], rows["bits"]
+    ahead = np.stack([rows[f"ahead{k}"] for k in range(AHEAD)], axis=1)
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def near() -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*held))
         held.clear()
         alive = near_bitmaps(bits, n, a, b)
-        a, b = node[a[alive]], node[b[alive]]
+        a, b = a[alive], b[alive]
+        x, y = ahead[a], ahead[b]
+        first = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any(axis=(1, 2))
+        a, b = node[a[first]], node[b[first]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["hub", "member"])
 
     # Each row meets the row d behind it, for all rows at once; sizes rise within a key, so one that is too long ends it.
@@ -278,7 +287,7 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     each = own.join(first.withColumnRenamed("_vw_row", "_vw_first"), "set").where("_vw_row = _vw_first").dropDuplicates(["set"])
     filed = each.select("set", "n", F.explode("keys").alias("key"))
     filed = cut(_by_key(filed, _several, "key long, set long, n long"))
-    sets = own.select("set", "_vw_row", "n", "bits").join(filed.select("set").distinct(), "set", "left_semi")
+    sets = own.select("set", "_vw_row", "n", "bits", "keys").join(filed.select("set").distinct(), "set", "left_semi")
     sets = cut(sets.join(first, ["set", "_vw_row"], "left_semi").dropDuplicates(["set"]))
     discard(own)
 
@@ -291,7 +300,10 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     grouped = filed.join(known.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
     grouped = cut(grouped.select("key", "set", "n", "component"))
     several = grouped.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    left = cut(grouped.join(several.select("key"), "key").join(sets.select("set", "bits"), "set"))
+    left = grouped.join(several.select("key"), "key").join(sets.select("set", "bits", "keys"), "set")
+    at = (F.array_position("keys", F.col("key")) - 1).cast("int")
+    ahead = [F.coalesce(F.get("keys", at - k - 1), F.lit(0)).alias(f"ahead{k}") for k in range(AHEAD)]
+    left = cut(left.select("key", "set", "n", "component", "bits", *ahead))
     more = _by_key(left, _apart, "hub long, member long").distinct()
     more = _linked(more, sets, docs)
     joined = cut(components(links.unionByName(more)))
