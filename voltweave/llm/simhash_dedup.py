@@ -43,8 +43,13 @@ def fingerprint(text: str | None) -> int:
     stops = [*gaps[SHINGLE:], len(joined)][-n:]
     hashed = np.fromiter(
         map(xxhash.xxh64_intdigest, [joined[a + 1: b] for a, b in zip(gaps, stops)], repeat(SEED)), np.uint64, n)
-    ones = np.unpackbits(hashed.view(np.uint8).reshape(n, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > n, bitorder="little").view(np.uint64)[0])
+    return majority(hashed)
+
+
+def majority(hashed: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes; 0 without any."""
+    ones = np.unpackbits(hashed.view(np.uint8).reshape(len(hashed), 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashed), bitorder="little").view(np.uint64)[0])
 
 
 def _find_all(joined: bytes) -> list[int]:
