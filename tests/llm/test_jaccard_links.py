@@ -66,3 +66,27 @@ def test_operator_8_goes_first(spark, docs_of, monkeypatch):
     kept = cp.near_duplicates(spark, docs_of(texts), "/none").collect()
     assert sorted(x.doc_id for x in kept) == brute(texts)
     assert asked and asked[0] > 1 and checked[0] > 0
+
+
+def test_a_key_of_many_near_copies_hands_on_forests(monkeypatch):
+    """Pairs by members of a key, not by their square, that join what all near pairs join."""
+    sets = sorted((jc.shingles(t) for t in copies(150, 1, 300, 3) + copies(50, 1, 310, 4)), key=len)
+    m = len(sets)
+    rows = {"key": np.full(m, 7), "set": np.arange(1, m + 1), "n": np.array([len(s) for s in sets]), "component": np.arange(1, m + 1),
+            "bits": np.array([jc.bitmap(s) for s in sets], object), **{f"ahead{k}": np.zeros(m, np.int64) for k in range(jc.AHEAD)}}
+    rows["component"][:4] = 1
+    i, j = np.triu_indices(m, 1)
+    near = jc.near_bitmaps(rows["bits"], rows["n"], i, j)
+    edges = [(i[near], j[near])]
+    for pairs in (100_000, 500):
+        monkeypatch.setattr(jc, "PAIRS", pairs)
+        found = [b.to_pydict() for b in jc._apart(rows, np.array([0, m]))]
+        edges.append(tuple(np.array([x - 1 for b in found for x in b[end]]) for end in ("hub", "member")))
+    groups = []
+    for a, b in edges:
+        label = rows["component"] - 1
+        jc._joins(label, a, b)
+        groups.append(label.tolist())
+    assert groups[0] == groups[1] == groups[2] and 1 < len(set(groups[0])) < m
+    assert len(edges[0][0]) > 10 * m
+    assert all(len(set(zip(*e))) == len(e[0]) <= 4 * (m - 1) for e in edges[1:])

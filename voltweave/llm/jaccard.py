@@ -13,14 +13,17 @@ set is large, and two maps differ in no more bits than their sets do in shingles
 in too many are not alike. Those that are left are compared exactly. Texts travel for them alone, each to its
 hub's task; large groups are dealt over several tasks, to which only the hub's text is copied.
 
-Two more passes keep a group of many copies linear: first each set is compared with one hub per key and size
+Three more passes keep a group of many copies linear: first each set is compared with one hub per key and size
 band, unless operator 8 has joined them; then all sets under a key that the first pass has not joined, whose bitmaps travel with the key, so that
-only pairs that may be alike leave a task, and those under one of the first keys they share.
+only pairs that may be alike leave a task, and those under one of the first keys they share. Of these pairs a key hands on a few spanning forests over
+the groups joined so far, the likeliest first; every pair that may be alike and is still apart after that follows in the last pass.
+A pass goes on from the groups of the one before, not from its links.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import partial
 from itertools import repeat
 
 import numpy as np
@@ -44,6 +47,8 @@ PAIRS = 100_000
 HUB_MEMBERS = 2048
 #: Bytes of bitmaps compared at once.
 PAIR_BYTES = 8_000_000
+#: Spanning forests of a key's groups that are compared before all pairs.
+FORESTS = 4
 #: Bits of a bitmap at least, and keys before its own that travel with a row of a key.
 BITS, AHEAD = 1024, 8
 
@@ -81,10 +86,10 @@ def may_be_alike(a: bytes, b: bytes, n: int) -> bool:
     return 9 * int(np.bitwise_count(x ^ y).sum()) <= n
 
 
-def near_bitmaps(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """``may_be_alike`` of many pairs of rows, whose sizes differ by a quarter at most (so widths by one doubling)."""
+def bits_apart(bits: list[bytes], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Bits in which the maps of many pairs of rows differ, as in ``may_be_alike``; sizes differ by a quarter at most (so widths by one doubling)."""
     widths = np.array([len(x) for x in bits])
-    keep = np.zeros(len(i), bool)
+    out = np.zeros(len(i), np.int64)
     narrow = np.minimum(widths[i], widths[j])
     for width in np.unique(narrow).tolist():
         own = np.flatnonzero(narrow == width)
@@ -99,9 +104,13 @@ def near_bitmaps(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray)
         step = max(1, PAIR_BYTES // width)
         for k in range(0, len(own), step):
             part = slice(k, k + step)
-            apart = np.bitwise_count(maps[left[part]] ^ maps[right[part]]).sum(axis=1, dtype=np.int64)
-            keep[own[part]] = 9 * apart <= n[i[own[part]]] + n[j[own[part]]]
-    return keep
+            out[own[part]] = np.bitwise_count(maps[left[part]] ^ maps[right[part]]).sum(axis=1, dtype=np.int64)
+    return out
+
+
+def near_bitmaps(bits: list[bytes], n: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """``may_be_alike`` of many pairs of rows."""
+    return 9 * bits_apart(bits, i, j) <= n[i] + n[j]
 
 
 def prefix(found: np.ndarray, times: np.ndarray) -> np.ndarray:
@@ -195,23 +204,62 @@ def _several(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([pa.array(rows[c][keep]) for c in ("key", "set", "n")], ["key", "set", "n"])
 
 
-def _apart(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _joins(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Which of the pairs, in their order, join two groups of ``label`` (a root for each row); the labels follow."""
+    up = {}
+
+    def root(x: int) -> int:
+        while x in up:
+            up[x] = up.get(up[x], up[x])
+            x = up[x]
+        return x
+
+    joins = np.zeros(len(a), bool)
+    for k, (x, y) in enumerate(zip(label[a].tolist(), label[b].tolist())):
+        x, y = root(x), root(y)
+        if x != y:
+            up[max(x, y)] = min(x, y)
+            joins[k] = True
+    moved = np.array(sorted(up), np.int64)
+    now = np.arange(len(label))
+    now[moved] = [root(x) for x in moved.tolist()]
+    label[:] = now[label]
+    return joins
+
+
+def _apart(rows: dict[str, np.ndarray], bounds: np.ndarray, every: bool = False) -> Iterator[pa.RecordBatch]:
     """Pairs ``hub, member`` of one key that are near enough in size and in bits and in different groups.
 
-    A pair that shares one of the keys ahead of this one is left to that key, whose rows it is among too.
+    A pair that shares one of the keys ahead of this one is left to that key, whose rows it is among too. Of the others ``FORESTS``
+    spanning forests of the key's groups stay, the nearest first, each of the pairs that those before leave. With ``every`` all stay.
     """
-    node, n, group, bits = rows["set"], rows["n"], rows["component"], rows["bits"]
+    node, n, bits = rows["set"], rows["n"], rows["bits"]
     ahead = np.stack([rows[f"ahead{k}"] for k in range(AHEAD)], axis=1)
+    # The group of a row within its key is named by the first of its rows.
+    order = np.lexsort((rows["component"], np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))))
+    key, component = rows["key"][order], rows["component"][order]
+    starts = np.flatnonzero(np.concatenate(([True], (np.diff(key) != 0) | (np.diff(component) != 0))))
+    group = np.empty(len(node), np.int64)
+    group[order] = np.repeat(order[starts], np.diff(np.append(starts, len(node))))
+    forests = [] if every else [group.copy() for _ in range(FORESTS)]
+    last = forests[-1] if forests else group
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def near() -> pa.RecordBatch:
         a, b = (np.concatenate(x) for x in zip(*held))
         held.clear()
-        alive = near_bitmaps(bits, n, a, b)
+        differ, size = bits_apart(bits, a, b), n[a] + n[b]
+        alive = np.flatnonzero(9 * differ <= size)
+        alive = alive[np.argsort(differ[alive] / size[alive], kind="stable")]
         a, b = a[alive], b[alive]
         x, y = ahead[a], ahead[b]
         first = ~((x[:, :, None] == y[:, None, :]) & (x[:, :, None] != 0)).any(axis=(1, 2))
-        a, b = node[a[first]], node[b[first]]
+        a, b = a[first], b[first]
+        stays = np.full(len(a), every)
+        for label in forests:
+            left = np.flatnonzero(~stays)
+            stays[left[_joins(label, a[left], b[left])]] = True
+        a, b = node[a[stays]], node[b[stays]]
         return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["hub", "member"])
 
     # Each row meets the row d behind it, for all rows at once; sizes rise within a key, so one that is too long ends it.
@@ -220,7 +268,7 @@ def _apart(rows: dict[str, np.ndarray], bounds: np.ndarray) -> Iterator[pa.Recor
         d += 1
         one = one[one + d < stop[one]]
         one = one[5 * n[one] >= 4 * n[one + d]]
-        apart = one[group[one] != group[one + d]]
+        apart = one[last[one] != last[one + d]]
         if len(apart):
             held.append((apart, apart + d))
         if sum(len(a) for a, _ in held) > PAIRS or held and not len(one):
@@ -258,6 +306,24 @@ def _apart_in(pairs: DataFrame, known: DataFrame) -> DataFrame:
     return pairs.where(~F.coalesce(F.col("_hub") == F.col("_member"), F.lit(False))).select("hub", "member")
 
 
+def _stars(known: DataFrame) -> DataFrame:
+    """Links ``a, b`` that join the groups of ``known``, one for each member."""
+    return known.select(F.col("node").alias("a"), F.col("component").alias("b"))
+
+
+def _unjoined(filed: DataFrame, known: DataFrame, sets: DataFrame) -> DataFrame:
+    """The rows of keys with sets of several groups: their group, bitmap and the keys ahead."""
+    grouped = filed.join(known.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
+    grouped = cut(grouped.select("key", "set", "n", "component"))
+    several = grouped.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
+    left = grouped.join(several.select("key"), "key").join(sets.select("set", "bits", "keys"), "set")
+    at = (F.array_position("keys", F.col("key")) - 1).cast("int")
+    ahead = [F.coalesce(F.get("keys", at - k - 1), F.lit(0)).alias(f"ahead{k}") for k in range(AHEAD)]
+    left = cut(left.select("key", "set", "n", "component", "bits", *ahead))
+    discard(grouped)
+    return left
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, docs: DataFrame) -> DataFrame:
     """``a, b``: the pairs whose sets are alike. ``sets`` has a row of ``docs`` (by ``_vw_row``) for each set."""
     pairs = cut(pairs)
@@ -319,18 +385,15 @@ def deduplicate(docs: DataFrame) -> DataFrame:
     banded = filed.withColumn("band", F.floor(F.log(1.25, F.col("n"))))
     hubs = banded.groupBy("key", "band").agg(F.min("set").alias("hub"))
     pairs = banded.join(hubs, ["key", "band"]).where("set != hub").select("hub", F.col("set").alias("member")).distinct()
-    links = near.unionByName(_linked(_possible(_apart_in(pairs, joined), sets), sets, docs))
-    known = cut(components(links))
-    grouped = filed.join(known.withColumnRenamed("node", "set"), "set", "left").withColumn("component", F.coalesce("component", "set"))
-    grouped = cut(grouped.select("key", "set", "n", "component"))
-    several = grouped.groupBy("key").agg(F.min("component").alias("_low"), F.max("component").alias("_high")).where("_low < _high")
-    left = grouped.join(several.select("key"), "key").join(sets.select("set", "bits", "keys"), "set")
-    at = (F.array_position("keys", F.col("key")) - 1).cast("int")
-    ahead = [F.coalesce(F.get("keys", at - k - 1), F.lit(0)).alias(f"ahead{k}") for k in range(AHEAD)]
-    left = cut(left.select("key", "set", "n", "component", "bits", *ahead))
-    more = _by_key(left, _apart, "hub long, member long").distinct()
-    more = _linked(more, sets, docs)
-    groups = cut(components(links.unionByName(more)))
-    discard(filed, sets, marked, grouped, left, links, more, joined, known)
-    found = rows.join(groups.withColumnRenamed("node", "set"), "set", "left")
+    links = _linked(_possible(_apart_in(pairs, joined), sets), sets, docs)
+    known = cut(components(_stars(joined).unionByName(links)))
+    discard(near, joined, links)
+    for pick in (_apart, partial(_apart, every=True)):
+        left = _unjoined(filed, known, sets)
+        links = _linked(_by_key(left, pick, "hub long, member long").distinct(), sets, docs)
+        groups = cut(components(_stars(known).unionByName(links)))
+        discard(left, known, links)
+        known = groups
+    discard(filed, sets, marked)
+    found = rows.join(known.withColumnRenamed("node", "set"), "set", "left")
     return one_each(docs, found.withColumn("_vw_group", F.coalesce("component", "set")))
