@@ -2,7 +2,10 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from voltweave.operators import network
+from voltweave.plans import bindings
 
 
 def test_first_row_of_every_key(spark):
@@ -51,3 +54,12 @@ def test_no_table_of_all_rows_in_a_task(spark):
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2 and "Aggregate" not in plan
     assert sorted((r.k, r.o) for r in got.collect()) == [(0, 2), (1, 1)]
+
+
+def test_tasks_of_the_transfers_follow_the_line_items(spark, monkeypatch):
+    """60 000 line items in tasks of about 1000, whatever the session's number of partitions."""
+    monkeypatch.setattr(bindings, "TASK_ITEMS", 1000)
+    rows = bindings.transfer_codes(spark, "/root/testdata/sf0.01")
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
+    assert sum(sizes) == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
+    assert len(sizes) >= 50 and max(sizes) < 2000

@@ -88,6 +88,8 @@ def region_names() -> list[str]:
 
 
 CAPACITY_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+#: Line items that one task of the transfer query joins.
+TASK_ITEMS = 400_000
 
 
 def transfer_codes(spark: SparkSession, sf: str) -> DataFrame:
@@ -98,10 +100,12 @@ def transfer_codes(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     sellers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from_code"))
     buyers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("to_code"))
-    # Orders meet their buyers first, so the line items are shuffled by order key only.
-    placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey"))
+    # Orders meet their buyers first, so the line items are shuffled by order key only. The number of tasks follows that of the
+    # line items, which the files' footers hold, so what a task sorts stays the same at any size.
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ITEMS))
+    placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).repartition(tasks, "o_orderkey")
     return (
-        items.join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
+        items.repartition(tasks, "l_orderkey").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))
         .join(sellers, F.col("l_suppkey") == F.col("s_suppkey"))
         .select(
             F.col("o_orderdate").alias("datetime"), "from_code", "to_code", F.col("l_quantity").alias("capacity_mw"),
