@@ -2,10 +2,14 @@
 
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
+from compare import connect, difference
+from voltweave import runtime
 from voltweave.operators import network
-from voltweave.plans import bindings
+from voltweave.plans import bindings, panel_queries
 
 
 def test_first_row_of_every_key(spark):
@@ -63,3 +67,37 @@ def test_tasks_of_the_transfers_follow_the_line_items(spark, monkeypatch):
     sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id().alias("task")).count().collect()]
     assert sum(sizes) == spark.read.parquet("/root/testdata/sf0.01/lineitem.parquet").count()
     assert len(sizes) >= 50 and max(sizes) < 2000
+
+
+def test_a_table_cut_in_given_tasks(spark):
+    """The session has 8 partitions, which are merged for so few rows; its settings come back, after a failure too."""
+    names = [runtime.CLEANUP, "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n, None) for n in names]
+    df = spark.range(20_000, numPartitions=4).selectExpr("id % 5000 AS k", "20000 - id AS o", "id * 0.5D AS v")
+    got = runtime.cut(network.first_per_key(df, ["k"], ["o"]), 40)
+    assert len(got.inputFiles()) == 40
+    assert sorted((r.k, r.o) for r in got.collect()) == [(k, 5000 - k) for k in range(5000)]
+    with pytest.raises(Exception, match="stopped here"):
+        runtime.cut(df.select(F.raise_error(F.lit("stopped here")).cast("int").alias("x")), 40)
+    assert [spark.conf.get(n, None) for n in names] == before
+
+
+def test_tasks_of_keep_first_follow_the_line_items(spark, monkeypatch):
+    """60 000 line items in tasks of about 1000, whatever the session's number of partitions."""
+    monkeypatch.setattr(bindings, "TASK_ITEMS", 1000)
+    files = [f for f in panel_queries._clean(spark, "/root/testdata/sf0.01").inputFiles() if "/cut-" in f]
+    sizes = [spark.read.parquet(f).count() for f in files]
+    assert len(sizes) == 60 and max(sizes) < 2000
+
+
+@pytest.mark.parametrize("name", [
+    "a9_capacity_max", "a9_capacity_mean", "a9_capacity_median", "a10_monthly_counts", "f9_binarise", "g11_expanded_mask",
+    "j7_node_universe", "j9_dense_matrix", "j16_first_per_key", "k4_filtered_network", "k6_report_folder", "p17_dropped_nodes",
+    "p17_submatrix", "p4_endpoint_filter", "p4_excluded_codes"])
+def test_queries_on_many_tasks(spark, monkeypatch, name):
+    """Every query behind keep-first, with 60 tasks for the 6000 line items of sf0.001, against its SQL."""
+    sf, asked = "/root/testdata/sf0.001", []
+    monkeypatch.setattr(bindings, "TASK_ITEMS", 100)
+    monkeypatch.setattr(panel_queries, "cut", lambda df, tasks=None: asked.append(tasks) or runtime.cut(df, tasks))
+    assert not difference(entry.queries()[name](spark, sf), connect(sf), entry.oracle_sql()[name])
+    assert [t for t in asked if t] == [60]

@@ -88,10 +88,15 @@ def region_names() -> list[str]:
 
 
 CAPACITY_ORDER = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
-#: Line items that one task of the transfer query joins.
+#: Line items that one task of the transfer query joins, and one of the deduplication behind it sorts.
 TASK_ITEMS = 400_000
 
 
+def transfer_tasks(spark: SparkSession, sf: str) -> int:
+    """Tasks for the transfer records: they follow the line items, whose number the files' footers hold."""
+    return max(spark.sparkContext.defaultParallelism, -(-table(spark, sf, "lineitem").count() // TASK_ITEMS))
+
+
 def transfer_codes(spark: SparkSession, sf: str) -> DataFrame:
     """Transfer records from the supplier's nation to the customer's by code, capacity = quantity; the resolution is a
     character's number, so that all but the keys is of fixed width."""
@@ -101,8 +106,8 @@ def transfer_codes(spark: SparkSession, sf: str) -> DataFrame:
     sellers = table(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").alias("from_code"))
     buyers = table(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").alias("to_code"))
     # Orders meet their buyers first, so the line items are shuffled by order key only. The number of tasks follows that of the
-    # line items, which the files' footers hold, so what a task sorts stays the same at any size.
-    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // TASK_ITEMS))
+    # line items, so what a task sorts stays the same at any size.
+    tasks = transfer_tasks(spark, sf)
     placed = orders.join(buyers, F.col("o_custkey") == F.col("c_custkey")).repartition(tasks, "o_orderkey")
     return (
         items.repartition(tasks, "l_orderkey").join(placed, F.col("l_orderkey") == F.col("o_orderkey"))

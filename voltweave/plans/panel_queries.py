@@ -402,9 +402,11 @@ def reserve_join(spark, sf):
 
 
 def _clean(spark, sf):
-    """Records are deduplicated by their codes; names are joined to those that are left."""
+    """Records are deduplicated by their codes, in as many tasks as their number asks for; names are joined to those that are
+    left."""
     rows = network.first_per_key(b.transfer_codes(spark, sf), network.DEDUPE_KEYS, b.CAPACITY_ORDER)
-    named = b.with_names(spark, sf, rows.where(F.col("capacity_mw") > 0))
+    first = cut(rows.where(F.col("capacity_mw") > 0), b.transfer_tasks(spark, sf))
+    named = b.with_names(spark, sf, first)
     return network.normalise_codes(named, "NATION_2", "NATION_2")
 
 
@@ -520,8 +522,8 @@ UNION ALL SELECT 'months', date_trunc('month', datetime)::DATE::VARCHAR, count(*
 def report_folder(spark, sf):
     """Report tables written as one folder and read again."""
     path = scratch_path(spark, "report")
-    # Both sheets read it; the joins and the deduplication behind it run only once.
-    inside = cut(_inside(spark, sf).select("datetime", "from_map", "to_map", "capacity_mw"))
+    # Both sheets read it; the joins and the deduplication behind it run only once, for the table that it comes from.
+    inside = _inside(spark, sf)
     reports.write_sheets({
         "nodes": network.node_list(network.capacity_edges(inside)).select(F.col("node").alias("label"), F.lit(None).cast("double").alias("value")),
         "months": network.monthly_counts(inside).select(F.col("month").cast("string").alias("label"), F.col("n").cast("double").alias("value")),

@@ -30,21 +30,27 @@ def local_default(spark: SparkSession) -> None:
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def cut(df: DataFrame) -> DataFrame:
+def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
     """Materialise an intermediate result as a table in the shared folder and go on from its scan.
 
     A lost executor then replays nothing before this point, later reads are columnar and pruned, and
     the planner knows the true size. The shuffle files behind the table are needed no more once it is written,
-    so they go at its end and don't pile up on the executors' disks.
+    so they go at its end and don't pile up on the executors' disks. With ``tasks``, the shuffles that Spark adds behind the table
+    have that many tasks, which are not merged, whatever the session's number; so the rows of a task can be kept at any size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
-    before = spark.conf.get(CLEANUP, None)
-    spark.conf.set(CLEANUP, "true")
+    settings = {CLEANUP: "true"}
+    if tasks:
+        settings |= {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {name: spark.conf.get(name, None) for name in settings}
     try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(CLEANUP, before) if before is not None else spark.conf.unset(CLEANUP)
+        for name, value in before.items():
+            spark.conf.set(name, value) if value is not None else spark.conf.unset(name)
     return spark.read.schema(df.schema).parquet(path)
 
 
