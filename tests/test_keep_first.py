@@ -71,7 +71,7 @@ def test_tasks_of_the_transfers_follow_the_line_items(spark, monkeypatch):
 
 def test_a_table_cut_in_given_tasks(spark):
     """The session has 8 partitions, which are merged for so few rows; its settings come back, after a failure too."""
-    names = [runtime.CLEANUP, "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"]
+    names = [runtime.CLEANUP, "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled", "spark.sql.files.minPartitionNum"]
     before = [spark.conf.get(n, None) for n in names]
     df = spark.range(20_000, numPartitions=4).selectExpr("id % 5000 AS k", "20000 - id AS o", "id * 0.5D AS v")
     got = runtime.cut(network.first_per_key(df, ["k"], ["o"]), 40)
@@ -82,6 +82,15 @@ def test_a_table_cut_in_given_tasks(spark):
     assert [spark.conf.get(n, None) for n in names] == before
 
 
+def test_scans_behind_a_table_cut_in_given_tasks(spark, tmp_path):
+    """16 small files, which 8 tasks read in a scan of the session."""
+    spark.range(1600, numPartitions=16).write.parquet(f"{tmp_path}/rows")
+    rows = spark.read.parquet(f"{tmp_path}/rows")
+    assert rows.rdd.getNumPartitions() == 8
+    got = runtime.cut(rows, 16)
+    assert len(got.inputFiles()) == 16 and got.count() == 1600
+
+
 def test_tasks_of_keep_first_follow_the_line_items(spark, monkeypatch):
     """60 000 line items in tasks of about 1000, whatever the session's number of partitions."""
     monkeypatch.setattr(bindings, "TASK_ITEMS", 1000)

@@ -36,13 +36,16 @@ def cut(df: DataFrame, tasks: int | None = None) -> DataFrame:
     A lost executor then replays nothing before this point, later reads are columnar and pruned, and
     the planner knows the true size. The shuffle files behind the table are needed no more once it is written,
     so they go at its end and don't pile up on the executors' disks. With ``tasks``, the shuffles that Spark adds behind the table
-    have that many tasks, which are not merged, whatever the session's number; so the rows of a task can be kept at any size.
+    have that many tasks, which are not merged, whatever the session's number, and scans are split as finely where row groups
+    allow it (a shuffle of more than 200 tasks sorts what a scan's task sends); so the rows of a task can be kept at any size.
     """
     spark = df.sparkSession
     path = scratch_path(spark, "cut")
     settings = {CLEANUP: "true"}
     if tasks:
-        settings |= {"spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+        settings |= {
+            "spark.sql.shuffle.partitions": str(tasks), "spark.sql.adaptive.coalescePartitions.enabled": "false",
+            "spark.sql.files.minPartitionNum": str(tasks)}
     before = {name: spark.conf.get(name, None) for name in settings}
     try:
         for name, value in settings.items():
